@@ -1,0 +1,39 @@
+"""Connected components of a distributed edge list by contraction.
+
+Each round points every node at its smallest neighbour, if that is smaller
+than itself, follows the pointer once more, and replaces both ends of every
+edge by where they point; edges inside one node go. At least half of a
+component's remaining nodes vanish each round, so the number of rounds grows
+with the logarithm of the largest component. Nothing is collected; minima are
+taken before each shuffle, so a node with very many neighbours doesn't gather.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandline.session import staged
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) for every node of the edges (a, b)."""
+    edges = staged(edges.select("a", "b").filter("a <> b").distinct(), "cc-edges")
+    labels = None
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        up = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("up"))
+        up = staged(up, "cc-up")
+        over = up.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+        up = staged(up.join(over, "up").select("node", F.col("upper").alias("up")), "cc-upper")
+        a, b = (up.select(F.col("node").alias(c), F.col("up").alias(f"{c}2")) for c in ("a", "b"))
+        edges = staged(edges.join(a, "a").join(b, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).filter("a <> b").distinct(), "cc-edges")
+        if labels is None:
+            labels = up.withColumnRenamed("up", "component")
+        else:
+            moved = labels.join(up.withColumnRenamed("node", "component"), "component", "left")
+            labels = moved.select("node", F.coalesce("up", "component").alias("component"))
+        labels = staged(labels, "cc-labels")
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return labels
