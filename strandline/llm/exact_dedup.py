@@ -7,9 +7,10 @@
 2. The messages, not the texts, are shuffled to the owners of ranges of
    fingerprints. An owner decodes all its messages, and answers each with a
    bitmap of the fingerprints that it has seen more than once.
-3. Documents marked in a bitmap are suspects. Only their texts are shuffled,
-   and grouped byte by byte; equal texts within a task become one row before
-   the shuffle, so a text with very many copies travels once for each task.
+3. Documents marked in a bitmap are suspects. They are picked out by doc_id,
+   and only their texts are normalised, shuffled and grouped byte by byte;
+   equal texts within a task become one row before the shuffle, so a text with
+   very many copies travels once for each task.
 
 A document's text is normalised by deleting all blanks and 09-0D.
 
@@ -170,3 +171,13 @@ def exact_groups(docs: DataFrame, owners: int | None = None) -> DataFrame:
         "doc_id", F.when(F.col("gsha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.when(F.col("gsha").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, less the exact copies of others."""
+    groups = staged(exact_groups(docs).select("doc_id", "kept"), "dedup-groups")
+    gone = groups.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
+    if groups.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return rows
+    return rows.dropDuplicates(["doc_id", "text"])  # rows that repeat one doc_id

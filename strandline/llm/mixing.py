@@ -41,6 +41,10 @@ def key_of(doc_id: Column, salt: str = SALT) -> Column:
     return F.md5(F.concat(F.lit(salt), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
     """source, source_size, rows, weight, target from rows of source, source_size, rows: one for each source."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())  # one row for each source
@@ -67,12 +71,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, whole: bool = False, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of doc_id, text and source.
+    """doc_id, size, source_size, target, taken, and a hash of the text, for each row of doc_id, text and source.
 
     With ``whole``, documents aren't cut: each is taken as many times as the
     cuts reach its middle, and ``taken`` is that number of times its size.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key_of(F.col("doc_id")).alias("key"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key_of(F.col("doc_id")).alias("key"), text_hash(F.col("text")).alias("text_hash"))
     rows = staged(rows, "mix-rows")
     sources = staged(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, share, most), "mix-targets")
     hexits = F.when(F.col("rows") <= rows_per_block, 0).otherwise(F.ceil(F.log(16.0, F.col("rows") / rows_per_block)))
@@ -93,4 +97,13 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
         taken = (epochs + F.when(2 * F.col("start") + F.col("size") <= 2 * rest, 1).otherwise(0)) * F.col("size")
     else:
         taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least("size", rest - F.col("start")))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_hash")
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns; documents aren't cut."""
+    times = mixed(docs, whole=True, **options).filter(F.col("taken") > 0)
+    times = times.groupBy(F.col("doc_id").alias("id"), "text_hash").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
+    rows = docs.withColumn("_hash", text_hash(F.col("text"))).alias("d")
+    met = rows.join(times.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.id")) & (F.col("d._hash") == F.col("m.text_hash")))
+    return met.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("m.times"))).alias("_epoch")).drop("_epoch")

@@ -239,3 +239,10 @@ def near_groups(docs: DataFrame, region: int = REGION, offers: int = OFFERS) ->
     out = sets.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """The documents, with all their columns, less those whose component holds a smaller doc_id."""
+    groups = near_groups(docs, **options)
+    gone = groups.filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")

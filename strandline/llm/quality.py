@@ -182,3 +182,18 @@ def scored(docs: DataFrame, model: Trees) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of doc_id and text."""
     rows = docs.select("doc_id", "text").mapInArrow(_scored(model), "doc_id long, score double")
     return rows.select("doc_id", (remainder(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _accepted(model: Trees, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = buffers(batch.column(text_at))
+            good = [model.scores(statistics(raw, off[a : b + 1])) >= 0.5 for a, b in slices(off)]
+            yield batch.filter(pa.array(np.concatenate(good))) if good else batch
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Trees) -> DataFrame:
+    """The documents, with all their columns, that are predicted to be good. Nothing is shuffled."""
+    return docs.mapInArrow(_accepted(model, docs.columns.index("text")), docs.schema)

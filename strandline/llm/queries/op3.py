@@ -23,4 +23,4 @@ select doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 
 @register("op3_mix_sources", _SQL)
 def op3(spark, sf_dir):
-    return mixed(table(spark, sf_dir, "documents"))
+    return mixed(table(spark, sf_dir, "documents")).drop("text_hash")
