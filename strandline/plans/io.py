@@ -78,7 +78,7 @@ def k7(spark, sf):
     return sinks.weight_csv(records(spark, sf).select(F.col("ac").alias("rw"), "aw"))
 
 
-@register("K8_histogram_csv", f"with {READS_SQL}, {KMERS_SQL}, n as (select kmer, count(*) as n from kmers group by 1), h as (select n as freq, count(*) as kmers from n group by 1) select printf('%d, %d, %.4f', freq, kmers, freq * kmers * 100.0::double / (select sum(freq * kmers) from h)) as value from h")
+@register("K8_histogram_csv", f"with {READS_SQL}, {KMERS_SQL}, n as (select kmer, count(*) as n from kmers group by 1), h as (select n as freq, count(*) as kmers from n group by 1) select printf('%d, %d, %.4f', freq, kmers, freq * kmers * 100.0::double / (select sum(freq * kmers) from h) + 1e-9) as value from h")
 def k8(spark, sf):
     return sinks.histogram_csv(kmers.histogram(kmers.count_plain(reads(spark, sf), K)))
 
