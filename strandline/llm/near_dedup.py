@@ -11,15 +11,16 @@
    overlapping runs of its sorted order.
 3. In a region, neighbours by longest common prefix and by the number of equal
    signature bytes are candidates, unless sizes rule a link out or too few
-   bytes agree (about five standard deviations below the threshold).
-   Each node offers its best few; if it has more, it is asked again in the
-   next round.
-4. Candidates are confirmed on the full shingle sets of both texts, and links
-   joined to components.
-5. The next round looks only at nodes that had more to offer, and only at
-   candidates in other components, four times as many for each. The rounds end
-   when no node had more. So a large group of copies is never compared pair by
-   pair, and no candidate is dropped.
+   bytes agree (about five standard deviations below the threshold). Each node
+   offers its best few, and says whether it had more.
+4. Offered pairs are confirmed on the full shingle sets of both texts, and
+   links are joined to components.
+5. Nodes that had more meet again, region by region, but only those with a
+   candidate in another component, and with their sets in hand: there, sets
+   outside a region's largest component are held against all sets of other
+   components, and what links two components comes out. These few links are
+   confirmed as before. So a large group of copies never becomes a list of
+   pairs, and no candidate is dropped.
 
 A pair at the threshold shares a region in some tree with probability
 1 - (1 - 0.75 ** 3) ** 20, over 0.99998, where depth has not grown.
@@ -39,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.components import components
 from strandline.llm.words import _mixed, buffers, distinct_in_text, shingle_hashes, slices, word_hashes
+from strandline.operators.components import components
 from strandline.session import staged
 
 WORDS, LEAST_OVER_UNION = 5, (75, 100)
@@ -114,57 +115,44 @@ def _regions(nodes: DataFrame, region: int) -> DataFrame:
 _PAIR = "a long, b long"
 
 
-def _candidates(offers: int, region: int):
-    """Pairs that nodes of a region offer; a pair (a, a) says that a had more."""
-
-    def of(n: np.ndarray, comp: np.ndarray, node: np.ndarray, sketch: np.ndarray, out: list):
-        m, rows = len(n), max(1, (4 << 20) // (len(n) * HASHES))
-        for s in range(0, m, rows):
-            e = min(m, s + rows)
-            equal = (sketch[s:e, None, :] == sketch[None, :, :]).sum(2, dtype=np.uint8)
-            small, large = np.minimum(n[s:e, None], n), np.maximum(n[s:e, None], n)
-            ok = (equal >= LEAST_EQUAL) & (LEAST_OVER_UNION[1] * small >= LEAST_OVER_UNION[0] * large) & (comp[s:e, None] != comp)
-            has = ok.sum(1)
-            for i in np.flatnonzero(has):
-                other = np.flatnonzero(ok[i])
-                if has[i] > offers:
-                    best = np.lexsort((node[other], -equal[i, other].astype(np.int16)))[:offers]
-                    other = other[best]
-                    out.append(np.array([[node[s + i], node[s + i]]]))
-                own = np.full(len(other), node[s + i])
-                out.append(np.column_stack([np.minimum(own, node[other]), np.maximum(own, node[other])]))
-
-    def flush(held: list[pa.RecordBatch], whole: bool):
-        """Work on complete regions; give back the rows of the last one unless all are whole."""
+def _agreeing(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For blocks of rows: the first row, how many signature bytes agree with every node, and which nodes are candidates."""
+    m = len(n)
+    rows = max(1, (4 << 20) // (m * HASHES))
+    for s in range(0, m, rows):
+        e = min(m, s + rows)
+        equal = (sketch[s:e, None, :] == sketch[None, :, :]).sum(2, dtype=np.uint8)
+        small, large = np.minimum(n[s:e, None], n), np.maximum(n[s:e, None], n)
+        yield s, equal, (equal >= LEAST_EQUAL) & (LEAST_OVER_UNION[1] * small >= LEAST_OVER_UNION[0] * large) & (comp[s:e, None] != comp)
+
+
+def _by_region(work, schema: pa.Schema, region: int, columns: tuple[str, ...]):
+    """Run ``work`` on every region of batches sorted by key; regions that had to stay overfull come in overlapping runs."""
+
+    def done(held: list[pa.RecordBatch], whole: bool):
         t = pa.Table.from_batches(held).combine_chunks()
         key = t.column("key").to_numpy()
         starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-        ends = np.append(starts[1:], len(key))
-        rest = None
-        if not whole:
-            rest = t.slice(int(starts[-1])).to_batches()
-            starts, ends = starts[:-1], ends[:-1]
-        out: list[np.ndarray] = []
+        ends, rest = np.append(starts[1:], len(key)), None
+        if not whole:  # the last region may go on in the next batch
+            rest, starts, ends = t.slice(int(starts[-1])).to_batches(), starts[:-1], ends[:-1]
         many = ends - starts > 1
+        out: list[list[np.ndarray]] = [[] for _ in schema]
         if many.any():
-            n, comp, node, last = (t.column(c).to_numpy() for c in ("n", "comp", "node", "last"))
+            cols = [t.column(c).to_numpy() for c in columns]
+            last = t.column("last").to_numpy()
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(key), HASHES)
-            two = starts[ends - starts == 2]
-            if len(two):  # most regions
-                one, equal = two + 1, (sketch[two] == sketch[two + 1]).sum(1)
-                ok = (equal >= LEAST_EQUAL) & (comp[two] != comp[one]) & (LEAST_OVER_UNION[1] * np.minimum(n[two], n[one]) >= LEAST_OVER_UNION[0] * np.maximum(n[two], n[one]))
-                x, y = node[two][ok], node[one][ok]
-                out.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
-            more = ends - starts > 2
-            for a, b in zip(starts[more], ends[more]):
-                step = region // 2
-                for s in range(a, b, step) if last[a] and b - a > region else (a,):
-                    e = min(b, s + region) if last[a] else b
-                    of(n[s:e], comp[s:e], node[s:e], sketch[s:e], out)
-                    if e == b:
+            spans = []
+            for a, b in zip(starts[many], ends[many]):
+                for s in range(a, b, region // 2) if last[a] and b - a > region else (a,):
+                    spans.append((s, min(b, s + region) if last[a] else b))
+                    if spans[-1][1] == b:
                         break
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"]), rest
+            work(spans, cols, sketch, key, out)
+        made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+        if len(made[0]):
+            made = list(np.unique(np.column_stack(made), axis=0).T)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), f.type) for x, f in zip(made, schema)], schema=schema), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -174,22 +162,126 @@ def _candidates(offers: int, region: int):
                 held.append(batch)
                 size += batch.num_rows
             if size >= 20_000:
-                made, rest = flush(held, False)
+                made, rest = done(held, False)
                 held, size = rest, sum(x.num_rows for x in rest)
                 yield made
         if held:
-            yield flush(held, True)[0]
+            yield done(held, True)[0]
 
     return run
 
 
+def _offers(offers: int):
+    """Pairs (a, b) that each node offers to its best candidates; a pair (a, a) says that a had more."""
+
+    def work(spans, cols, sketch, key, out):
+        n, node = cols
+        a, b = (np.array([s for s in spans if s[1] - s[0] == 2], np.int64).reshape(-1, 2).T[0] + i for i in (0, 1))
+        if len(a):  # most regions
+            ok = ((sketch[a] == sketch[b]).sum(1) >= LEAST_EQUAL) & (LEAST_OVER_UNION[1] * np.minimum(n[a], n[b]) >= LEAST_OVER_UNION[0] * np.maximum(n[a], n[b]))
+            x, y = node[a][ok], node[b][ok]
+            out[0].append(np.minimum(x, y))
+            out[1].append(np.maximum(x, y))
+        for s, e in spans:
+            if e - s == 2:
+                continue
+            own = node[s:e]
+            for first, equal, ok in _agreeing(n[s:e], own, sketch[s:e]):
+                for i in np.flatnonzero(ok.any(1)):
+                    other = np.flatnonzero(ok[i])
+                    me = own[first + i]
+                    if len(other) > offers:
+                        other = other[np.lexsort((own[other], -equal[i, other].astype(np.int16)))[:offers]]
+                        out[0].append(np.array([me]))
+                        out[1].append(np.array([me]))
+                    out[0].append(np.minimum(me, own[other]))
+                    out[1].append(np.maximum(me, own[other]))
+
+    return work
+
+
+def _undecided(spans, cols, sketch, key, out):
+    """(key, node) of nodes that have candidates in other components."""
+    n, node, comp = cols
+    for s, e in spans:
+        if (comp[s:e] == comp[s]).all():
+            continue
+        hit = np.zeros(e - s, bool)
+        for first, _, ok in _agreeing(n[s:e], comp[s:e], sketch[s:e]):
+            hit[first : first + len(ok)] |= ok.any(1)
+        out[0].append(np.full(int(hit.sum()), key[s]))
+        out[1].append(node[s:e][hit])
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and its set, as sorted distinct hashes of 32 bits."""
+    for batch in batches:
+        raw, off = buffers(batch.column(1))
+        for a, b in slices(off):
+            sets, sizes = shingle_sets(raw, off[a : b + 1])
+            ends = np.cumsum(sizes)
+            out = [(sets[e - k : e] >> np.uint64(32)).astype("<u4").tobytes() for e, k in zip(ends.tolist(), sizes.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], ["node", "hashes"])
+
+
+def linked_in_region(comp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join different components among the sets of one region, none that follows from others.
+
+    Every set outside the largest component is held against all sets of other
+    components, with one lookup in a table of the region's shared hashes.
+    """
+    sizes = np.array([len(s) for s in sets])
+    values, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[ids] > 1
+    flat, owner = ids[shared], np.repeat(np.arange(len(sets)), sizes)[shared]
+    first = np.searchsorted(owner, np.arange(len(sets) + 1))
+    group = np.unique(comp, return_inverse=True)[1]
+    least, of = LEAST_OVER_UNION
+    mark, found = np.zeros(len(values), bool), []
+    biggest = np.bincount(group).argmax()
+    for i in np.flatnonzero(group != biggest):
+        mine = flat[first[i] : first[i + 1]]
+        if not len(mine):
+            continue
+        mark[mine] = True
+        hits = np.concatenate([[0], np.cumsum(mark[flat])])
+        mark[mine] = False
+        both = hits[first[1:]] - hits[first[:-1]]
+        for j in np.flatnonzero((of * both >= least * (sizes + sizes[i] - both)) & (group != group[i])):
+            if group[j] != group[i]:
+                found.append((int(i), int(j)))
+                group[group == group[i]] = group[j]
+    return found
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components of each region, from batches sorted by key."""
+    held: list = []
+
+    def links_of():
+        own = {h[1]: h for h in held}  # a node of an overlapping run counts once
+        rows = list(own.values())
+        pairs = linked_in_region(np.array([r[2] for r in rows]), [np.frombuffer(r[3], "<u4") for r in rows]) if len(rows) > 1 else []
+        ends = [(min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])) for i, j in pairs]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if held and row[0] != held[0][0]:
+                yield links_of()
+                held = []
+            held.append(row)
+    if held:
+        yield links_of()
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of texts that share enough shingles."""
     least, of = LEAST_OVER_UNION
     for batch in batches:
         sides = [buffers(batch.column(i)) for i in (2, 3)]
         flags = np.zeros(batch.num_rows, bool)
-        both = sides[0][1] + sides[1][1]
+        both = sides[0][1] - sides[0][1][0] + sides[1][1] - sides[1][1][0]
         for a, b in slices(both):
             sets = [shingle_sets(raw, off[a : b + 1]) for raw, off in sides]
             pair = np.concatenate([np.repeat(np.arange(b - a), sizes) for _, sizes in sets])
@@ -204,28 +296,45 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
 
+def _confirm(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
+    """Pairs whose full shingle sets are similar enough; each text in a pair is picked out once."""
+    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    own = staged(texts.join(members, "doc_id", "left_semi"), f"{label}-texts")
+    a, b = (own.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, _PAIR), f"{label}-links")
+
+
 def links(docs: DataFrame, nodes: DataFrame, region: int = REGION, offers: int = OFFERS) -> DataFrame:
     """node, component for those of the nodes (node, n, sig, sketch) that have links; their texts are in docs under their doc_id."""
     texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     order = F.substr(F.concat("sketch", "sketch"), F.col("t") * STEP + 1, F.lit(HASHES))
-    found, asked = None, nodes.withColumn("comp", F.col("node"))
-    while True:
-        records = _regions(asked, region).repartition("key").sortWithinPartitions("key", order)
-        offered = staged(records.select("key", "last", "node", "n", "comp", "sketch").mapInArrow(_candidates(offers, region), _PAIR).distinct(), "forest-pairs")
-        pairs = offered.filter("a <> b")
-        members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        own = staged(texts.join(members, "doc_id", "left_semi"), "forest-texts")
-        a, b = (own.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-        new = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, _PAIR)
-        found = staged(new if found is None else found.unionByName(new), "forest-links")
-        labels = components(found)
-        more = offered.filter("a = b").select(F.col("a").alias("node"))
-        if more.isEmpty():
-            return labels
-        # A pair that wasn't offered is one of two nodes that both had more.
-        asked = nodes.join(more, "node", "left_semi").join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        asked = staged(asked, "forest-asked")
-        offers *= 4
+    long2 = lambda *names: pa.schema([(c, pa.int64()) for c in names])
+
+    def regions(rows: DataFrame, *more: str) -> DataFrame:
+        return _regions(rows, region).repartition("key").sortWithinPartitions("key", order).select("key", "last", "sketch", "n", "node", *more)
+
+    offered = regions(nodes).mapInArrow(_by_region(_offers(offers), long2("a", "b"), region, ("n", "node")), _PAIR)
+    offered = staged(offered.distinct(), "forest-offers")
+    found = _confirm(offered.filter("a <> b"), texts, "forest")
+    labels = components(found)
+    more = offered.filter("a = b").select(F.col("a").alias("node"))
+    if more.isEmpty():
+        return labels
+    # A pair that wasn't offered is one of two nodes that both had more.
+    asked = nodes.join(more, "node", "left_semi").join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    asked = staged(asked, "forest-asked")
+    open_ = regions(asked, "comp").mapInArrow(_by_region(_undecided, long2("key", "node"), region, ("n", "node", "comp")), "key long, node long")
+    open_ = staged(open_.distinct(), "forest-open")
+    if open_.isEmpty():
+        return labels
+    members = open_.select("node").distinct()
+    sets = texts.withColumnRenamed("doc_id", "node").join(members, "node", "left_semi").mapInArrow(_hashes, "node long, hashes binary")
+    sets = staged(sets.join(asked.select("node", "comp"), "node"), "forest-sets")
+    rows = open_.join(sets, "node").select("key", "node", "comp", "hashes").repartition("key").sortWithinPartitions("key")
+    late = staged(rows.mapInArrow(_joined, _PAIR).distinct(), "forest-late")
+    if late.isEmpty():
+        return labels
+    return components(found.unionByName(_confirm(late, texts, "forest-late")))
 
 
 def near_groups(docs: DataFrame, region: int = REGION, offers: int = OFFERS) -> DataFrame:
