@@ -174,7 +174,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     y_of = dict(zip(quality.column("doc_id").to_pylist(), quality.column("quality").to_pylist()))
     ids = np.array(facts.column("doc_id").to_pylist(), np.int64)
     order = np.argsort(ids, kind="stable")
-    x = np.array(facts.column("x").combine_chunks().flatten().to_numpy(), float).reshape(len(ids), -1)[order]
+    x = np.array(facts.column("x").combine_chunks().flatten().to_numpy(), float).reshape(len(ids), len(FEATURES))[order]
     return trained(x, np.array([float(y_of[i] > 0) for i in ids[order].tolist()]))
 
 
