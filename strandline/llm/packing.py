@@ -22,6 +22,7 @@ empty table gives no rows; only doc_id and text are looked at.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,43 +36,120 @@ from strandline.session import staged
 
 LENGTH, END_ID = 2048, 0
 #: Words whose ids a task remembers; more are tokenised again when they come back.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 
 
+def _kinds() -> np.ndarray:
+    """For each byte: 1 ASCII letter or digit, 2 ASCII punctuation but the apostrophe, 0 anything else."""
+    kinds = np.zeros(256, np.uint8)
+    for i in range(33, 127):
+        kinds[i] = 1 if chr(i).isalnum() else 2
+    kinds[ord("'")] = 0
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def loosened(text: bytes) -> bytes:
+    """Lower-case A-Z, and put a blank between a letter or digit and the punctuation after it.
+
+    The tokenizer lower-cases anyway, never joins letters or digits with
+    punctuation, and drops blanks, so ids stay the same; the chunks between
+    blanks become fewer. Letters are ASCII's and those of U+00C0 to U+00FF.
+    """
+    a = np.frombuffer(text.lower(), np.uint8)
+    if len(a) < 2:
+        return text
+    kind = _KINDS[a]
+    after = kind[:-1] == 1
+    after[1:] |= (a[:-2] == 0xC3) & (a[1:-1] >= 0x80) & (a[1:-1] != 0x97) & (a[1:-1] != 0xB7)
+    at = np.flatnonzero(after & (kind[1:] == 2)) + 1
+    old = np.ones(len(a) + len(at), bool)
+    old[at + np.arange(len(at))] = False
+    out = np.full(len(old), 32, np.uint8)
+    out[old] = a
+    return out.tobytes()
+
+
+#: Chunks that the tokenizer's pre-tokenizer surely leaves whole: letters, or punctuation, or one digit.
+_WHOLE = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-/:-@\[-`{-~]+|[0-9]")
+
+
 class Ids:
     """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
     The tokenizer normalises every run of white space to a blank, which its
     pre-tokenizer removes, so a text's ids are those of its chunks between
-    blanks; each chunk is tokenised once while it is remembered.
+    blanks; each chunk is tokenised once while it is remembered. New chunks
+    that are one word to the tokenizer are tokenised together, and told apart
+    by the mark that the vocabulary has at the end of words; all others, and
+    those that may hold a special token, are tokenised alone.
     """
 
+    MAY_BE_SPECIAL, TOGETHER, WORD_END = b"<|", 4096, "</w>"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        ids = self._ids(b" ".join(chunks).decode("utf-8"))
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(chunks):  # another vocabulary than expected
+            for c in chunks:
+                self.known[c] = self._ids(c.decode("utf-8")).tobytes()
+            return
+        raw, at = ids.tobytes(), (4 * ends).tolist()
+        for c, a, b in zip(chunks, [0, *at], at):
+            self.known[c] = raw[a:b]
+
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        chunks = [t.split() for t in texts]
-        new = list({c for cs in chunks for c in cs} - self.known.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in part], add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+        chunks = [(t if self.MAY_BE_SPECIAL in t else loosened(t)).split() for t in texts]
+        new = {c for cs in chunks for c in cs} - self.known.keys()
+        whole = [c for c in new if _WHOLE.fullmatch(c) and self.MAY_BE_SPECIAL not in c]
+        for i in range(0, len(whole), self.TOGETHER):
+            self._learn(whole[i : i + self.TOGETHER])
+        for c in new - self.known.keys():
+            self.known[c] = self._ids(c.decode("utf-8")).tobytes()
         known = self.known
         for cs in chunks:
             yield b"".join([known[c] for c in cs])
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where one of the public tokenizers lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+_KEPT: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """One tokenizer and memory for all tasks of a Python worker."""
+    if path not in _KEPT:
+        _KEPT[path] = Ids(path)
+    return _KEPT[path]
+
+
 def _pieces(path: str, length: int, end_id: int, with_ids: bool):
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part = Ids(path), TaskContext.get().partitionId()
+        ids, part = ids_of(path), TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()

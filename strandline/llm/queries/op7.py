@@ -2,17 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from strandline.llm.packing import packed, pieces
+from strandline.llm.packing import packed, pieces, tokenizer_path
 from strandline.llm.registry import register
 from strandline.session import table
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @register("op7_best_fit_packing")
 def op7(spark, sf_dir):
     """No SQL: DuckDB has no tokenizer. The tests hold it against a brute-force version."""
