@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import exact_dedup, mixing, near_dedup, packing, quality
-from strandline.llm.queries.op7 import tokenizer_path
 from strandline.session import staged, table
 
 
@@ -36,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing (7): pieces of at most 2,048 tokens, each in its sequence."""
-    return packing.packed(packing.pieces(docs, tokenizer_path()))
+    return packing.packed(packing.pieces(docs, packing.tokenizer_path()))
 
 
 STAGES = [("quality", good), ("exact_dedup", first_copies), ("near_dedup", apart), ("mix", mix), ("pack", pack)]
