@@ -39,10 +39,10 @@ def g2e(spark, sf):
     return G.reference_edges(vertices(spark, sf), KEYS)
 
 
-@register("J2_vertex_sets", f"with {STEP_SQL}, {VERT_SQL.replace(REF_SQL + ',', '')}, rk as (select contig, read, pos, src as kmer from steps where pos = {K}) select rk.contig, rk.read, rk.kmer, coalesce(v.ctx, 0)::int as ctx, coalesce(vtype, 'read') as vtype from rk left join vert v using (contig, kmer)")
+@register("J2_vertex_sets", f"with {STEP_SQL}, {VERT_SQL.replace(REF_SQL + ',', '')}, rk as (select contig, read, pos, src as kmer from steps) select rk.contig, rk.read, rk.pos, rk.kmer, coalesce(v.ctx, 0)::int as ctx, coalesce(vtype, 'read') as vtype from rk left join vert v using (contig, kmer)")
 def j2(spark, sf):
-    rk = steps(spark, sf).filter(F.col("pos") == K).select("contig", "read", F.col("src").alias("kmer"))
-    return G.vertex_sets(rk, vertices(spark, sf), KEYS).select("contig", "read", "kmer", F.col("ctx").cast("int").alias("ctx"), "vtype")
+    rk = steps(spark, sf).select("contig", "read", F.col("pos").alias("at"), F.col("src").alias("kmer"))
+    return G.vertex_sets(rk, vertices(spark, sf), KEYS).select("contig", "read", F.col("at").alias("pos"), "kmer", F.col("ctx").cast("int").alias("ctx"), "vtype")
 
 
 @register("G7_edge_support", f"with {STEP_SQL} select * from edges")

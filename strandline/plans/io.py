@@ -34,10 +34,10 @@ def k2(spark, sf):
     return sinks.sam_lines(sam_rows(spark, sf))
 
 
-@register("S5_S6_K3_fastq", f"with {READS_SQL} select qname, seq, qual from reads where l_linenumber = 1")
+@register("S5_S6_K3_fastq", f"with {READS_SQL} select qname, seq, qual from reads")
 def fastq(spark, sf):
     path = scratch_path(spark, "fastq")
-    sinks.write_lines(sinks.fastq_lines(reads(spark, sf).filter("l_linenumber = 1")).coalesce(1), path)
+    sinks.write_lines(sinks.fastq_lines(reads(spark, sf)), path)
     return formats.read_fastq(spark, path).select("qname", "seq", "qual")
 
 

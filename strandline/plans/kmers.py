@@ -109,14 +109,14 @@ def w3(spark, sf):
     return kmers.successors(kmers.explode_kmers(reference(spark, sf).select("contig", "seq"), 5), ["contig"])
 
 
-SOLID_SQL = f"""ids as (select {ID_SQL} as id, * from reads), rk as (select id, (i - 1)::int as i, substr(seq, i::int, {QK}) as kmer from (select id, seq, unnest(range(1, 60 - {QK} + 2)) as i from ids where l_orderkey % 10 = 3)),
+SOLID_SQL = f"""ids as (select {ID_SQL} as id, * from reads), rk as (select id, (i - 1)::int as i, substr(seq, i::int, {QK}) as kmer from (select id, seq, unnest(range(1, 60 - {QK} + 2)) as i from ids)),
 flags as (select id, i, (coalesce(occ, 0) >= 4)::int as solid from (select id, i, {CANON} as kmer from rk) left join counts using (kmer)),
 runs as (select id, i - sum(solid) over (partition by id order by i) as g, i from flags qualify solid = 1), sized as (select id, min(i) as start, count(*) as streak from runs group by id, g),
 best as (select id, start, streak from sized qualify row_number() over (partition by id order by streak desc, start) = 1)"""
 
 
 def flagged(spark, sf):
-    own = ided(reads(spark, sf)).filter("l_orderkey % 10 = 3")
+    own = ided(reads(spark, sf))
     return own, kmers.solid(own, counts(spark, sf), QK, 4)
 
 

@@ -176,3 +176,22 @@ def test_fasta_lines_wrap(spark):
 def test_normalised_prefix(spark):
     df = spark.createDataFrame([(10, "ACGT", "ACT"), (10, "A", "AC"), (10, "AAA", "AAA"), (5, "GT", "CT")], "pos int, ref string, alt string")
     assert [tuple(r) for r in V.normalised(df).collect()] == [(12, "GT", "T"), (10, "A", "AC"), (12, "A", "A"), (5, "GT", "CT")]
+
+
+def test_planted_errors_are_repaired():
+    import random
+
+    from strandline.operators import correct as X
+
+    r = random.Random(4)
+    ref = "".join(r.choice("ACGT") for _ in range(400))
+    counts = {}
+    for i in range(len(ref) - 14):
+        counts[X.canonical(ref[i : i + 15])] = (20, 20)
+    for start in range(0, 340, 5):
+        read = ref[start : start + 60]
+        assert X.both_ways(read, [40] * 60, 15, counts, 8) == (read, 0)
+        at = 20 + start % 25
+        bad = read[:at] + ("A" if read[at] != "A" else "C") + read[at + 1 :]
+        fixed, n = X.both_ways(bad, [40] * 60, 15, counts, 8)
+        assert n == 1 and fixed.upper() == read and fixed[at].islower()
