@@ -297,11 +297,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough; each text in a pair is picked out once."""
+    """Pairs whose full shingle sets are similar enough; each text in a pair is picked out once.
+
+    Texts are dealt by doc_id whatever the number of pairs, so the plan is the
+    same at every size; the small side of each join is a hash table.
+    """
     members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = staged(texts.join(members, "doc_id", "left_semi"), f"{label}-texts")
+    own = staged(texts.join(members.hint("shuffle_hash"), "doc_id", "left_semi"), f"{label}-texts")
     a, b = (own.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, _PAIR), f"{label}-links")
+    met = a.join(pairs.hint("shuffle_hash"), "a").join(b.hint("merge"), "b")
+    return staged(met.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, _PAIR), f"{label}-links")
 
 
 def links(docs: DataFrame, nodes: DataFrame, region: int = REGION, offers: int = OFFERS) -> DataFrame:
@@ -328,9 +333,9 @@ def links(docs: DataFrame, nodes: DataFrame, region: int = REGION, offers: int =
     if open_.isEmpty():
         return labels
     members = open_.select("node").distinct()
-    sets = texts.withColumnRenamed("doc_id", "node").join(members, "node", "left_semi").mapInArrow(_hashes, "node long, hashes binary")
-    sets = staged(sets.join(asked.select("node", "comp"), "node"), "forest-sets")
-    rows = open_.join(sets, "node").select("key", "node", "comp", "hashes").repartition("key").sortWithinPartitions("key")
+    sets = texts.withColumnRenamed("doc_id", "node").join(members.hint("shuffle_hash"), "node", "left_semi").mapInArrow(_hashes, "node long, hashes binary")
+    sets = staged(sets.join(asked.select("node", "comp").hint("shuffle_hash"), "node"), "forest-sets")
+    rows = sets.join(open_.hint("shuffle_hash"), "node").select("key", "node", "comp", "hashes").repartition("key").sortWithinPartitions("key")
     late = staged(rows.mapInArrow(_joined, _PAIR).distinct(), "forest-late")
     if late.isEmpty():
         return labels
@@ -354,4 +359,4 @@ def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, less those whose component holds a smaller doc_id."""
     groups = near_groups(docs, **options)
     gone = groups.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
