@@ -163,7 +163,8 @@ def exact_groups(docs: DataFrame, owners: int | None = None) -> DataFrame:
     back = sent.mapInArrow(_bitmaps, "owner int, block long, bitmap binary")
     rows = staged(messages.select("owner", "block", "n", "doc_ids", "chars", "sha").join(back, ["owner", "block"]).mapInArrow(_documents, _DOC), "dedup-rows")
     suspects = rows.filter("suspect").select(F.col("doc_id").alias("sid"), F.lit(True).alias("hit"))
-    texts = docs.join(suspects, docs.doc_id.eqNullSafe(suspects.sid), "left_semi")
+    # Texts are dealt by doc_id whatever the number of suspects, so the plan is the same at every size.
+    texts = docs.join(suspects.hint("shuffle_hash"), docs.doc_id.eqNullSafe(suspects.sid), "left_semi")
     best = F.struct((-F.char_length(F.coalesce("text", F.lit("")))).alias("c"), "doc_id")
     groups = texts.select(normalised(F.col("text")).alias("norm"), best.alias("best")).groupBy("norm").agg(F.min("best").alias("best"), F.count("*").alias("group_size"))
     groups = groups.select(F.unhex(F.sha2("norm", 256)).alias("gsha"), F.col("best.doc_id").alias("keep_id"), "group_size").filter("group_size > 1")
@@ -177,7 +178,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, less the exact copies of others."""
     groups = staged(exact_groups(docs).select("doc_id", "kept"), "dedup-groups")
     gone = groups.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
+    rows = docs.join(gone.hint("shuffle_hash"), docs.doc_id.eqNullSafe(gone.gone), "left_anti")
     if groups.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return rows
     return rows.dropDuplicates(["doc_id", "text"])  # rows that repeat one doc_id
