@@ -296,8 +296,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough; each text in a pair is picked out once.
+def _confirm(pairs: DataFrame, texts: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose full shingle sets are similar enough, and the texts of all pairs, each picked out once.
 
     Texts are dealt by doc_id whatever the number of pairs, so the plan is the
     same at every size; the small side of each join is a hash table.
@@ -306,7 +306,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
     own = staged(texts.join(members.hint("shuffle_hash"), "doc_id", "left_semi"), f"{label}-texts")
     a, b = (own.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
     met = a.join(pairs.hint("shuffle_hash"), "a").join(b.hint("merge"), "b")
-    return staged(met.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, _PAIR), f"{label}-links")
+    return staged(met.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, _PAIR), f"{label}-links"), own
 
 
 def links(docs: DataFrame, nodes: DataFrame, region: int = REGION, offers: int = OFFERS) -> DataFrame:
@@ -320,7 +320,7 @@ def links(docs: DataFrame, nodes: DataFrame, region: int = REGION, offers: int =
 
     offered = regions(nodes).mapInArrow(_by_region(_offers(offers), long2("a", "b"), region, ("n", "node")), _PAIR)
     offered = staged(offered.distinct(), "forest-offers")
-    found = _confirm(offered.filter("a <> b"), texts, "forest")
+    found, own = _confirm(offered.filter("a <> b"), texts, "forest")
     labels = components(found)
     more = offered.filter("a = b").select(F.col("a").alias("node"))
     if more.isEmpty():
@@ -333,13 +333,14 @@ def links(docs: DataFrame, nodes: DataFrame, region: int = REGION, offers: int =
     if open_.isEmpty():
         return labels
     members = open_.select("node").distinct()
-    sets = texts.withColumnRenamed("doc_id", "node").join(members.hint("shuffle_hash"), "node", "left_semi").mapInArrow(_hashes, "node long, hashes binary")
+    # Whoever had more is in a pair, so its text is among those already picked out.
+    sets = own.withColumnRenamed("doc_id", "node").join(members.hint("shuffle_hash"), "node", "left_semi").mapInArrow(_hashes, "node long, hashes binary")
     sets = staged(sets.join(asked.select("node", "comp").hint("shuffle_hash"), "node"), "forest-sets")
     rows = sets.join(open_.hint("shuffle_hash"), "node").select("key", "node", "comp", "hashes").repartition("key").sortWithinPartitions("key")
     late = staged(rows.mapInArrow(_joined, _PAIR).distinct(), "forest-late")
     if late.isEmpty():
         return labels
-    return components(found.unionByName(_confirm(late, texts, "forest-late")))
+    return components(found.unionByName(_confirm(late, own, "forest-late")[0]))
 
 
 def near_groups(docs: DataFrame, region: int = REGION, offers: int = OFFERS) -> DataFrame:
