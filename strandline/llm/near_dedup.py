@@ -6,9 +6,9 @@
 2. The forest sorts the nodes in several orders. An order (tree) begins at its
    own place of the signature, which it reads round as a ring. Nodes that
    agree on a tree's first three minima are a region. Where a region has more
-   than ``region`` nodes, its depth grows, and only nodes that agree on more
-   minima stay together; at the last depth, an overfull region is cut into
-   overlapping runs of its sorted order.
+   than ``region`` nodes, its depth grows for a first look, and only nodes that
+   agree on more minima stay together; at the last depth, an overfull region is
+   cut into overlapping runs of its sorted order. Step 6 makes up for this.
 3. In a region, neighbours by longest common prefix and by the number of equal
    signature bytes are candidates, unless sizes rule a link out or too few
    bytes agree (about five standard deviations below the threshold). Each node
@@ -21,9 +21,14 @@
    components, and what links two components comes out. These few links are
    confirmed as before. So a large group of copies never becomes a list of
    pairs, and no candidate is dropped.
+6. Overfull regions of depth three meet again as a whole in step 5, whether
+   their nodes had more or not. First all nodes of such a region are held
+   against the one with most links. Then nodes outside the region's largest
+   component are dealt into blocks, and so are those inside; each block of the
+   former meets every other block. What is in one component isn't compared.
 
 A pair at the threshold shares a region in some tree with probability
-1 - (1 - 0.75 ** 3) ** 20, over 0.99998, where depth has not grown.
+1 - (1 - 0.75 ** 3) ** 20, over 0.99998, however many nodes the region has.
 
 Defined results: null and empty texts, and texts of blanks, have no shingles
 and are linked with nothing; rows with a null doc_id are linked with nothing
@@ -93,17 +98,27 @@ def _key(depth: int):
     return F.xxhash64("t", F.lit(depth), F.substr(F.concat("sig", "sig"), F.col("t") * (4 * STEP) + 1, F.lit(4 * depth)))
 
 
-def _regions(nodes: DataFrame, region: int) -> DataFrame:
-    """key, last, t, node, n, comp, sketch: a record for each node and tree, with the key at the depth that its region needs."""
+def _records(nodes: DataFrame) -> DataFrame:
+    """A record for each node and tree, with the key of its region at the first depth."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    records, done = nodes.withColumn("t", trees).withColumn("key", _key(DEPTHS[0])), []
+    return nodes.withColumn("t", trees).withColumn("key", _key(DEPTHS[0]))
+
+
+def _overfull(records: DataFrame, region: int) -> DataFrame:
+    """Keys of regions with too many nodes."""
+    return staged(records.groupBy("key").count().filter(F.col("count") > region).select("key"), "forest-heavy")
+
+
+def _regions(nodes: DataFrame, heavy: DataFrame, region: int) -> DataFrame:
+    """key, last, t, node, n, comp, sketch: a record for each node and tree, with the key at the depth that its region needs; heavy: the overfull keys of the first depth."""
+    records, done = _records(nodes), []
     for depth in DEPTHS[1:]:
-        heavy = staged(records.groupBy("key").count().filter(F.col("count") > region).select("key"), "forest-heavy")
         if heavy.isEmpty():
             done.append(records.withColumn("last", F.lit(False)))
             break
         done.append(records.join(heavy, "key", "left_anti").withColumn("last", F.lit(False)))
         records = records.join(heavy, "key", "left_semi").withColumn("key", _key(depth))
+        heavy = _overfull(records, region) if depth < DEPTHS[-1] else heavy
     else:
         done.append(records.withColumn("last", F.lit(True)))
     out = done[0].drop("sig")
@@ -112,18 +127,53 @@ def _regions(nodes: DataFrame, region: int) -> DataFrame:
     return out
 
 
+def _blocks(dense: DataFrame, region: int) -> DataFrame:
+    """Records (with comp) of overfull regions, each with the key of every pair of blocks that its own block is in.
+
+    A block holds about half as many nodes as a region may, either of the
+    region's largest component or of the others; of two blocks of the largest
+    component there is no pair. The broadcast has one row for each overfull
+    region.
+    """
+    parts = dense.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
+    few, half = F.col("all") - F.col("top.count"), F.lit(region // 2)
+    parts = staged(parts.filter(few > 0).select("key", F.col("top.comp").alias("top"), F.ceil(few / half).alias("n_few"), F.ceil(F.col("top.count") / half).alias("n_top")), "forest-parts")
+    mine, turn = F.col("comp") == F.col("top"), F.xxhash64(F.lit("block"), "node")
+    block = F.when(mine, F.col("n_few") + F.pmod(turn, "n_top")).otherwise(F.pmod(turn, "n_few"))
+    others = F.sequence(F.lit(0).cast("long"), F.when(mine, F.col("n_few")).otherwise(F.col("n_few") + F.col("n_top")) - 1)
+    rows = dense.join(F.broadcast(parts), "key").withColumn("block", block).withColumn("other", F.explode(others)).filter("block <> other")
+    return rows.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).drop("top", "n_few", "n_top", "block", "other")
+
+
+def _like_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of rows (a, b, sketch, hub's sketch) whose sketches agree enough."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
+        keep = pa.array((x == y).sum(1) >= LEAST_EQUAL)
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
+
+
+def _hub_pairs(dense: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of a region's node with most links and each node of another component that may be linked with it; the broadcast has one row for each overfull region."""
+    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    hub = dense.join(degree, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("count", F.lit(0)).alias("links"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("sketch").alias("hub_sketch"))).alias("h"))
+    rows = dense.join(F.broadcast(staged(hub.select("key", "h.*"), "forest-hubs")), "key")
+    fits = LEAST_OVER_UNION[1] * F.least("n", "hub_n") >= LEAST_OVER_UNION[0] * F.greatest("n", "hub_n")
+    rows = rows.filter((F.col("comp") != F.col("hub_comp")) & fits)
+    return rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "sketch", "hub_sketch").mapInArrow(_like_hub, _PAIR).distinct()
+
+
 _PAIR = "a long, b long"
 
 
-def _agreeing(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For blocks of rows: the first row, how many signature bytes agree with every node, and which nodes are candidates."""
-    m = len(n)
-    rows = max(1, (4 << 20) // (m * HASHES))
-    for s in range(0, m, rows):
-        e = min(m, s + rows)
-        equal = (sketch[s:e, None, :] == sketch[None, :, :]).sum(2, dtype=np.uint8)
-        small, large = np.minimum(n[s:e, None], n), np.maximum(n[s:e, None], n)
-        yield s, equal, (equal >= LEAST_EQUAL) & (LEAST_OVER_UNION[1] * small >= LEAST_OVER_UNION[0] * large) & (comp[s:e, None] != comp)
+def _agreeing(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, who: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of the rows ``who``: these rows, how many signature bytes agree with every node, and which nodes are candidates."""
+    rows = max(1, (4 << 20) // (len(n) * HASHES))
+    for s in range(0, len(who), rows):
+        own = who[s : s + rows]
+        equal = (sketch[own, None, :] == sketch[None, :, :]).sum(2, dtype=np.uint8)
+        small, large = np.minimum(n[own, None], n), np.maximum(n[own, None], n)
+        yield own, equal, (equal >= LEAST_EQUAL) & (LEAST_OVER_UNION[1] * small >= LEAST_OVER_UNION[0] * large) & (comp[own, None] != comp)
 
 
 def _by_region(work, schema: pa.Schema, region: int, columns: tuple[str, ...]):
@@ -186,10 +236,10 @@ def _offers(offers: int):
             if e - s == 2:
                 continue
             own = node[s:e]
-            for first, equal, ok in _agreeing(n[s:e], own, sketch[s:e]):
+            for rows, equal, ok in _agreeing(n[s:e], own, sketch[s:e], np.arange(e - s)):
                 for i in np.flatnonzero(ok.any(1)):
                     other = np.flatnonzero(ok[i])
-                    me = own[first + i]
+                    me = own[rows[i]]
                     if len(other) > offers:
                         other = other[np.lexsort((own[other], -equal[i, other].astype(np.int16)))[:offers]]
                         out[0].append(np.array([me]))
@@ -201,14 +251,16 @@ def _offers(offers: int):
 
 
 def _undecided(spans, cols, sketch, key, out):
-    """(key, node) of nodes that have candidates in other components."""
+    """(key, node) of nodes that have candidates in other components; it is enough to look from those outside the largest."""
     n, node, comp = cols
     for s, e in spans:
         if (comp[s:e] == comp[s]).all():
             continue
         hit = np.zeros(e - s, bool)
-        for first, _, ok in _agreeing(n[s:e], comp[s:e], sketch[s:e]):
-            hit[first : first + len(ok)] |= ok.any(1)
+        group = np.unique(comp[s:e], return_inverse=True)[1]
+        for rows, _, ok in _agreeing(n[s:e], comp[s:e], sketch[s:e], np.flatnonzero(group != np.bincount(group).argmax())):
+            hit[rows] |= ok.any(1)
+            hit |= ok.any(0)
         out[0].append(np.full(int(hit.sum()), key[s]))
         out[1].append(node[s:e][hit])
 
@@ -296,13 +348,14 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs whose full shingle sets are similar enough, and the texts of all pairs, each picked out once.
+def _confirm(pairs: DataFrame, texts: DataFrame, label: str, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose full shingle sets are similar enough, and the texts of all pairs and of the nodes ``also``, each picked out once.
 
     Texts are dealt by doc_id whatever the number of pairs, so the plan is the
     same at every size; the small side of each join is a hash table.
     """
-    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    members = (members if also is None else members.unionByName(also.select(F.col("node").alias("doc_id")))).distinct()
     own = staged(texts.join(members.hint("shuffle_hash"), "doc_id", "left_semi"), f"{label}-texts")
     a, b = (own.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
     met = a.join(pairs.hint("shuffle_hash"), "a").join(b.hint("merge"), "b")
@@ -315,25 +368,39 @@ def links(docs: DataFrame, nodes: DataFrame, region: int = REGION, offers: int =
     order = F.substr(F.concat("sketch", "sketch"), F.col("t") * STEP + 1, F.lit(HASHES))
     long2 = lambda *names: pa.schema([(c, pa.int64()) for c in names])
 
-    def regions(rows: DataFrame, *more: str) -> DataFrame:
-        return _regions(rows, region).repartition("key").sortWithinPartitions("key", order).select("key", "last", "sketch", "n", "node", *more)
+    def sorted_(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", order).select("key", "last", "sketch", "n", "node", *more)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
-    offered = regions(nodes).mapInArrow(_by_region(_offers(offers), long2("a", "b"), region, ("n", "node")), _PAIR)
+    heavy = _overfull(_records(nodes), region)
+    crowded = None if heavy.isEmpty() else staged(_records(nodes).join(heavy, "key", "left_semi").select("node").distinct(), "forest-crowded")
+    offered = sorted_(_regions(nodes, heavy, region)).mapInArrow(_by_region(_offers(offers), long2("a", "b"), region, ("n", "node")), _PAIR)
     offered = staged(offered.distinct(), "forest-offers")
-    found, own = _confirm(offered.filter("a <> b"), texts, "forest")
+    found, own = _confirm(offered.filter("a <> b"), texts, "forest", crowded)
     labels = components(found)
     more = offered.filter("a = b").select(F.col("a").alias("node"))
-    if more.isEmpty():
+    if crowded is not None:
+        dense = lambda: _records(labelled(nodes.join(crowded, "node", "left_semi"))).join(heavy, "key", "left_semi").drop("sig")
+        found = found.unionByName(_confirm(staged(_hub_pairs(dense(), found), "forest-hub-pairs"), own, "forest-hub")[0])
+        labels = components(found)
+        wanted = more.unionByName(crowded).distinct()
+    elif more.isEmpty():
         return labels
-    # A pair that wasn't offered is one of two nodes that both had more.
-    asked = nodes.join(more, "node", "left_semi").join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    asked = staged(asked, "forest-asked")
-    open_ = regions(asked, "comp").mapInArrow(_by_region(_undecided, long2("key", "node"), region, ("n", "node", "comp")), "key long, node long")
+    else:
+        wanted = more
+    # A pair that wasn't offered is one of two nodes that both had more, or of an overfull region.
+    asked = staged(labelled(nodes.join(wanted, "node", "left_semi")), "forest-asked")
+    met = _records(asked.join(more, "node", "left_semi")).join(heavy, "key", "left_anti").drop("sig")
+    if crowded is not None:
+        met = met.unionByName(_blocks(_records(asked).join(heavy, "key", "left_semi").drop("sig"), region))
+    open_ = sorted_(met.withColumn("last", F.lit(False)), "comp").mapInArrow(_by_region(_undecided, long2("key", "node"), region, ("n", "node", "comp")), "key long, node long")
     open_ = staged(open_.distinct(), "forest-open")
     if open_.isEmpty():
         return labels
     members = open_.select("node").distinct()
-    # Whoever had more is in a pair, so its text is among those already picked out.
+    # Whoever had more is in a pair, so its text is among those already picked out, as are those of overfull regions.
     sets = own.withColumnRenamed("doc_id", "node").join(members.hint("shuffle_hash"), "node", "left_semi").mapInArrow(_hashes, "node long, hashes binary")
     sets = staged(sets.join(asked.select("node", "comp").hint("shuffle_hash"), "node"), "forest-sets")
     rows = sets.join(open_.hint("shuffle_hash"), "node").select("key", "node", "comp", "hashes").repartition("key").sortWithinPartitions("key")

@@ -98,6 +98,28 @@ def test_dense_regions_lose_no_link(spark):
     assert got == dict(enumerate(up))
 
 
+def test_overfull_regions_lose_no_link(spark):
+    """A star of texts at about 0.78 from its middle and 0.6 from each other, whose regions are overfull at depths 3 and 6."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        w = list(base)
+        for k in rng.choice(300, 8, replace=False):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), region=40).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for _, t in rows]
+    up = list(range(400))
+    for a in range(400):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((up[a], up[b]))
+                up = [x if u == y else u for u in up]
+    assert len(set(up)) < 40
+    assert got == dict(enumerate(up))
+
+
 def test_golomb():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 1000):
