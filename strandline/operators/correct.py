@@ -96,11 +96,21 @@ def recoded_quality(before: str, after: str, qual: list[int]) -> str:
 
 
 def neighbourhood(flags: DataFrame, reads: DataFrame, k: int) -> DataFrame:
-    """id, kmer (canonical): each read's solid k-mers, and all that differ from another of its k-mers in one base at most."""
+    """id, kmer (canonical): each read's solid k-mers, and all that the search may make of another of its k-mers.
+
+    Those have any base for each N and changes NEAR bases apart or more, as
+    many as a k-mer has room for.
+    """
     own = K.explode_kmers(reads.select("id", "seq"), k).join(flags, ["id", "i"])
-    bases = F.array(*[F.lit(b) for b in "ACGT"])
-    one = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.transform(bases, lambda b: F.overlay("kmer", b, i, F.lit(1)))))
-    near = F.when(F.col("solid") == 1, F.array("kmer")).otherwise(F.array_distinct(one))
+    bases, places = F.array(*[F.lit(b) for b in "ACGT"]), F.sequence(F.lit(1), F.lit(k))
+    put = lambda s, i: F.transform(bases, lambda b: F.overlay(s, b, i, F.lit(1)))
+    filled = F.aggregate(places, F.array("kmer"), lambda made, i: F.when(F.substr("kmer", i, F.lit(1)) == "N", F.flatten(F.transform(made, lambda s: put(s, i)))).otherwise(made))
+    ways = F.transform(filled, lambda s: F.struct(s.alias("s"), F.lit(1 - NEAR).alias("last")))
+    near = [filled]
+    for _ in range(0, k, NEAR):
+        ways = F.flatten(F.transform(ways, lambda x: F.flatten(F.transform(F.filter(places, lambda i: i >= x["last"] + NEAR), lambda i: F.transform(put(x["s"], i), lambda s: F.struct(s.alias("s"), i.alias("last")))))))
+        near.append(F.transform(ways, lambda x: x["s"]))
+    near = F.when(F.col("solid") == 1, F.array("kmer")).otherwise(F.array_distinct(F.concat(*near)))
     return own.select("id", F.explode(near).alias("kmer")).select("id", K.canonical(F.col("kmer")).alias("kmer")).distinct()
 
 
@@ -109,9 +119,7 @@ def corrected(reads: DataFrame, counts: DataFrame, k: int, least: int) -> DataFr
 
     Reads whose k-mers are all frequent need no search and no counts; the
     others get their neighbourhood's counts by a join, as one map for each
-    read. Changes of one read lie NEAR bases apart or more, so a k-mer of up
-    to NEAR bases meets one change; longer ones may meet more, whose k-mers
-    count as absent.
+    read.
     """
     flags = K.solid(reads, counts, k, least)
     whole = flags.groupBy("id").agg(F.min("solid").alias("whole"))

@@ -14,9 +14,11 @@ from strandline.session import staged
 
 KC = 15
 def wrong(spark, sf):
-    """Reads with their truth; one in thirty-one has a wrong base, at a place that its keys name."""
+    """Reads with their truth; one in thirty-one has a wrong base, at a place that its keys name, and half of these another one 10 to 14 bases on."""
     own = ided(reads(spark, sf)).withColumn("at", (F.col("l_partkey") % 25 + 20).cast("int"))
-    bad = F.concat(F.substr("seq", F.lit(1), F.col("at")), F.translate(F.substr("seq", F.col("at") + 1, F.lit(1)), "ACGT", "GTAC"), F.substr("seq", F.col("at") + 2))
+    swapped = lambda seq, at: F.concat(F.substr(seq, F.lit(1), at), F.translate(F.substr(seq, at + 1, F.lit(1)), "ACGT", "GTAC"), F.substr(seq, at + 2))
+    one = swapped(F.col("seq"), F.col("at"))
+    bad = F.when(F.col("l_linenumber") % 2 == 0, swapped(one, F.col("at") + (F.col("l_suppkey") % 5 + 10).cast("int"))).otherwise(one)
     hit = F.col("l_orderkey") % 31 == 0
     return own.select("id", F.col("seq").alias("truth"), F.when(hit, bad).otherwise(F.col("seq")).alias("seq"), F.repeat(F.lit("I"), F.lit(60)).alias("qual"), "pos0", "cigar")
 

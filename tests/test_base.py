@@ -195,3 +195,20 @@ def test_planted_errors_are_repaired():
         bad = read[:at] + ("A" if read[at] != "A" else "C") + read[at + 1 :]
         fixed, n = X.both_ways(bad, [40] * 60, 15, counts, 8)
         assert n == 1 and fixed.upper() == read and fixed[at].islower()
+
+
+def test_two_errors_within_a_kmer_are_repaired(spark):
+    import random
+
+    from strandline.operators import correct as X
+
+    r = random.Random(6)
+    ref = "".join(r.choice("ACGT") for _ in range(300))
+    clean = [(f"c{i}", ref[i : i + 60], "I" * 60, ref[i : i + 60]) for i in range(241)]
+    wrong = lambda s, at: s[:at] + {"A": "G", "C": "T", "G": "A", "T": "C"}[s[at]] + s[at + 1 :]
+    bad = [(f"b{i}", wrong(wrong(ref[i : i + 60], 20 + i % 15), 30 + i % 15 + i % 5), "I" * 60, ref[i : i + 60]) for i in range(60, 180, 7)]
+    bad += [(f"n{i}", ref[i : i + 25] + "N" + ref[i + 26 : i + 29] + "N" + ref[i + 30 : i + 60], "I" * 60, ref[i : i + 60]) for i in range(60, 180, 30)]
+    rows = spark.createDataFrame(clean + bad, "id string, seq string, qual string, truth string")
+    counts = K.count_canonical(rows.filter("id like 'c%'"), 15)
+    got = {x.id: x.fixed.upper() for x in X.corrected(rows, counts, 15, 8).collect()}
+    assert got == {x[0]: x[3] for x in clean[8:-8] + bad} | {k: got[k] for k in [x[0] for x in clean[:8] + clean[-8:]]}
