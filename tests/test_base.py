@@ -212,3 +212,24 @@ def test_two_errors_within_a_kmer_are_repaired(spark):
     counts = K.count_canonical(rows.filter("id like 'c%'"), 15)
     got = {x.id: x.fixed.upper() for x in X.corrected(rows, counts, 15, 8).collect()}
     assert got == {x[0]: x[3] for x in clean[8:-8] + bad} | {k: got[k] for k in [x[0] for x in clean[:8] + clean[-8:]]}
+
+
+def test_more_ways_than_most_paths():
+    import itertools
+    import random
+
+    r = random.Random(12)
+    ref = "".join(r.choice("ACGT") for _ in range(300))
+    sites, reads = [140, 145, 150, 155, 160], []
+    for n, swap in enumerate(itertools.product([False, True], repeat=5)):
+        hap = list(ref)
+        for at, s in zip(sites, swap):
+            if s:
+                hap[at] = {"A": "C", "C": "G", "G": "T", "T": "A"}[ref[at]]
+        reads += [A.Read(f"{n}-{i}", "".join(hap[i : i + 80]), [40] * 80) for i in range(0, 221, 3)]
+    hap = ref[:230] + {"A": "C", "C": "G", "G": "T", "T": "A"}[ref[230]] + ref[231:]
+    reads += [A.Read(f"h{i}", hap[i : i + 80], [40] * 80) for i in range(0, 221, 3)]
+    calls = A.window_variants(ref, 0, "c", reads)
+    want = {(at + 1, ref[at], {"A": "C", "C": "G", "G": "T", "T": "A"}[ref[at]]) for at in [*sites, 230]}
+    assert {(c["pos"], c["ref"], c["alt"]) for c in calls} == want
+    assert all(c["ks"] == 21 for c in calls)
