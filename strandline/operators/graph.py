@@ -122,23 +122,32 @@ def without_dead_ends(edges: DataFrame, keys: list[str], fixed: DataFrame) -> Da
     return rows.groupBy(*keys).applyInPandas(peel, rows.schema)
 
 
-def support_intersection(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
+def successive(steps: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """keys, src, dst, next, read, pos, q: for each pair of edges that follow each other (src to dst to next), the support of the first and that of the second."""
+    edges = steps.select(*keys, "src", "dst").distinct()
+    pairs = edges.join(edges.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("next")), [*keys, "dst"])
+    names = [*keys, "src", "dst", "next", "read", "pos", "q"]
+    second = steps.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("next"), "read", "pos", "q")
+    return steps.join(pairs, [*keys, "src", "dst"]).select(*names), second.join(pairs, [*keys, "dst", "next"]).select(*names)
+
+
+def support_intersection(a: DataFrame, b: DataFrame, distance: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Entries of a whose read is in b ``distance`` further on."""
-    return a.join(b.select("read", (F.col("pos") - distance).alias("pos")).distinct(), ["read", "pos"], "left_semi")
+    return a.join(b.select(*keys, "read", (F.col("pos") - distance).alias("pos")).distinct(), [*keys, "read", "pos"], "left_semi")
 
 
-def support_difference(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
+def support_difference(a: DataFrame, b: DataFrame, distance: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Entries of a that have no entry of b ``distance`` before them."""
-    return a.join(b.select("read", (F.col("pos") + distance).alias("pos")).distinct(), ["read", "pos"], "left_anti")
+    return a.join(b.select(*keys, "read", (F.col("pos") + distance).alias("pos")).distinct(), [*keys, "read", "pos"], "left_anti")
 
 
 def support_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def support_merge(a: DataFrame, b: DataFrame) -> DataFrame:
+def support_merge(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One entry for each read: the first by position."""
-    return a.unionByName(b).groupBy("read").agg(F.min(F.struct("pos", "q")).alias("x")).select("read", "x.pos", "x.q")
+    return a.unionByName(b).groupBy(*keys, "read").agg(F.min(F.struct("pos", "q")).alias("x")).select(*keys, "read", "x.pos", "x.q")
 
 
 def supporting_reads(path: Column) -> Column:

@@ -128,6 +128,46 @@ def a10(spark, sf):
     return sup.groupBy("contig").agg(F.collect_list("sup").alias("path")).select("contig", G.supporting_reads(F.col("path")).alias("reads"))
 
 
+PAIR_KEYS = ("contig", "src", "dst", "next")
+NEXT_SQL = f"""{STEP_SQL}, pairs as (select e.contig, e.src, e.dst, f.dst as next from edges e join edges f on e.contig = f.contig and e.dst = f.src),
+na as (select p.*, s.read, s.pos, s.q from pairs p join steps s using (contig, src, dst)),
+nb as (select p.*, s.read, s.pos, s.q from pairs p join steps s on s.contig = p.contig and s.src = p.dst and s.dst = p.next)"""
+SAME_SQL = "na.contig = nb.contig and na.src = nb.src and na.dst = nb.dst and na.next = nb.next and na.read = nb.read"
+
+
+def next_supports(spark, sf):
+    """Supports of every two successive edges, over all steps."""
+    return G.successive(steps(spark, sf), KEYS)
+
+
+@register("J4_successive_intersection", f"with {NEXT_SQL} select * from na where exists (select 1 from nb where {SAME_SQL} and na.pos + 1 = nb.pos)")
+def j4n(spark, sf):
+    return G.support_intersection(*next_supports(spark, sf), 1, PAIR_KEYS)
+
+
+@register("J5_successive_difference", f"with {NEXT_SQL} select * from nb where not exists (select 1 from na where {SAME_SQL} and na.pos + 1 = nb.pos)")
+def j5n(spark, sf):
+    a, b = next_supports(spark, sf)
+    return G.support_difference(b, a, 1, PAIR_KEYS)
+
+
+@register("U3_successive_union", f"with {NEXT_SQL} select * from na union select * from nb")
+def u3n(spark, sf):
+    return G.support_union(*next_supports(spark, sf))
+
+
+@register("U4_successive_merge", f"with {NEXT_SQL}, u as (select * from na union all select * from nb) select contig, src, dst, next, read, min(pos) as pos, arg_min(q, pos) as q from u group by all")
+def u4n(spark, sf):
+    return G.support_merge(*next_supports(spark, sf), PAIR_KEYS)
+
+
+@register("A10_O6_successive_reads", f"with {NEXT_SQL}, u as (select * from na union all select * from nb) select contig, src, dst, next, list_sort(list(distinct read)) as reads from u group by all")
+def a10n(spark, sf):
+    a, b = next_supports(spark, sf)
+    sup = a.unionByName(b).groupBy(*PAIR_KEYS).agg(F.collect_list(F.struct("read", "pos", "q")).alias("sup"))
+    return sup.select(*PAIR_KEYS, G.supporting_reads(F.array("sup")).alias("reads"))
+
+
 @register("X15_spelled", f"with {REF_SQL} select contig, seq from ref")
 def x15(spark, sf):
     v = vertices(spark, sf).filter("vtype = 'middle'").groupBy("contig").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "kmer"))), lambda x: x.kmer).alias("p"))

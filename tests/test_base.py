@@ -233,3 +233,16 @@ def test_more_ways_than_most_paths():
     want = {(at + 1, ref[at], {"A": "C", "C": "G", "G": "T", "T": "A"}[ref[at]]) for at in [*sites, 230]}
     assert {(c["pos"], c["ref"], c["alt"]) for c in calls} == want
     assert all(c["ks"] == 21 for c in calls)
+
+
+@pytest.mark.parametrize("name", ["J4_successive_intersection", "J5_successive_difference", "U3_successive_union", "U4_successive_merge", "A10_O6_successive_reads"])
+def test_supports_of_all_successive_edges(spark, con, name):
+    """Counts and hashes, for there are many rows."""
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    n = con.execute(f"select count(*) from ({ORACLES[name]})").fetchone()[0]
+    key = "array_join(reads, ',')" if "reads" in cols else "concat(read, '/', pos, '/', q)"
+    got = {r[0] for r in df.select(F.md5(F.concat_ws("/", "contig", "src", "dst", "next", F.expr(key)))).collect()}
+    text = key.replace("array_join", "array_to_string") if "reads" in cols else "read || '/' || pos || '/' || q"
+    want = {r[0] for r in con.execute(f"select md5(contig || '/' || src || '/' || dst || '/' || next || '/' || {text}) from ({ORACLES[name]})").fetchall()}
+    assert df.count() == n > 0 and got == want
