@@ -142,7 +142,7 @@ def contained(truth: DataFrame, test: DataFrame, ref: DataFrame) -> DataFrame:
     def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf.side == "truth"]
         if own.empty:
-            return pd.DataFrame({"chrom": [], "pos": [], "ref": [], "alt": [], "found": []})
+            return pd.DataFrame([], columns=["chrom", "pos", "ref", "alt", "found"])
         other = pdf[pdf.side == "test"]
         pick = lambda d: list(zip(d.pos.tolist(), d["ref"].tolist(), d["alt"].tolist()))
         found = spelled(pdf["slice"].iloc[0], int(pdf.start.iloc[0]), pick(own), pick(other))

@@ -15,7 +15,7 @@ WINDOW = 2000
 
 def assembled(spark, sf):
     good = P.R.good_reads(ided(reads(spark, sf)))
-    return P.called(good, reference(spark, sf).select("contig", "seq"), F.lit(2048), WINDOW)
+    return P.called(good, reference(spark, sf).select("contig", "seq"), WINDOW)
 
 
 @register("G20_assembled_variants", f"with {REF_SQL}, {PLANTED_SQL} select chrom, pos, ref, alt from planted where pos > 21 and pos <= 2048 - 21")

@@ -246,3 +246,33 @@ def test_supports_of_all_successive_edges(spark, con, name):
     text = key.replace("array_join", "array_to_string") if "reads" in cols else "read || '/' || pos || '/' || q"
     want = {r[0] for r in con.execute(f"select md5(contig || '/' || src || '/' || dst || '/' || next || '/' || {text}) from ({ORACLES[name]})").fetchall()}
     assert df.count() == n > 0 and got == want
+
+
+def test_windows_of_segments(spark):
+    """Reads meet the windows of their own segment, wherever runs of N begin and end."""
+    import random
+
+    from strandline.operators import pipelines as P
+
+    r = random.Random(21)
+    body = "".join(r.choice("ACGT") for _ in range(4000))
+    swap = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    for lead, gap in ((0, 0), (100, 0), (100, 57), (0, 3000)):
+        # A run of N in the middle, and one site in each half.
+        ref = "N" * lead + body[:2000] + "N" * gap + body[2000:]
+        sites = [lead + 700, lead + gap + 2700]
+        hap = "".join(swap[c] if i in sites else c for i, c in enumerate(ref))
+        reads = [(f"{i}", 0, i, hap[i : i + 100], "I" * 100) for i in range(0, len(hap) - 100, 7) if "N" not in hap[i : i + 100] and lead + 300 < i < lead + gap + 3300]
+        df = spark.createDataFrame(reads, "id string, contig int, pos0 long, seq string, qual string")
+        # Windows at the contig's ends, and in a gap, have no reads.
+        calls = P.called(df, spark.createDataFrame([(0, ref)], "contig int, seq string"), 1000).collect()
+        assert sorted((c.pos, c.ref, c.alt) for c in calls) == [(s + 1, ref[s], swap[ref[s]]) for s in sites]
+
+
+def test_assigned_in_equals_brute_force(spark):
+    segs = [("c", 0, 700, True), ("c", 700, 50, False), ("c", 750, 1300, True), ("c", 2050, 10, False), ("c", 2060, 400, True), ("d", 0, 500, True)]
+    wins = {("c", o + s) for c, o, n, v in segs if c == "c" and v and n >= 500 for s in [*range(0, n - 500, 375), n - 500]} | {("d", 0)}
+    reads = [(f"{c}{p}", c, p, "A" * 60) for c in "cd" for p in range(0, 2500, 3)]
+    got = W.assigned_in(spark.createDataFrame(reads, "id string, contig string, pos0 long, seq string"), spark.createDataFrame(segs, "contig string, offset long, length long, valid boolean"), 500, 375).collect()
+    want = sorted((i, w) for i, c, p, s in reads for d, w in wins if c == d and (w <= p < w + 500 or w <= p + 60 < w + 500))
+    assert sorted((r.id, r.win) for r in got) == want
