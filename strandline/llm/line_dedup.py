@@ -1,8 +1,8 @@
 """Line dedup over range-partitioned line hashes, answered by keep bitmaps.
 
-1. Each document's lines give rows (hash of the key, doc_id, positions), for
-   keys of at least the asked length; a key's repeats in one document are one
-   row. Texts stay where they are.
+1. Each row's lines give rows (hash of the key, doc_id, positions), for keys
+   of at least the asked length; a key's repeats in one text are one row. No
+   text travels.
 2. A range exchange on (hash, doc_id descending) sorts these rows; a hash in
    very many documents spans several partitions, so none is overfull. The
    sorted rows are written down.
@@ -12,16 +12,18 @@
 4. Each partition streams its rows: the first of a hash is the largest
    document, which keeps its lines; the rest lose theirs if the hash is in
    enough documents. The answer is compressed positions, gathered by document
-   into one bitmap, which meets the text again.
+   into one bitmap. Texts that lose nothing stay where they are; only those
+   of documents that lose lines are picked out (``picking``: a bounded filter
+   before the exchange) and meet their bitmaps.
 
 A line's key is the line stripped of blanks and 09-0D at both ends, A-Z
 lower-cased.
 
-Defined results: null and empty texts are one empty line; documents are rows,
-so two rows with one doc_id count as two, and both keep a line if that doc_id
-is its largest; null doc_ids are the smallest; an empty table gives no rows;
-columns besides doc_id and text are not looked at. Keys are compared by a
-128-bit hash.
+Defined results: null and empty texts are one empty line; rows of one doc_id
+are one document, so they count once towards the documents that hold a line,
+whatever their texts, and all keep a line if that doc_id is its largest; null
+doc_ids are one document, the smallest; an empty table gives no rows; columns
+besides doc_id and text are not looked at. Keys are compared by a 128-bit hash.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.picking import marked, marks, unmarked
 from strandline.llm.scratch import pinned
 from strandline.session import staged
 
@@ -76,46 +79,54 @@ def _keys(min_chars: int):
 
 
 class _Runs:
-    """Runs of equal hashes in sorted batches: (part, first row's hash, ...)."""
+    """Runs of equal hashes in sorted batches: first rows, sizes, and how many documents each has."""
 
     def __init__(self, batch: pa.RecordBatch):
         self.h1, self.h2 = (batch.column(i).to_numpy() for i in (0, 1))
+        ids = batch.column(2)
+        self.none, self.num = np.asarray(ids.is_null()), ids.fill_null(0).to_numpy()
         new = np.ones(len(self.h1), bool)
         new[1:] = (self.h1[1:] != self.h1[:-1]) | (self.h2[1:] != self.h2[:-1])
+        other = new.copy()
+        other[1:] |= (self.num[1:] != self.num[:-1]) | (self.none[1:] != self.none[:-1])
         self.starts = np.flatnonzero(new)
         self.sizes = np.diff(self.starts, append=len(self.h1))
+        self.docs = np.add.reduceat(other.astype(np.int64), self.starts) if len(self.h1) else np.zeros(0, np.int64)
 
+    def doc(self, i: int) -> int | None:
+        return None if self.none[i] else int(self.num[i])
 
-_EDGE = "part int, h1 long, h2 long, n long, largest long"
+
+_EDGE = "part int, h1 long, h2 long, n long, largest long, smallest long"
+_EDGE_TYPES = pa.schema([("part", pa.int32()), *[(c, pa.int64()) for c in ("h1", "h2", "n", "largest", "smallest")]])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each part, its first and last hash: rows and largest doc_id (the first row's)."""
+    """For each part, its first and last hash: documents, and the first and last row's doc_id."""
     part = first = last = None
 
     def told():
-        rows = [first] + ([last] if last[:2] != first[:2] else [])
-        return pa.RecordBatch.from_pylist([{"part": part, "h1": a, "h2": b, "n": n, "largest": d} for a, b, n, d in rows], pa.schema([("part", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("largest", pa.int64())]))
+        rows = [first] + ([last] if last is not first else [])
+        return pa.RecordBatch.from_pylist([{"part": part, **dict(zip(_EDGE_TYPES.names[1:], r))} for r in rows], _EDGE_TYPES)
 
     for batch in batches:
         parts = batch.column(5).to_numpy()
         for p in dict.fromkeys(parts.tolist()):
             own = np.flatnonzero(parts == p)
-            rows = batch.slice(int(own[0]), len(own))
+            runs = _Runs(batch.slice(int(own[0]), len(own)))
             if p != part:
                 if part is not None:
                     yield told()
                 part, first, last = p, None, None
-            runs = _Runs(rows)
-            for s, n in ((runs.starts[0], runs.sizes[0]), (runs.starts[-1], runs.sizes[-1])) if len(runs.starts) > 1 else ((runs.starts[0], runs.sizes[0]),):
-                one = [int(runs.h1[s]), int(runs.h2[s]), int(n), rows.column(2)[int(s)].as_py()]
-                if first is None or (first[:2] == one[:2]):
-                    first = one if first is None else [*first[:2], first[2] + one[2], first[3]]
-                    last = first
-                elif last[:2] == one[:2]:
-                    last = [*last[:2], last[2] + one[2], last[3]]
+            for i in dict.fromkeys((0, len(runs.starts) - 1)):
+                a = int(runs.starts[i])
+                one = [int(runs.h1[a]), int(runs.h2[a]), int(runs.docs[i]), runs.doc(a), runs.doc(a + int(runs.sizes[i]) - 1)]
+                if last is not None and last[:2] == one[:2]:
+                    last[2] += one[2] - (last[4] == one[3])  # a document that goes on counts once
+                    last[4] = one[4]
                 else:
                     last = one
+                    first = first or one
     if part is not None:
         yield told()
 
@@ -148,10 +159,8 @@ def _drops(min_docs: int, borders: dict):
 def _answered(rows: pa.RecordBatch, min_docs: int, borders: dict) -> Iterator[pa.RecordBatch]:
     """Drops among rows that hold whole runs, or parts of runs that ``borders`` has."""
     runs = _Runs(rows)
-    lose = np.repeat(runs.sizes >= min_docs, runs.sizes)
-    ids = rows.column(2)
-    none = np.asarray(ids.is_null())
-    num = ids.fill_null(0).to_numpy()
+    lose = np.repeat(runs.docs >= min_docs, runs.sizes)
+    none, num = runs.none, runs.num
     top, top_none = np.repeat(num[runs.starts], runs.sizes), np.repeat(none[runs.starts], runs.sizes)
     for s, n in zip(runs.starts, runs.sizes):
         if (b := borders.get((int(runs.h1[s]), int(runs.h2[s])))) is not None:
@@ -196,11 +205,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     keys = staged(keys, "line-keys").repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     keys = pinned(keys)  # both passes below see the same partitions
     found: dict[tuple, list] = {}
-    for e in keys.mapInArrow(_edges, _EDGE).collect():  # two rows for each part at most
-        b = found.setdefault((e.h1, e.h2), [0, None])
-        b[0] += e.n
-        b[1] = e.largest if b[1] is None else b[1] if e.largest is None else max(b[1], e.largest)
-    drops = keys.mapInArrow(_drops(min_docs, {k: tuple(v) for k, v in found.items()}), _DROP)
+    for e in sorted(keys.mapInArrow(_edges, _EDGE).collect(), key=lambda e: e.part):  # two rows for each part at most
+        if (b := found.get((e.h1, e.h2))) is None:
+            found[e.h1, e.h2] = [e.n, e.largest, e.smallest]
+        else:
+            b[0] += e.n - (e.largest == b[2])
+            b[2] = e.smallest
+    drops = keys.mapInArrow(_drops(min_docs, {k: (v[0], v[1]) for k, v in found.items()}), _DROP)
     return drops.groupBy("doc_id", "th").agg(F.collect_list("places").alias("lists")).mapInArrow(_bitmaps, _KEEP)
 
 
@@ -226,8 +237,11 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, text (what stays) for each row of doc_id and text."""
-    keep = keep_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "kid", "th": "kth"})
-    rows = docs.select("doc_id", "text", text_hash(F.col("text")).alias("th"))
+    keep = staged(keep_bitmaps(docs, min_chars, min_docs), "line-keeps")
+    rows, key = docs.select("doc_id", "text"), [F.col("doc_id"), text_hash(F.col("text"))]
+    bitmap = marks(keep.select("doc_id", "th"))
+    losing = marked(rows, key, bitmap).select("doc_id", "text", key[1].alias("th"))
+    keep = keep.withColumnsRenamed({"doc_id": "kid", "th": "kth"})
     # Texts aren't sorted: the bitmaps of a partition are its hash table.
-    met = rows.join(keep.hint("shuffle_hash"), rows.doc_id.eqNullSafe(keep.kid) & (rows.th == keep.kth), "left")
-    return met.select("doc_id", "text", "keep").mapInArrow(_applied, _KEPT)
+    met = losing.join(keep.hint("shuffle_hash"), losing.doc_id.eqNullSafe(keep.kid) & (losing.th == keep.kth), "left").select("doc_id", "text", "keep")
+    return met.mapInArrow(_applied, _KEPT).unionByName(unmarked(rows, key, bitmap).withColumn("keep", F.lit(None).cast("binary")).mapInArrow(_applied, _KEPT))
