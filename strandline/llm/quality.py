@@ -11,8 +11,9 @@ no remainder of 1 modulo 3. Only the text enters a score.
 
 Defined results: a null text counts as empty and gets a score like any other;
 a null doc_id counts as empty text in the remainder and is not learned from;
-rows that repeat are scored alike; labels that repeat a doc_id count by their
-largest value; without labels, or with labels of one kind only, every score is
+rows that repeat are scored alike; of several texts under one doc_id the one
+of the smallest statistics is learned from; labels that repeat a doc_id count
+by their largest value; without labels, or with labels of one kind only, every score is
 their smoothed share; an empty table gives no rows; columns besides doc_id and
 text are not looked at.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.words import buffers, distinct_in_text, shingle_hashes, slices, word_hashes, word_spans
+from strandline.llm.words import SLICE_BYTES, buffers, distinct_in_text, shingle_hashes, slices, words_of
 
 SAMPLE, TREES, DEPTH, BINS, RATE, L2, LEAST = 12_000, 120, 4, 64, 0.1, 1.0, 5.0
 FOLDS, HELD_OUT = 3, 1
@@ -46,40 +47,54 @@ def _ratio(a, b):
     return np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
 
 
+def _class_counts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many bytes of each class each text has."""
+    n, lo, hi = len(off) - 1, int(off[0]), int(off[-1])
+    if n == 1:
+        return sum((np.bincount(_CLASS[raw[a : min(hi, a + SLICE_BYTES)]], minlength=_N) for a in range(lo, hi, SLICE_BYTES)), np.zeros(_N, np.int64)).reshape(1, _N).astype(float)
+    text = np.repeat(np.arange(n), np.diff(off))
+    return np.bincount(text * _N + _CLASS[raw[lo:hi]], minlength=n * _N).reshape(n, _N).astype(float)
+
+
+def _kinds_and_most(words: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many different words each text has, and how often its most frequent one occurs."""
+    n, most = len(per), np.zeros(len(per))
+    if n == 1:
+        times = np.unique(words, return_counts=True)[1]
+        return np.array([float(len(times))]), np.array([float(times.max(initial=0))])
+    owner = np.repeat(np.arange(n), per)
+    order = np.lexsort((words, owner))
+    w, o = words[order], owner[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
+    at = np.flatnonzero(new)
+    np.maximum.at(most, o[at], np.diff(at, append=len(w)))
+    return np.bincount(o[at], minlength=n).astype(float), most
+
+
 def statistics(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """One row of FEATURES for each text of a buffer."""
     n = len(off) - 1
-    lo, hi = int(off[0]), int(off[-1])
     size = np.diff(off).astype(float)
-    text = np.repeat(np.arange(n), np.diff(off))
-    counts = np.bincount(text * _N + _CLASS[raw[lo:hi]], minlength=n * _N).reshape(n, _N).astype(float)
-    starts, ends, per = word_spans(raw, off)
-    words, _ = word_hashes(raw, off)
+    counts = _class_counts(raw, off)
+    words, length, per = words_of(raw, off)
     m = per.astype(float)
-    owner = np.repeat(np.arange(n), per)
-    length = ends - starts
-    each = lambda flags: np.bincount(owner, weights=flags, minlength=n)
-    distinct, kinds = distinct_in_text(words, per)
+    owner = np.repeat(np.arange(n, dtype=np.int32), per)
+    each = lambda flags: np.array([flags.sum()], float) if n == 1 else np.bincount(owner, weights=flags, minlength=n)
+    kinds, top = _kinds_and_most(words, per)
     shares = []
     for k in (2, 5):
         runs, r = shingle_hashes(words, per, k)
         _, d = distinct_in_text(runs, r)
         shares.append(_ratio(d.astype(float), r.astype(float)))
-    same = np.zeros(len(words))
+    same = np.zeros(len(words), bool)
     same[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
-    order = np.lexsort((words, owner))
-    new = np.ones(len(words), bool)
-    new[1:] = (words[order][1:] != words[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-    at = np.flatnonzero(new)
-    top = np.zeros(n)
-    if len(at):
-        np.maximum.at(top, owner[order][at], np.diff(at, append=len(words)))
     p = counts / np.maximum(size, 1)[:, None]
     entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
     names = list(_CLASSES)
     letters = counts[:, names.index("lower")] + counts[:, names.index("upper")]
     return np.column_stack(
-        [np.log1p(size), np.log1p(m), _ratio(each(length), m), *p.T, _ratio(counts[:, names.index("upper")], letters), _ratio(size, counts[:, names.index("line")] + 1), _ratio(kinds.astype(float), m), *shares, _ratio(each(same), m), _ratio(each(length <= 2), m), _ratio(each(length >= 16), m), _ratio(top, m), entropy]
+        [np.log1p(size), np.log1p(m), _ratio(each(length), m), *p.T, _ratio(counts[:, names.index("upper")], letters), _ratio(size, counts[:, names.index("line")] + 1), _ratio(kinds, m), *shares, _ratio(each(same), m), _ratio(each(length <= 2), m), _ratio(each(length >= 16), m), _ratio(top, m), entropy]
     )
 
 
@@ -169,7 +184,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder(F.col("doc_id")) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")  # ``sample`` rows at most
-    facts = rows.mapInArrow(_statistics, "doc_id long, x array<double>").dropDuplicates(["doc_id"]).toArrow()
+    facts = rows.mapInArrow(_statistics, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x")).toArrow()
     quality = known.toArrow()
     y_of = dict(zip(quality.column("doc_id").to_pylist(), quality.column("quality").to_pylist()))
     ids = np.array(facts.column("doc_id").to_pylist(), np.int64)

@@ -2,7 +2,9 @@
 
 A word is a run of bytes other than the blank and 09-0D; bytes of multi-byte
 characters are never among those. Everything here is numpy over one buffer
-that holds many texts; callers bound the buffer, not the texts.
+that holds many texts. A text longer than a slice is worked off in pieces of
+that size, with the word that a piece ends in carried on to the next, so only
+eight bytes for each of its words are held, not several arrays over its bytes.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at a time; a longer text makes a slice of its own.
+#: Bytes of text worked on at a time; a longer text makes a slice of its own, and is worked off in pieces.
 SLICE_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, bool)
@@ -72,16 +74,9 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, per
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word (A-Z lower-cased if asked), and the number of words of each text."""
-    lo, hi = int(off[0]), int(off[-1])
-    starts, ends, per = word_spans(raw, off)
-    data = raw[lo:hi]
-    if lower:
-        data = _LOWER[data]
-    n = hi - lo
-    if not len(starts):
-        return np.zeros(0, np.uint64), per
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each word the sum of its bytes' values times powers of the base, from its start on."""
+    n = len(data)
     power = np.full(n + 1, _BASE, np.uint64)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
@@ -90,7 +85,57 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[n
     inverse = np.full(n + 1, _BASE_INV, np.uint64)
     inverse[0] = 1
     np.multiply.accumulate(inverse, out=inverse)
-    return _mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), per
+    return (total[ends] - total[starts]) * inverse[starts]
+
+
+def words_of(raw: np.ndarray, off: np.ndarray, lower: bool = True, piece: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash (A-Z lower-cased if asked) and the bytes of each word, and the number of words of each text."""
+    lo, hi = int(off[0]), int(off[-1])
+    if len(off) == 2 and hi - lo > piece:
+        hashes, sizes = _words_of_long(raw[lo:hi], lower, piece)
+        return hashes, sizes, np.array([len(hashes)])
+    starts, ends, per = word_spans(raw, off)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), per
+    data = raw[lo:hi]
+    sizes = ends - starts
+    return _mixed(_sums(_LOWER[data] if lower else data, starts, ends) + sizes.astype(np.uint64)), sizes, per
+
+
+def _words_of_long(data: np.ndarray, lower: bool, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of one long text, piece by piece. A word's sum goes on in the next piece, times the base to the power of what it has."""
+    hashes, lengths = [], []
+    carried, size = np.zeros(1, np.uint64), 0
+
+    def done(sums: np.ndarray, sizes: np.ndarray) -> None:
+        hashes.append(_mixed(sums + sizes.astype(np.uint64)))
+        lengths.append(sizes.astype(np.int32))
+
+    for a in range(0, len(data), piece):
+        part = data[a : a + piece]
+        starts, ends, _ = word_spans(part, np.array([0, len(part)]))
+        sums = _sums(_LOWER[part] if lower else part, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        sizes = ends - starts
+        if size:
+            if len(starts) and starts[0] == 0:
+                sums[:1] = carried + sums[:1] * np.uint64(pow(int(_BASE), size, 1 << 64))
+                sizes[0] += size
+            else:
+                done(carried, np.array([size]))
+            size = 0
+        if len(ends) and ends[-1] == len(part):
+            carried, size = sums[-1:].copy(), int(sizes[-1])
+            sums, sizes = sums[:-1], sizes[:-1]
+        done(sums, sizes)
+    if size:
+        done(carried, np.array([size]))
+    return np.concatenate(hashes), np.concatenate(lengths)
+
+
+def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word, and the number of words of each text."""
+    hashes, _, per = words_of(raw, off, lower)
+    return hashes, per
 
 
 _PLACE = _mixed(np.arange(101, 101 + 64, dtype=np.uint64)) | np.uint64(1)
@@ -108,6 +153,8 @@ def shingle_hashes(words: np.ndarray, per: np.ndarray, size: int) -> tuple[np.nd
     for k in range(size):
         full += words[k : k + len(full)] * _PLACE[k]
     full = _mixed(full + np.uint64(size))
+    if len(per) == 1 and n >= size:
+        return full, runs
     start = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(runs)])[:-1], runs) + np.arange(int(runs.sum()))
     out = np.zeros(len(start), np.uint64)
     short = np.repeat(per < size, runs)
@@ -124,6 +171,9 @@ def shingle_hashes(words: np.ndarray, per: np.ndarray, size: int) -> tuple[np.nd
 
 def distinct_in_text(values: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each text, sorted, and their number."""
+    if len(per) == 1:
+        v = np.unique(values)
+        return v, np.array([len(v)])
     text = np.repeat(np.arange(len(per)), per)
     order = np.lexsort((values, text))
     v, t = values[order], text[order]
