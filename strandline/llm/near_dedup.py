@@ -8,19 +8,22 @@
    agree on a tree's first three minima are a region. Where a region has more
    than ``region`` nodes, its depth grows for a first look, and only nodes that
    agree on more minima stay together; at the last depth, an overfull region is
-   cut into overlapping runs of its sorted order. Step 6 makes up for this.
+   cut into overlapping runs of its sorted order. This first look may miss
+   pairs; all that share an overfull region of depth three meet in step 6.
 3. In a region, neighbours by longest common prefix and by the number of equal
    signature bytes are candidates, unless sizes rule a link out or too few
    bytes agree (about five standard deviations below the threshold). Each node
    offers its best few, and says whether it had more.
 4. Offered pairs are confirmed on the full shingle sets of both texts, and
-   links are joined to components.
+   links are joined to components. Only texts of nodes in some pair are picked
+   out (``picking``: a bounded filter before the exchange); one text stands for
+   all that have its set.
 5. Nodes that had more meet again, region by region, but only those with a
    candidate in another component, and with their sets in hand: there, sets
    outside a region's largest component are held against all sets of other
    components, and what links two components comes out. These few links are
    confirmed as before. So a large group of copies never becomes a list of
-   pairs, and no candidate is dropped.
+   pairs, and no candidate of a region that isn't overfull is dropped.
 6. Overfull regions of depth three meet again as a whole in step 5, whether
    their nodes had more or not. First all nodes of such a region are held
    against the one with most links. Then nodes outside the region's largest
@@ -32,8 +35,10 @@ A pair at the threshold shares a region in some tree with probability
 
 Defined results: null and empty texts, and texts of blanks, have no shingles
 and are linked with nothing; rows with a null doc_id are linked with nothing
-and have a null component; rows that repeat one doc_id share their links; an
-empty table gives no rows; columns besides doc_id and text are not looked at.
+and have a null component; rows of one doc_id are judged by their own text
+each, and rows that repeat a doc_id and a set are one document; an empty table
+gives no rows; columns besides doc_id and text are not looked at. Sets are
+compared by 64-bit hashes of their shingles, and told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -42,9 +47,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.picking import marked, marks, without
 from strandline.llm.words import _mixed, buffers, distinct_in_text, shingle_hashes, slices, word_hashes
 from strandline.operators.components import components
 from strandline.session import staged
@@ -56,7 +62,7 @@ HASHES = TREES * STEP
 LEAST_EQUAL = 29
 
 _SEEDS = _mixed(np.arange(1001, 1001 + HASHES, dtype=np.uint64)) | np.uint64(1)
-_SET = "doc_id long, n_shingles long, s1 long, s2 long, sig binary, sketch binary"
+_SET = "doc_id long, th long, n_shingles long, s1 long, s2 long, sig binary, sketch binary"
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +82,7 @@ def signatures(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, off = buffers(batch.column(1))
+        raw, off = buffers(batch.column(2))
         for a, b in slices(off):
             sets, sizes = shingle_sets(raw, off[a : b + 1])
             some = sizes > 0
@@ -89,8 +95,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[1][some] = np.add.reduceat(_mixed(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
                 for i, s in zip(np.flatnonzero(some), signatures(sets, sizes)):
                     sigs[i], sketches[i] = s.tobytes(), s.astype(np.uint8).tobytes()
-            cols = [batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "s1", "s2", "sig", "sketch"])
+            cols = [*(batch.column(i).slice(a, b - a) for i in (0, 1)), pa.array(sizes.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n_shingles", "s1", "s2", "sig", "sketch"])
 
 
 def _key(depth: int):
@@ -266,13 +272,13 @@ def _undecided(spans, cols, sketch, key, out):
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node and its set, as sorted distinct hashes of 32 bits."""
+    """node and its set, as sorted distinct hashes."""
     for batch in batches:
         raw, off = buffers(batch.column(1))
         for a, b in slices(off):
             sets, sizes = shingle_sets(raw, off[a : b + 1])
             ends = np.cumsum(sizes)
-            out = [(sets[e - k : e] >> np.uint64(32)).astype("<u4").tobytes() for e, k in zip(ends.tolist(), sizes.tolist())]
+            out = [sets[e - k : e].astype("<u8").tobytes() for e, k in zip(ends.tolist(), sizes.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], ["node", "hashes"])
 
 
@@ -313,7 +319,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def links_of():
         own = {h[1]: h for h in held}  # a node of an overlapping run counts once
         rows = list(own.values())
-        pairs = linked_in_region(np.array([r[2] for r in rows]), [np.frombuffer(r[3], "<u4") for r in rows]) if len(rows) > 1 else []
+        pairs = linked_in_region(np.array([r[2] for r in rows]), [np.frombuffer(r[3], "<u8") for r in rows]) if len(rows) > 1 else []
         ends = [(min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])) for i, j in pairs]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -348,23 +354,32 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, label: str, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pairs whose full shingle sets are similar enough, and the texts of all pairs and of the nodes ``also``, each picked out once.
+def _met(pairs: DataFrame, own: DataFrame, label: str) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets are similar enough; own: node, text of all that are in pairs."""
+    a, b = (own.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    met = a.join(pairs.hint("shuffle_hash"), "a").join(b.hint("merge"), "b")
+    return staged(met.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, _PAIR), f"{label}-links")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text for the wanted (node, doc_id, th), one row each. docs: doc_id, th, text.
 
-    Texts are dealt by doc_id whatever the number of pairs, so the plan is the
-    same at every size; the small side of each join is a hash table.
+    The plan is the same at every size: a bounded filter, then an exchange by
+    doc_id and hash of what it lets through, whose small side is a hash table.
     """
-    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    members = (members if also is None else members.unionByName(also.select(F.col("node").alias("doc_id")))).distinct()
-    own = staged(texts.join(members.hint("shuffle_hash"), "doc_id", "left_semi"), f"{label}-texts")
-    a, b = (own.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    met = a.join(pairs.hint("shuffle_hash"), "a").join(b.hint("merge"), "b")
-    return staged(met.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, _PAIR), f"{label}-links"), own
+    keys = staged(wanted.select("node", F.col("doc_id").alias("wid"), F.col("th").alias("wth")), "forest-wanted")
+    may = marked(docs, [F.col("doc_id"), F.col("th")], marks(keys.select("wid", "wth")))
+    met = may.join(keys.hint("shuffle_hash"), (may.doc_id == keys.wid) & (may.th == keys.wth))
+    return staged(met.groupBy("wid", "wth", "node").agg(F.first("text").alias("text")).select("node", "text"), "forest-texts")
 
 
 def links(docs: DataFrame, nodes: DataFrame, region: int = REGION, offers: int = OFFERS) -> DataFrame:
-    """node, component for those of the nodes (node, n, sig, sketch) that have links; their texts are in docs under their doc_id."""
-    texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    """node, component for those of the nodes (node, doc_id, th, n, sig, sketch) that have links.
+
+    docs (doc_id, th, text) has a text for the doc_id and the hash of each node.
+    """
+    places = nodes.select("node", "doc_id", "th")
+    nodes = nodes.select("node", "n", "sig", "sketch")
     order = F.substr(F.concat("sketch", "sketch"), F.col("t") * STEP + 1, F.lit(HASHES))
     long2 = lambda *names: pa.schema([(c, pa.int64()) for c in names])
 
@@ -378,12 +393,16 @@ def links(docs: DataFrame, nodes: DataFrame, region: int = REGION, offers: int =
     crowded = None if heavy.isEmpty() else staged(_records(nodes).join(heavy, "key", "left_semi").select("node").distinct(), "forest-crowded")
     offered = sorted_(_regions(nodes, heavy, region)).mapInArrow(_by_region(_offers(offers), long2("a", "b"), region, ("n", "node")), _PAIR)
     offered = staged(offered.distinct(), "forest-offers")
-    found, own = _confirm(offered.filter("a <> b"), texts, "forest", crowded)
+    pairs = offered.filter("a <> b")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    members = (members if crowded is None else members.unionByName(crowded)).distinct()
+    own = _texts(docs, places.join(members.hint("shuffle_hash"), "node", "left_semi"))
+    found = _met(pairs, own, "forest")
     labels = components(found)
     more = offered.filter("a = b").select(F.col("a").alias("node"))
     if crowded is not None:
         dense = lambda: _records(labelled(nodes.join(crowded, "node", "left_semi"))).join(heavy, "key", "left_semi").drop("sig")
-        found = found.unionByName(_confirm(staged(_hub_pairs(dense(), found), "forest-hub-pairs"), own, "forest-hub")[0])
+        found = found.unionByName(_met(staged(_hub_pairs(dense(), found), "forest-hub-pairs"), own, "forest-hub"))
         labels = components(found)
         wanted = more.unionByName(crowded).distinct()
     elif more.isEmpty():
@@ -401,30 +420,44 @@ def links(docs: DataFrame, nodes: DataFrame, region: int = REGION, offers: int =
         return labels
     members = open_.select("node").distinct()
     # Whoever had more is in a pair, so its text is among those already picked out, as are those of overfull regions.
-    sets = own.withColumnRenamed("doc_id", "node").join(members.hint("shuffle_hash"), "node", "left_semi").mapInArrow(_hashes, "node long, hashes binary")
+    sets = own.join(members.hint("shuffle_hash"), "node", "left_semi").mapInArrow(_hashes, "node long, hashes binary")
     sets = staged(sets.join(asked.select("node", "comp").hint("shuffle_hash"), "node"), "forest-sets")
     rows = sets.join(open_.hint("shuffle_hash"), "node").select("key", "node", "comp", "hashes").repartition("key").sortWithinPartitions("key")
     late = staged(rows.mapInArrow(_joined, _PAIR).distinct(), "forest-late")
     if late.isEmpty():
         return labels
-    return components(found.unionByName(_confirm(late, own, "forest-late")[0]))
+    return components(found.unionByName(_met(late, own, "forest-late")))
+
+
+def _th(text) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _grouped(docs: DataFrame, region: int, offers: int) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, kept for each row of doc_id and text; th is a hash of the text."""
+    docs = docs.select("doc_id", _th(F.col("text")).alias("th"), "text")
+    sets = staged(docs.mapInArrow(_sets, _SET), "near-sets")
+    # A set is one node, whichever documents have it; one of them, with one of its texts, stands for all.
+    same = sets.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("s1", "s2", "n_shingles")
+    same = same.agg(F.min(F.struct("doc_id", "th")).alias("least"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    same = staged(same.select("s1", "s2", "n_shingles", F.xxhash64("s1", "s2", "n_shingles").alias("node"), "least.doc_id", "least.th", "sig", "sketch"), "near-nodes")
+    found = links(docs, same.select("node", "doc_id", "th", F.col("n_shingles").alias("n"), "sig", "sketch"), region, offers)
+    # Components have the name of a node; documents are named by the smallest doc_id.
+    linked = staged(same.select("s1", "s2", "n_shingles", "node", "doc_id").join(found, "node"), "near-linked")
+    named = linked.groupBy("component").agg(F.min("doc_id").alias("name"))
+    alone = same.select("s1", "s2", "n_shingles", "node", "doc_id").join(found.select("node").hint("shuffle_hash"), "node", "left_anti")
+    named = linked.join(named, "component").select("s1", "s2", "n_shingles", "name").unionByName(alone.select("s1", "s2", "n_shingles", F.col("doc_id").alias("name")))
+    out = sets.select("doc_id", "th", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("name", "doc_id"))
+    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 def near_groups(docs: DataFrame, region: int = REGION, offers: int = OFFERS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of doc_id and text."""
-    docs = docs.select("doc_id", "text")
-    sets = staged(docs.mapInArrow(_sets, _SET), "near-sets")
-    same = sets.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
-    same = staged(same, "near-nodes")
-    found = links(docs, same.select("node", F.col("n_shingles").alias("n"), "sig", "sketch"), region, offers)
-    named = same.select("s1", "s2", F.col("n_shingles"), "node").join(found, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "node").alias("c"))
-    out = sets.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    return _grouped(docs, region, offers).drop("th")
 
 
-def without_near_copies(docs: DataFrame, **options) -> DataFrame:
+def without_near_copies(docs: DataFrame, region: int = REGION, offers: int = OFFERS) -> DataFrame:
     """The documents, with all their columns, less those whose component holds a smaller doc_id."""
-    groups = near_groups(docs, **options)
-    gone = groups.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    gone = staged(_grouped(docs, region, offers).filter("not kept").select("doc_id", "th"), "near-gone")
+    return without(docs, [F.col("doc_id"), _th(F.col("text"))], gone)
