@@ -6,7 +6,7 @@ from strandline.session import table
 
 _SQL = rf"""
 with d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size, md5('{SALT}' || coalesce(doc_id::varchar, '')) as key from documents),
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size, md5('{SALT}' || coalesce(doc_id::varchar, md5(coalesce(text, '')))) as key from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [{', '.join(f'{x}.0::double' for x in WEIGHTS)}][((row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1)::int] as weight, {MOST_EPOCHS} * source_size::double as cap from s),
 l as (
