@@ -2,27 +2,33 @@
 
 Index. Vectors are scaled to length 1 and cut in two halves. Each half has its
 own codebook, trained by k-means on a bounded sample; a vector's cell is the
-pair of its halves' centroids. Every vector is indexed.
+pair of its halves' centroids. Codebooks grow with the square root of the
+table, up to a bound, so cells stay small. Every vector is indexed.
 
 Search. For each query the multi-sequence algorithm walks centroid pairs in
-the order of summed distance with a heap, and stops when the cells it has seen
-hold ``visit`` of all vectors (and at least ``least`` vectors). Cells with one
-first centroid form a region; a query goes to each of its regions once, with a
-bitmap of the second centroids that it visits there. Regions and queries are
-split into blocks of bounded size, which meet in one cogroup, and the entries
-of visited cells are reranked by exact cosine in double precision. Equal
-vectors of a block are one entry with its smallest ids, since of a tie only
-the smallest k + 1 ids can be returned.
-
-``visit`` is high because these vectors have no small neighbourhoods: in 64
-near-independent dimensions the fifth neighbour is not much nearer than the
-rest. Lower it for data with structure.
+the order of summed distance with a heap, until the cells it has seen hold
+``visits(n)`` of the n vectors, a number that grows more slowly than n. Cells
+are dealt into blocks of bounded size, by their first centroid; a first
+centroid with more vectors than that has several blocks. Each vector goes to
+one block, once. Queries are the small side: a query goes to every block that
+it visits, with a bitmap of its cells there. A task reads a block's vectors
+first and then streams the queries past them, so it holds one block and a few
+queries, however many there are. In a block, each cell meets the queries that
+visit it, and only these; the best are ranked by exact cosine in double
+precision. Equal vectors of a block are one entry with its smallest ids, since
+of a tie only the smallest k + 1 ids can be returned.
+
+The share that must be visited depends on the vectors. Those with no small
+neighbourhoods (64 near-independent dimensions, where the fifth neighbour is
+not much nearer than the rest) need much, and the defaults are made for them;
+lower ``scale`` for data with structure. README has figures.
 
 Defined results: vectors that are null, zero, of another length than most of
 their table's, or hold null or non-finite components take no part, neither as
 queries nor as candidates; a query has fewer than k rows if there are fewer
 candidates; ties go to the smaller id; rows of null id take no part; an empty
-table gives no rows. Rows that repeat an id are one candidate each.
+table gives no rows. Rows that repeat an id are one candidate each. Components
+may be of any floating-point type.
 """
 
 from __future__ import annotations
@@ -37,8 +43,16 @@ from pyspark.sql import functions as F
 
 from strandline.session import staged
 
-CENTROIDS, SAMPLE, ROUNDS, VISIT, LEAST = 64, 20_000, 12, 0.45, 4_000
-VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 10_000, 4_096
+#: Most centroids of a codebook, rows that train it, and rounds of k-means.
+CENTROIDS, SAMPLE, ROUNDS = 1_024, 20_000, 12
+#: A query visits SCALE * n ** POWER of n vectors.
+SCALE, POWER = 2.6, 0.8
+VECTORS_PER_BLOCK, QUERIES_AT_ONCE = 50_000, 256
+
+
+def visits(n: int, scale: float = SCALE, power: float = POWER) -> int:
+    """How many of n vectors a query visits at least."""
+    return min(n, int(np.ceil(scale * n**power)))
 
 
 def usable(vec: Column, dim: int) -> Column:
@@ -84,11 +98,29 @@ def _assigned(books, dim: int):
                 continue
             unit = _unit(_matrix(batch.column(1), dim))
             c1, c2 = nearest(unit[:, :half], books[0]), nearest(unit[:, half:], books[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c1, pa.int32()), pa.array(c2, pa.int32()), batch.column(1)], ["vec_id", "c1", "c2", "embedding"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c1, pa.int32()), pa.array(c2, pa.int32()), *batch.columns[1:]], ["vec_id", "c1", "c2", *batch.schema.names[1:]])
 
     return run
 
 
+def block_plan(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each first centroid its first block, how many blocks it is split into, and its place among the centroids of that block.
+
+    Centroids share a block while it holds at most ``most`` vectors.
+    """
+    first, parts, place = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    block, held, members = -1, most, 0
+    for c, n in enumerate(sizes.tolist()):
+        if n > most or held + n > most:
+            block, held, members = block + 1, 0, 0
+        first[c], place[c] = block, members
+        held, members = held + n, members + 1
+        if n > most:
+            parts[c] = -(-n // most)
+            block, held = block + int(parts[c]) - 1, most
+    return first, parts, place
+
+
 def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> list[tuple[int, int]]:
     """Centroid pairs by ascending sum of distances until their cells hold ``enough`` vectors."""
     o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
@@ -109,7 +141,10 @@ def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> lis
     return out
 
 
-def _walked(books, dim: int, counts: np.ndarray, enough: int):
+def _walked(books, dim: int, counts: np.ndarray, enough: int, plan):
+    """A row for each query and block that it visits; the mask has a bit for each cell, by place and second centroid."""
+    first, parts, place = plan
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half, k2 = dim // 2, len(books[1])
         for batch in batches:
@@ -117,82 +152,130 @@ def _walked(books, dim: int, counts: np.ndarray, enough: int):
                 continue
             unit = _unit(_matrix(batch.column(1), dim))
             d1, d2 = distances(unit[:, :half], books[0]), distances(unit[:, half:], books[1])
-            at, regions, masks = [], [], []
+            at, blocks, masks = [], [], []
             for q in range(len(unit)):
-                visited = np.zeros((len(books[0]), k2), np.uint8)
-                for a, b in walk(d1[q], d2[q], counts, enough):
-                    visited[a, b] = 1
-                for r in np.flatnonzero(visited.any(1)):
-                    at.append(q)
-                    regions.append(int(r))
-                    masks.append(np.packbits(visited[r]).tobytes())
-            chosen = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["query_id", "query"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int32()), *chosen.columns, pa.array(masks, pa.binary())], ["c1", "query_id", "query", "mask"])
+                cells = np.array(walk(d1[q], d2[q], counts, enough), np.int64).reshape(-1, 2)
+                home = first[cells[:, 0]]
+                for b in np.unique(home):
+                    own = cells[home == b]
+                    bits = np.zeros((int(place[own[:, 0]].max()) + 1) * k2, np.uint8)
+                    bits[place[own[:, 0]] * k2 + own[:, 1]] = 1
+                    mask, n = np.packbits(bits).tobytes(), int(parts[own[0, 0]])
+                    at += [q] * n
+                    blocks += range(int(b), int(b) + n)
+                    masks += [mask] * n
+            chosen = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["vec_id", "embedding"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([1] * len(at), pa.int32()), chosen.column(0), pa.array([0] * len(at), pa.int32()), chosen.column(1), pa.array(masks, pa.binary())], ["block", "kind", "vec_id", "cell", "embedding", "mask"])
 
     return run
 
 
-def _reranked(dim: int, k2: int, k: int):
-    names, types = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
-
-    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if queries.num_rows and vectors.num_rows:
-            q = _matrix(queries.column("query").combine_chunks(), dim)
-            qid = queries.column("query_id").to_numpy()
-            masks = np.unpackbits(np.frombuffer(b"".join(queries.column("mask").to_pylist()), np.uint8).reshape(len(q), -1), axis=1)[:, :k2].astype(bool)
-            vectors = vectors.sort_by("vec_id")
-            ids = vectors.column("vec_id").to_numpy()
-            rows, first, inverse = np.unique(_matrix(vectors.column("embedding").combine_chunks(), dim), axis=0, return_index=True, return_inverse=True)
-            cell = vectors.column("c2").to_numpy()[first]
-            order = np.argsort(inverse.ravel(), kind="stable")  # ids of an entry stay ascending
-            begin = np.searchsorted(inverse.ravel()[order], np.arange(len(rows) + 1))
-            vn, qn = np.sqrt((rows * rows).sum(1)), np.sqrt((q * q).sum(1))
-            unit = rows / vn[:, None]
-            for s in range(0, len(q), 256):
-                near = (q[s : s + 256] / qn[s : s + 256, None]) @ unit.T
-                near[~masks[s : s + 256][:, cell]] = -np.inf
-                kth = np.partition(near, -(k + 1), axis=1)[:, -(k + 1)] if near.shape[1] > k + 1 else np.full(len(near), -2.0)
-                for i, e in zip(*np.nonzero(near >= np.maximum(kth, -2.0)[:, None] - 1e-9)):
-                    n = s + i
-                    score = float((q[n] * rows[e]).sum() / (qn[n] * vn[e]))
-                    own = [x for x in ids[order[begin[e] : begin[e + 1]][: k + 1]].tolist() if x != qid[n]][:k]
-                    out[0] += [int(qid[n])] * len(own)
-                    out[1] += own
-                    out[2] += [score] * len(own)
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names)
+class _Block:
+    """The vectors of one block: distinct ones, ordered by cell, each with its smallest ids."""
+
+    def __init__(self, batches: list[pa.RecordBatch], dim: int, k: int):
+        rows = pa.Table.from_batches(batches).combine_chunks().sort_by("vec_id")
+        self.k, ids = k, rows.column("vec_id").to_numpy()
+        self.rows, first, inverse = np.unique(_matrix(rows.column("embedding").combine_chunks(), dim), axis=0, return_index=True, return_inverse=True)
+        cell = rows.column("cell").to_numpy()[first]
+        by_cell = np.argsort(cell, kind="stable")
+        self.rows, where = self.rows[by_cell], np.argsort(by_cell)
+        inverse = where[inverse.ravel()]
+        order = np.argsort(inverse, kind="stable")  # ids of an entry stay ascending
+        begin = np.searchsorted(inverse[order], np.arange(len(self.rows) + 1))
+        self.ids, self.begin = ids[order], begin
+        self.norms = np.sqrt((self.rows * self.rows).sum(1))
+        self.unit = self.rows / self.norms[:, None]
+        self.cells, self.starts = np.unique(cell[by_cell], return_index=True)
+        self.ends = np.append(self.starts[1:], len(self.rows))
+
+    def best(self, qid: np.ndarray, q: np.ndarray, masks: np.ndarray) -> tuple[list, list, list]:
+        """query ids, vector ids, scores: the best of each query in the cells that it visits."""
+        out: tuple[list, list, list] = ([], [], [])
+        norms = np.sqrt((q * q).sum(1))
+        unit = q / norms[:, None]
+        near = np.full((len(q), len(self.rows)), -np.inf)
+        for c, a, b in zip(self.cells.tolist(), self.starts.tolist(), self.ends.tolist()):
+            if c < masks.shape[1] and len(who := np.flatnonzero(masks[:, c])):
+                near[who, a:b] = unit[who] @ self.unit[a:b].T
+        few = self.k + 1
+        kth = np.partition(near, -few, axis=1)[:, -few] if near.shape[1] > few else np.full(len(near), -2.0)
+        for i, e in zip(*np.nonzero(near >= np.maximum(kth, -2.0)[:, None] - 1e-9)):
+            score = float((q[i] * self.rows[e]).sum() / (norms[i] * self.norms[e]))
+            own = [x for x in self.ids[self.begin[e] : self.begin[e + 1]][:few].tolist() if x != qid[i]][: self.k]
+            out[0].extend([int(qid[i])] * len(own))
+            out[1].extend(own)
+            out[2].extend([score] * len(own))
+        return out
+
+
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _reranked(dim: int, k: int):
+    """Batches sorted by block and kind: a block's vectors, then its queries, which stream past them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, built = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(b) != 0) | (np.diff(kind) != 0)) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)]):
+                if b[a] != block:
+                    block, held, built = b[a], [], None
+                rows = batch.slice(a, z - a)
+                if not kind[a]:
+                    held.append(rows.select(["vec_id", "cell", "embedding"]))
+                    continue
+                if not held:
+                    continue  # a block of empty cells
+                built = built or _Block(held, dim, k)
+                for s in range(0, rows.num_rows, QUERIES_AT_ONCE):
+                    part = rows.slice(s, QUERIES_AT_ONCE)
+                    raw = [np.unpackbits(np.frombuffer(m, np.uint8)) for m in part.column(5).to_pylist()]
+                    masks = np.zeros((len(raw), max(map(len, raw))), bool)
+                    for row, m in zip(masks, raw):
+                        row[: len(m)] = m
+                    found = built.best(part.column(2).to_numpy(), _matrix(part.column(4), dim), masks)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = VISIT, least: int = LEAST, centroids: int = CENTROIDS, sample: int = SAMPLE) -> DataFrame:
+def search(
+    vectors: DataFrame, is_query: Column, k: int = 5, scale: float = SCALE, power: float = POWER, centroids: int = CENTROIDS, sample: int = SAMPLE, per_block: int = VECTORS_PER_BLOCK
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row of vec_id and embedding that is a query.
 
     ``sample`` bounds the rows that codebooks are trained on, ``centroids`` the
-    size of each codebook; both bound what the driver holds.
+    size of each codebook; both bound what the driver holds. ``scale`` and
+    ``power`` say how many vectors a query visits.
     """
-    vectors = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull())
+    spark = vectors.sparkSession
+    vectors = vectors.filter(F.col("vec_id").isNotNull()).select("vec_id", "embedding", is_query.alias("asks"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
     common = vectors.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = common["d"] if common else 1
     vectors = vectors.filter(usable(F.col("embedding"), dim))
-    trained = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    n = vectors.count()
+    centroids = max(1, min(centroids, int(np.ceil(np.sqrt(n)))))
+    trained = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     unit = _unit(_matrix(trained.column("embedding").combine_chunks(), dim)) if trained.num_rows else np.ones((1, dim))
     books = (kmeans(unit[:, : dim // 2], centroids), kmeans(unit[:, dim // 2 :], centroids))
     k1, k2 = len(books[0]), len(books[1])
-    index = staged(vectors.mapInArrow(_assigned(books, dim), "vec_id long, c1 int, c2 int, embedding array<float>"), "ann-index")
+    index = staged(vectors.mapInArrow(_assigned(books, dim), f"vec_id long, c1 int, c2 int, embedding {kind}, asks boolean"), "ann-index")
+    cells = index.groupBy("c1", "c2").count().toArrow()  # one row for each pair of centroids at most
     counts = np.zeros((k1, k2), np.int64)
-    for r in index.groupBy("c1", "c2").count().collect():  # one row for each pair of centroids at most
-        counts[r["c1"], r["c2"]] = r["count"]
-    n = int(counts.sum())
-    enough = min(n, max(least, int(np.ceil(visit * n))))
-    queries = index.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    queries = staged(queries.mapInArrow(_walked(books, dim, counts, enough), "c1 int, query_id long, query array<float>, mask binary"), "ann-queries")
-    splits = F.lit([max(1, int(-(-c // VECTORS_PER_BLOCK))) for c in counts.sum(1)])
-    most = index.filter(is_query).count()
-    query_blocks = max(1, -(-most // QUERIES_PER_BLOCK))
-    parts = F.get(splits, F.col("c1"))
-    left = queries.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("vb"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"))
-    right = index.select("*", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    met = left.groupBy("c1", "vb", "qb").cogroup(right.groupBy("c1", "vb", "qb")).applyInArrow(_reranked(dim, k2, k), "query_id long, vec_id long, score double")
+    counts[cells.column("c1").to_numpy(), cells.column("c2").to_numpy()] = cells.column("count").to_numpy()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = block_plan(counts.sum(1), max(1, min(per_block, -(-n // parts))))
+    queries = index.filter("asks").select("vec_id", "embedding")
+    queries = queries.mapInArrow(_walked(books, dim, counts, max(k + 1, visits(n, scale, power)), plan), f"block int, kind int, vec_id long, cell int, embedding {kind}, mask binary")
+    first, split, place = (F.get(F.lit([int(x) for x in p]), F.col("c1")) for p in plan)
+    block = (first + F.pmod(F.xxhash64("vec_id"), split)).cast("int")
+    entries = index.select(block.alias("block"), F.lit(0).alias("kind"), "vec_id", (place * k2 + F.col("c2")).cast("int").alias("cell"), "embedding", F.lit(None).cast("binary").alias("mask"))
+    met = entries.unionByName(queries).repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(_reranked(dim, k), _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
