@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,20 +48,45 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/strandline/{label}-{uuid.uuid4().hex[:12]}"
+#: Paths made since each open ``scratch`` began, the innermost last.
+_OPEN: list[list[str]] = []
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A fresh path below the shared folder. With ``keep`` it outlives the innermost ``scratch``."""
+    path = f"{scratch_root(spark)}/strandline/{label}-{uuid.uuid4().hex[:12]}"
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what is staged inside, but for what is staged with ``keep``.
+
+    A DataFrame is read when it is used, so use it up, or stage it with
+    ``keep``, before the end. Without this, staged tables stay in the shared
+    folder until whoever owns that folder removes them.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _OPEN.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: what follows no longer depends on shuffle files or
     on the executors that made the rows, and rows that a non-deterministic
-    layout numbered keep their numbers.
+    layout numbered keep their numbers. ``keep``: see ``scratch``.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = scratch_path(spark, label, keep)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
