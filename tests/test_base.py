@@ -276,3 +276,19 @@ def test_assigned_in_equals_brute_force(spark):
     got = W.assigned_in(spark.createDataFrame(reads, "id string, contig string, pos0 long, seq string"), spark.createDataFrame(segs, "contig string, offset long, length long, valid boolean"), 500, 375).collect()
     want = sorted((i, w) for i, c, p, s in reads for d, w in wins if c == d and (w <= p < w + 500 or w <= p + 60 < w + 500))
     assert sorted((r.id, r.win) for r in got) == want
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    from strandline.session import scratch, scratch_path, staged
+
+    place = lambda df: df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    with scratch(spark):
+        with scratch(spark):
+            gone, kept = staged(spark.range(3), "gone"), staged(spark.range(4), "kept", keep=True)
+            paths = place(gone), place(kept)
+            assert all(map(os.path.isdir, paths)) and gone.count() == 3
+        assert [os.path.isdir(p) for p in paths] == [False, True] and kept.count() == 4
+    assert not os.path.isdir(paths[1])
+    assert scratch_path(spark, "free") != scratch_path(spark, "free")
