@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import exact_dedup, mixing, near_dedup, packing, quality
-from strandline.session import staged, table
+from strandline.session import scratch, staged, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents`` one after the other."""
+    """Apply the stages to ``documents`` one after the other; what a stage leaves in the scratch folder goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        with scratch(spark):
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+    return docs
