@@ -6,7 +6,9 @@ so rows hold members without that last byte, and the separator is a zero byte.
 What arrives in the file is a plain sequence of gzip members, on whatever file
 system the session writes to. A member that doesn't end with zero is followed
 by an empty one, which does. Failed tasks leave nothing behind, since the
-sink's commit protocol holds.
+sink's commit protocol holds. A task numbers its archives by the bytes that it
+has written, and begins a new one when the last has enough, whatever the sizes
+of pages; the number is a partition column of the sink.
 
 Reading. A file is read member by member: zlib takes it in steps of 64 KiB and
 hands out what it has; headers end at an empty line; the content block has the
@@ -42,8 +44,8 @@ from strandline.session import scratch_path
 VERSION, CRLF, GZIP_WINDOW = b"WARC/1.1", b"\r\n", 31
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 STEP = 1 << 16
-#: Archives are cut after so many records, so that a file stays well below what a task can hold.
-RECORDS_PER_FILE = 4_000
+#: An archive is closed once it has so many bytes, so a file has at most these and one record, and a task that reads it holds no more.
+FILE_BYTES = 32 << 20
 
 
 def base32_sha1(data: bytes) -> str:
@@ -87,15 +89,29 @@ def row_of(member: bytes) -> bytes:
     return member[:-1]
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            out = []
-            for row in part.to_pylist():
+def _rows(file_bytes: int):
+    """Members, and in which of its task's archives each one goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = size = 0
+        for batch in batches:
+            out, held = ([], []), 0
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 raw = (row["html"] or "").encode("utf-8")
-                out.append(row_of(gzip.compress(record(row["page_id"], row["url"], raw, row["refers_to"], row["revisit"]), 6, mtime=0)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                member = row_of(gzip.compress(record(row["page_id"], row["url"], raw, row["refers_to"], row["revisit"]), 6, mtime=0))
+                if size >= file_bytes:
+                    archive, size = archive + 1, 0
+                size += len(member) + 1
+                held += len(member)
+                out[0].append(archive)
+                out[1].append(member)
+                if held >= 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["archive", "member"])
+                    out, held = ([], []), 0
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["archive", "member"])
+
+    return run
 
 
 def digested(pages: DataFrame) -> DataFrame:
@@ -118,10 +134,10 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     return rows.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write the pages as multi-member gzip archives below ``path``."""
-    members = with_revisits(pages, least).mapInArrow(_rows, "member binary")
-    members.select(F.col("member").cast("string").alias("member")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Write the pages as multi-member gzip archives below ``path``, in a folder for each archive number."""
+    members = with_revisits(pages, least).mapInArrow(_rows(file_bytes), "archive int, member binary")
+    members.select("archive", F.col("member").cast("string").alias("member")).write.partitionBy("archive").option("lineSep", "\0").text(path)
 
 
 class WarcError(ValueError):
@@ -187,13 +203,13 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Records of all archives below ``path``, read in sequence and verified; with their payloads if asked."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(lambda it: _read(it, payloads), _RECORD + ", payload binary" * payloads)
 
 
-def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, least: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the pages into a fresh folder of the shared one and read them back."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_archives(pages, path, least)
+    write_archives(pages, path, least, file_bytes)
     return read_archives(spark, path)
