@@ -22,6 +22,7 @@ empty table gives no rows; only doc_id and text are looked at.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -80,12 +81,13 @@ _WHOLE = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-/:-@\[
 class Ids:
     """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
-    The tokenizer normalises every run of white space to a blank, which its
-    pre-tokenizer removes, so a text's ids are those of its chunks between
-    blanks; each chunk is tokenised once while it is remembered. New chunks
-    that are one word to the tokenizer are tokenised together, and told apart
-    by the mark that the vocabulary has at the end of words; all others, and
-    those that may hold a special token, are tokenised alone.
+    A tokenizer that lower-cases, turns every run of white space into a blank,
+    which its pre-tokenizer removes, and marks the ends of words gives a text
+    the ids of its chunks between blanks; each chunk is tokenised once while it
+    is remembered. New chunks that are one word to the tokenizer are tokenised
+    together, and told apart by the mark that the vocabulary has at the end of
+    words; all others, and those that may hold a special token, are tokenised
+    alone. Any other tokenizer gets whole texts.
     """
 
     MAY_BE_SPECIAL, TOGETHER, WORD_END = b"<|", 4096, "</w>"
@@ -95,10 +97,19 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        self.by_chunks = self._splits_at_blanks()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def _splits_at_blanks(self) -> bool:
+        """Whether the tokenizer's own description says all that the chunks rely on."""
+        form, before = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") != self.WORD_END or form is None or before is None:
+            return False
+        words = [w for w, _ in before.pre_tokenize_str(form.normalize_str("Ab \t\n cD e9"))]
+        return form.normalize_str("Ab \t\n cD") == "ab cd" and words[:2] == ["ab", "cd"] and not any(" " in w for w in words)
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -114,6 +125,10 @@ class Ids:
             self.known[c] = raw[a:b]
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not self.by_chunks:
+            for e in self.tokenizer.encode_batch([t.decode("utf-8") for t in texts], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+            return
         if len(self.known) > REMEMBERED:
             self.known.clear()
         chunks = [(t if self.MAY_BE_SPECIAL in t else loosened(t)).split() for t in texts]
