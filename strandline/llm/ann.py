@@ -109,7 +109,7 @@ def block_plan(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np
     Centroids share a block while it holds at most ``most`` vectors.
     """
     first, parts, place = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    block, held, members = -1, most, 0
+    block, held, members = -1, most + 1, 0  # full, so the first centroid opens a block
     for c, n in enumerate(sizes.tolist()):
         if n > most or held + n > most:
             block, held, members = block + 1, 0, 0
@@ -117,7 +117,7 @@ def block_plan(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np
         held, members = held + n, members + 1
         if n > most:
             parts[c] = -(-n // most)
-            block, held = block + int(parts[c]) - 1, most
+            block, held = block + int(parts[c]) - 1, most + 1
     return first, parts, place
 
 
