@@ -6,7 +6,7 @@ pair of its halves' centroids. Codebooks grow with the square root of the
 table, up to a bound, so cells stay small. Every vector is indexed.
 
 Search. For each query the multi-sequence algorithm walks centroid pairs in
-the order of summed distance with a heap, until the cells it has seen hold
+the order of summed distance with a heap (of tiles of pairs), until the cells it has seen hold
 ``visits(n)`` of the n vectors, a number that grows more slowly than n. Cells
 are dealt into blocks of bounded size, by their first centroid; a first
 centroid with more vectors than that has several blocks. Each vector goes to
@@ -47,7 +47,8 @@ from strandline.session import staged
 CENTROIDS, SAMPLE, ROUNDS = 1_024, 20_000, 12
 #: A query visits SCALE * n ** POWER of n vectors.
 SCALE, POWER = 2.6, 0.8
-VECTORS_PER_BLOCK, QUERIES_AT_ONCE = 50_000, 256
+#: A block holds 16 times the square root of the table, up to a bound.
+VECTORS_PER_BLOCK, QUERIES_AT_ONCE, TILE = 50_000, 256, 8
 
 
 def visits(n: int, scale: float = SCALE, power: float = POWER) -> int:
@@ -121,24 +122,42 @@ def block_plan(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np
     return first, parts, place
 
 
-def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> list[tuple[int, int]]:
-    """Centroid pairs by ascending sum of distances until their cells hold ``enough`` vectors."""
-    o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
-    s1, s2 = d1[o1].tolist(), d2[o2].tolist()
-    rows = counts.tolist()
-    heap, below, out, held = [(s1[0] + s2[0], 0, 0)], [0] * len(s1), [], 0
-    while heap and held < enough:
+def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int, tile: int = TILE) -> np.ndarray:
+    """Centroid pairs (rows) by ascending sum of distances, until their cells hold ``enough`` vectors; empty cells are left out.
+
+    The heap holds tiles, squares of ``tile`` neighbours in both orders of
+    distance, by their least sum. Pairs whose sum is not above that of the next
+    tile come before all that the heap has yet to give, so the order is the
+    same as if the heap held single pairs.
+    """
+    o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
+    s1, s2, n = d1[o1], d2[o2], counts[np.ix_(o1, o2)]
+    at1, at2 = np.arange(0, len(s1), tile), np.arange(0, len(s2), tile)
+    sizes = np.add.reduceat(np.add.reduceat(n, at1, 0), at2, 1).tolist()
+    m1, m2 = s1[at1].tolist(), s2[at2].tolist()
+    sums = s1[:, None] + s2[None, :]
+    heap, below, out, held, wanted = [(m1[0] + m2[0], 0, 0)], [0] * len(m1), np.zeros((len(m1), len(m2)), bool), 0, enough
+    while heap:
         _, i, j = heapq.heappop(heap)
         below[i] = j + 1
-        if n := rows[o1[i]][o2[j]]:
-            out.append((o1[i], o2[j]))
-            held += n
-        # A pair enters the heap when the pairs before it, in its row and in its column, have left.
-        if i + 1 < len(s1) and below[i + 1] == j:
-            heapq.heappush(heap, (s1[i + 1] + s2[j], i + 1, j))
-        if j + 1 < len(s2) and (i == 0 or below[i - 1] > j + 1):
-            heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
-    return out
+        out[i, j] = True
+        held += sizes[i][j]
+        # A tile enters the heap when those before it, in its row and in its column, have left.
+        if i + 1 < len(m1) and below[i + 1] == j:
+            heapq.heappush(heap, (m1[i + 1] + m2[j], i + 1, j))
+        if j + 1 < len(m2) and (i == 0 or below[i - 1] > j + 1):
+            heapq.heappush(heap, (m1[i] + m2[j + 1], i, j + 1))
+        if held >= wanted or not heap:
+            sure = np.repeat(np.repeat(out, tile, 0)[: len(s1)], tile, 1)[:, : len(s2)] & (sums <= (heap[0][0] if heap else np.inf))
+            missing = enough - int(n[sure].sum())
+            if missing <= 0:
+                break
+            wanted = held + missing
+    i, j = np.nonzero(sure & (n > 0))
+    order = np.argsort(sums[i, j], kind="stable")
+    i, j = i[order], j[order]
+    last = int(np.searchsorted(np.cumsum(n[i, j]), enough)) + 1
+    return np.column_stack([o1[i], o2[j]])[:last]
 
 
 def _walked(books, dim: int, counts: np.ndarray, enough: int, plan):
@@ -154,7 +173,7 @@ def _walked(books, dim: int, counts: np.ndarray, enough: int, plan):
             d1, d2 = distances(unit[:, :half], books[0]), distances(unit[:, half:], books[1])
             at, blocks, masks = [], [], []
             for q in range(len(unit)):
-                cells = np.array(walk(d1[q], d2[q], counts, enough), np.int64).reshape(-1, 2)
+                cells = walk(d1[q], d2[q], counts, enough)
                 home = first[cells[:, 0]]
                 for b in np.unique(home):
                     own = cells[home == b]
@@ -270,7 +289,7 @@ def search(
     counts = np.zeros((k1, k2), np.int64)
     counts[cells.column("c1").to_numpy(), cells.column("c2").to_numpy()] = cells.column("count").to_numpy()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plan = block_plan(counts.sum(1), max(1, min(per_block, -(-n // parts))))
+    plan = block_plan(counts.sum(1), max(1, min(per_block, int(16 * np.sqrt(n)))))
     queries = index.filter("asks").select("vec_id", "embedding")
     queries = queries.mapInArrow(_walked(books, dim, counts, max(k + 1, visits(n, scale, power)), plan), f"block int, kind int, vec_id long, cell int, embedding {kind}, mask binary")
     first, split, place = (F.get(F.lit([int(x) for x in p]), F.col("c1")) for p in plan)
