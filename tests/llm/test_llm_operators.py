@@ -523,11 +523,22 @@ def test_block_plan():
 
 
 def test_walk_is_ordered():
+    """As if all pairs were sorted by their sum, whatever the tiles."""
     rng = np.random.default_rng(6)
-    d1, d2, counts = rng.random(9), rng.random(7), rng.integers(0, 3, (9, 7))
-    got = ann.walk(d1, d2, counts, int(counts.sum()))
-    sums = [d1[a] + d2[b] for a, b in got]
-    assert sums == sorted(sums) and len(got) == (counts > 0).sum()
+    for _ in range(40):
+        d1, d2 = rng.random(rng.integers(1, 21)), rng.random(rng.integers(1, 19))
+        counts = rng.integers(0, 3, (len(d1), len(d2)))
+        counts[0, 0] = 1
+        every = sorted((d1[a] + d2[b], a, b) for a, b in zip(*np.nonzero(counts)))
+        for enough in (1, 5, int(counts.sum() * 0.4), int(counts.sum()), 10_000):
+            want, held = [], 0
+            for _, a, b in every:
+                if held >= enough:
+                    break
+                want.append((a, b))
+                held += counts[a, b]
+            for tile in (1, 3, 8):
+                assert [tuple(x) for x in ann.walk(d1, d2, counts, enough, tile).tolist()] == want or not enough
 
 
 def test_chat(spark):
