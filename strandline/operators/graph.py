@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import packed
 from strandline.operators.kmers import explode_kmers
 
 LIMIT_Q = 21
@@ -52,6 +53,13 @@ def read_edges(reads: DataFrame, k: int, keys: list[str]) -> DataFrame:
     return each.select(*keys, F.substr("kmer", F.lit(1), F.lit(k)).alias("src"), F.substr("kmer", F.lit(2)).alias("dst"), "read", (F.col("i") + k).alias("pos"), q.alias("q"))
 
 
+def support_of_reads(reads: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """keys, src, dst, n, last_pos straight from reads (keys, seq): what ``edge_support`` says of their ``read_edges``, counted as numbers within each batch."""
+    if k < packed.MOST_K:
+        return packed.step_support(reads.filter(F.length("seq") > k), k, keys)
+    return edge_support(read_edges(reads.select(*keys, F.lit(0).alias("read"), "seq", F.col("seq").alias("qual")), k, keys), keys)
+
+
 def edge_support(steps: DataFrame, keys: list[str]) -> DataFrame:
     """keys, src, dst, n, last_pos: entries behind each edge, and the greatest position among them."""
     return steps.groupBy(*keys, "src", "dst").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))

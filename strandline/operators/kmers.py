@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import packed
+
 
 def revcomp(seq: Column) -> Column:
     """Reverse complement; letters other than ACGT stay as they are."""
@@ -31,6 +33,8 @@ def explode_kmers(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
 
 def count_plain(reads: DataFrame, k: int) -> DataFrame:
     """kmer, n. Counted before and after the shuffle, so a frequent k-mer doesn't skew it."""
+    if k <= packed.MOST_K:
+        return packed.counts(reads, k)
     return explode_kmers(reads.select("seq"), k).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
@@ -61,7 +65,10 @@ def with_base(kmer: Column, i: int, base: Column) -> Column:
 
 
 def count_canonical(reads: DataFrame, k: int, min_quality: int = 20, most: int = 255, most_high: int = 63) -> DataFrame:
-    """kmer, occ, occ_hi: strand-neutral counts that saturate; occ_hi takes k-mers whose bases all have the quality."""
+    """kmer, occ, occ_hi: strand-neutral counts that saturate; occ_hi takes k-mers whose bases all have the quality. K-mers with other letters than ACGT are left out."""
+    if k <= packed.MOST_K:
+        n = packed.canonical_counts(reads, k, min_quality)
+        return n.select(packed.text(F.col("number"), k).alias("kmer"), F.least("n", F.lit(most)).alias("occ"), F.least("high", F.lit(most_high)).alias("occ_hi"))
     quals = F.transform(F.sequence(F.lit(0), F.length("seq") - k), lambda i: F.struct(i.cast("int").alias("i"), F.substr("seq", i + 1, F.lit(k)).alias("kmer"), F.substr("qual", i + 1, F.lit(k)).alias("q")))
     each = reads.filter(F.length("seq") >= k).select(F.inline(quals)).filter(~F.col("kmer").rlike("[^ACGT]"))
     low = "".join(chr(c) for c in range(33, 33 + min_quality))
@@ -108,6 +115,10 @@ def successors(kmers: DataFrame, keys: list[str], order: str = "i") -> DataFrame
 
 def solid(reads: DataFrame, counts: DataFrame, k: int, least: int, key: str = "id") -> DataFrame:
     """key, i, solid for each k-mer of each read: whether its strand-neutral count reaches ``least``."""
+    if k <= packed.MOST_K:
+        each = packed.canonical_windows(reads, k, key)
+        known = counts.filter(F.col("occ") >= least).select(packed.number(F.col("kmer")).alias("number"), F.lit(1).alias("hit"))
+        return each.join(known, "number", "left").select(key, "i", F.coalesce("hit", F.lit(0)).alias("solid"))
     each = explode_kmers(reads.select(key, "seq"), k).withColumn("kmer", canonical(F.col("kmer")))
     known = counts.filter(F.col("occ") >= least).select("kmer", F.lit(1).alias("hit"))
     return each.join(known, "kmer", "left").select(key, "i", F.coalesce("hit", F.lit(0)).alias("solid"))

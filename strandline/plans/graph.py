@@ -29,6 +29,10 @@ def steps(spark, sf):
     return G.read_edges(ided(reads(spark, sf)).withColumnRenamed("id", "read"), K, KEYS)
 
 
+def support(spark, sf):
+    return G.support_of_reads(reads(spark, sf), K, KEYS)
+
+
 @register("G2_ref_vertices", f"with {VERT_SQL} select * from vert")
 def g2(spark, sf):
     return vertices(spark, sf)
@@ -47,12 +51,12 @@ def j2(spark, sf):
 
 @register("G7_edge_support", f"with {STEP_SQL} select * from edges")
 def g7(spark, sf):
-    return G.edge_support(steps(spark, sf), KEYS)
+    return support(spark, sf)
 
 
 @register("F9_edge_prune", f"with {STEP_SQL} select * from edges where n > 4 and last_pos >= {2 * K}")
 def f9(spark, sf):
-    return G.supported(G.edge_support(steps(spark, sf), KEYS), K)
+    return G.supported(support(spark, sf), K)
 
 
 @register("A8_G15_edge_weight", f"with {STEP_SQL}, f as (select contig, src, dst, read, arg_min(q, pos) as q from steps group by 1, 2, 3, 4) select contig, src, dst, sum(case when q >= 21 then 100 else 0 end)::bigint as weight from f group by 1, 2, 3")
@@ -62,18 +66,18 @@ def a8(spark, sf):
 
 @register("A22_degrees", f"with {STEP_SQL}, e as (select contig, src as kmer, 0 as i, 1 as o from edges union all select contig, dst, 1, 0 from edges) select contig, kmer, sum(i)::bigint as din, sum(o)::bigint as dout from e group by 1, 2")
 def a22(spark, sf):
-    return G.degrees(G.edge_support(steps(spark, sf), KEYS), KEYS)
+    return G.degrees(support(spark, sf), KEYS)
 
 
 @register("J3_A23_edge_types", f"with {STEP_SQL}, {VERT_SQL.replace(REF_SQL + ',', '')}, k as (select distinct contig, src, dst from redge) select e.contig, case when k.src is null then 'read' else 'reference' end as etype, count(*) as n from edges e left join k using (contig, src, dst) group by 1, 2")
 def a23(spark, sf):
-    e = G.edge_types(G.edge_support(steps(spark, sf), KEYS), G.reference_edges(vertices(spark, sf), KEYS), KEYS)
+    e = G.edge_types(support(spark, sf), G.reference_edges(vertices(spark, sf), KEYS), KEYS)
     return G.type_counts(e, KEYS, "etype")
 
 
 @register("K4_dot", f"with {STEP_SQL}, {VERT_SQL.replace(REF_SQL + ',', '')}, k as (select distinct contig, src, dst from redge) select e.contig, '\"' || e.src || '\" -> \"' || e.dst || '\" [color=' || case when k.src is null then 'red' else 'green' end || ',label=\"' || e.n || '\"];' as line from edges e left join k using (contig, src, dst)")
 def k4(spark, sf):
-    return G.dot(G.edge_types(G.edge_support(steps(spark, sf), KEYS), G.reference_edges(vertices(spark, sf), KEYS), KEYS), KEYS)
+    return G.dot(G.edge_types(support(spark, sf), G.reference_edges(vertices(spark, sf), KEYS), KEYS), KEYS)
 
 
 @register(
@@ -87,7 +91,7 @@ select g.contig, g.src, g.dst from good g join ahead a on a.contig = g.contig an
 )
 def g12(spark, sf):
     """Without cycles, what no dead end eats is what lies on a way from a first to a last k-mer."""
-    good = G.edge_support(steps(spark, sf), KEYS).filter("n > 4").select("contig", "src", "dst")
+    good = support(spark, sf).filter("n > 4").select("contig", "src", "dst")
     ref = reference(spark, sf)
     ends = [F.substr(c, F.lit(1), F.lit(K)) for c in ("seq", "alt")] + [F.right(c, F.lit(K)) for c in ("seq", "alt")]
     return G.without_dead_ends(good, KEYS, ref.select("contig", F.explode(F.array(*ends)).alias("kmer")).distinct())

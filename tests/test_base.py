@@ -292,3 +292,56 @@ def test_scratch_is_removed(spark):
         assert [os.path.isdir(p) for p in paths] == [False, True] and kept.count() == 4
     assert not os.path.isdir(paths[1])
     assert scratch_path(spark, "free") != scratch_path(spark, "free")
+
+
+def test_packed_kmers_equal_strings(spark):
+    """The numbers' kernel against plain strings, with other letters, short and null reads, however small the pieces are."""
+    import random
+
+    import numpy as np
+    from strandline.operators import packed as P
+
+    r = random.Random(2)
+    seqs = ["".join(r.choice("ACGTACGTACGTN") for _ in range(r.randint(0, 60))) for _ in range(200)] + [None, "", "ACGT", "acgtacgtacgt", "GATTACA" * 9]
+    rows = [(i, i % 3 if i % 7 else None, s, "".join(chr(r.randint(35, 73)) for _ in s or "") if s is not None else None) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "id long, contig int, seq string, qual string").repartition(3)
+    for k in (1, 5, 31):
+        want = {}
+        for s in seqs:
+            for i in range(len(s or "") - k + 1):
+                want[s[i : i + k]] = want.get(s[i : i + k], 0) + 1
+        assert {x.kmer: x.n for x in K.count_plain(df, k).collect()} == want
+    comp = str.maketrans("ACGT", "TGCA")
+    canon, flags = {}, {}
+    for i, _, s, q in rows:
+        for a in range(len(s or "") - 6):
+            x = s[a : a + 7]
+            plain = set(x) <= set("ACGT")
+            flags[i, a] = plain
+            if plain:
+                e = canon.setdefault(min(x, x[::-1].translate(comp)), [0, 0])
+                e[0] += 1
+                e[1] += all(ord(c) - 33 >= 20 for c in q[a : a + 7])
+    counted = K.count_canonical(df, 7)
+    assert {x.kmer: (x.occ, x.occ_hi) for x in counted.collect()} == {x: (min(a, 255), min(b, 63)) for x, (a, b) in canon.items()}
+    assert {(x.id, x.i): bool(x.solid) for x in K.solid(df, counted, 7, 1).collect()} == flags
+    steps = G.edge_support(G.read_edges(df.withColumnRenamed("id", "read"), 6, ["contig"]), ["contig"])
+    assert sorted(map(str, G.support_of_reads(df, 6, ["contig"]).select(*steps.columns).collect())) == sorted(map(str, steps.collect()))
+    off = np.cumsum([0, 9, 0, 30, 3, 12])
+    for piece in (1, 4, 100):
+        got = [(a, b) for row, i, _, _ in P.windows(off, 5, piece) for a, b in zip(row.tolist(), i.tolist())]
+        assert got == [(a, b) for a, n in enumerate([9, 0, 30, 3, 12]) for b in range(n - 4)]
+
+
+def test_position_coverage_by_differences(spark):
+    import random
+
+    r = random.Random(9)
+    B = W.COVERAGE_BLOCK
+    rows = [(r.choice("xy"), p, "A" * n) for p, n in [(0, 5), (3, 5), (B - 3, 10), (B - 3, 3), (B, 2), (5 * B - 1, 2 * B + 5), (7 * B, 0), (9 * B, 7)] for _ in range(3)]
+    want = {}
+    for c, p, s in rows:
+        for i in range(p, p + len(s)):
+            want[c, i] = want.get((c, i), 0) + 1
+    got = W.position_coverage(spark.createDataFrame(rows, "contig string, pos0 long, seq string")).collect()
+    assert len(got) == len(want) and {(x.contig, x.pos): x.depth for x in got} == want
