@@ -190,3 +190,21 @@ def read_edges(variants: DataFrame) -> DataFrame:
     nxt = variants.withColumns({"pos2": F.lead("pos").over(w), "alt2": F.lead("alt").over(w), "r2": F.lead("ref_reads").over(w), "a2": F.lead("alt_reads").over(w)}).filter("pos2 is not null")
     size = lambda x, y: F.size(F.array_intersect(x, y))
     return nxt.select("chrom", "pos", "alt", "pos2", "alt2", size("ref_reads", "r2").alias("rr"), size("ref_reads", "a2").alias("ra"), size("alt_reads", "r2").alias("ar"), size("alt_reads", "a2").alias("aa"))
+
+
+def haplotypes(calls: DataFrame, ref: DataFrame) -> DataFrame:
+    """chrom, first, second: the reference (chrom, seq) with the alternates of phased calls (gt) put in, a sequence for each side of the genotypes.
+
+    Calls of a side must not overlap. A chromosome is one value here.
+    """
+    at = F.struct(F.col("pos").alias("pos"), F.length("ref").alias("n"), F.col("alt").alias("alt"))
+    on = lambda i: F.array_sort(F.collect_list(F.when(F.split("gt", r"[|/]")[i] == "1", at)))
+    both = calls.groupBy("chrom").agg(on(0).alias("a"), on(1).alias("b"))
+    none = F.array().cast("array<struct<pos:bigint,n:int,alt:string>>")
+
+    def put(c: str) -> Column:
+        start = F.struct(F.lit(1).cast("bigint").alias("at"), F.lit("").alias("text"))
+        step = lambda acc, v: F.struct((v.pos + v.n).cast("bigint").alias("at"), F.concat(acc["text"], F.substr("seq", acc["at"].cast("int"), (v.pos - acc["at"]).cast("int")), v.alt).alias("text"))
+        return F.aggregate(F.coalesce(F.col(c), none), start, step, lambda acc: F.concat(acc["text"], F.substr("seq", acc["at"].cast("int"))))
+
+    return ref.join(both, "chrom", "left").select("chrom", put("a").alias("first"), put("b").alias("second"))

@@ -97,41 +97,6 @@ def g12(spark, sf):
     return G.without_dead_ends(good, KEYS, ref.select("contig", F.explode(F.array(*ends)).alias("kmer")).distinct())
 
 
-SUP_SQL = f"{STEP_SQL}, sa as (select read, pos, q from steps where src like 'AC%'), sb as (select read, pos, q from steps where src like 'CG%')"
-
-
-def two_supports(spark, sf):
-    s = steps(spark, sf)
-    return tuple(s.filter(F.col("src").startswith(p)).select("read", "pos", "q") for p in ("AC", "CG"))
-
-
-@register("J4_support_intersection", f"with {SUP_SQL} select * from sa where exists (select 1 from sb where sb.read = sa.read and sa.pos + 1 = sb.pos)")
-def j4(spark, sf):
-    return G.support_intersection(*two_supports(spark, sf), 1)
-
-
-@register("J5_support_difference", f"with {SUP_SQL} select * from sa where not exists (select 1 from sb where sb.read = sa.read and sa.pos = sb.pos + 3)")
-def j5(spark, sf):
-    return G.support_difference(*two_supports(spark, sf), 3)
-
-
-@register("U3_support_union", f"with {SUP_SQL} select * from sa union select * from sb")
-def u3(spark, sf):
-    return G.support_union(*two_supports(spark, sf))
-
-
-@register("U4_support_merge", f"with {SUP_SQL}, u as (select * from sa union all select * from sb) select read, min(pos) as pos, arg_min(q, pos) as q from u group by 1")
-def u4(spark, sf):
-    return G.support_merge(*two_supports(spark, sf))
-
-
-@register("A10_O6_supporting_reads", f"with {SUP_SQL}, u as (select substr(src, 1, 2) as head, contig, read from steps where src like 'AC%' or src like 'CG%') select contig, list_sort(list(distinct read)) as reads from u group by 1")
-def a10(spark, sf):
-    s = steps(spark, sf).filter(F.col("src").startswith("AC") | F.col("src").startswith("CG"))
-    sup = s.groupBy("contig", F.substr("src", F.lit(1), F.lit(2)).alias("head")).agg(F.array_sort(F.collect_list(F.struct("read", "pos", "q"))).alias("sup"))
-    return sup.groupBy("contig").agg(F.collect_list("sup").alias("path")).select("contig", G.supporting_reads(F.col("path")).alias("reads"))
-
-
 PAIR_KEYS = ("contig", "src", "dst", "next")
 NEXT_SQL = f"""{STEP_SQL}, pairs as (select e.contig, e.src, e.dst, f.dst as next from edges e join edges f on e.contig = f.contig and e.dst = f.src),
 na as (select p.*, s.read, s.pos, s.q from pairs p join steps s using (contig, src, dst)),
@@ -144,28 +109,28 @@ def next_supports(spark, sf):
     return G.successive(steps(spark, sf), KEYS)
 
 
-@register("J4_successive_intersection", f"with {NEXT_SQL} select * from na where exists (select 1 from nb where {SAME_SQL} and na.pos + 1 = nb.pos)")
+@register("J4_support_intersection", f"with {NEXT_SQL} select * from na where exists (select 1 from nb where {SAME_SQL} and na.pos + 1 = nb.pos)")
 def j4n(spark, sf):
     return G.support_intersection(*next_supports(spark, sf), 1, PAIR_KEYS)
 
 
-@register("J5_successive_difference", f"with {NEXT_SQL} select * from nb where not exists (select 1 from na where {SAME_SQL} and na.pos + 1 = nb.pos)")
+@register("J5_support_difference", f"with {NEXT_SQL} select * from nb where not exists (select 1 from na where {SAME_SQL} and na.pos + 1 = nb.pos)")
 def j5n(spark, sf):
     a, b = next_supports(spark, sf)
     return G.support_difference(b, a, 1, PAIR_KEYS)
 
 
-@register("U3_successive_union", f"with {NEXT_SQL} select * from na union select * from nb")
+@register("U3_support_union", f"with {NEXT_SQL} select * from na union select * from nb")
 def u3n(spark, sf):
     return G.support_union(*next_supports(spark, sf))
 
 
-@register("U4_successive_merge", f"with {NEXT_SQL}, u as (select * from na union all select * from nb) select contig, src, dst, next, read, min(pos) as pos, arg_min(q, pos) as q from u group by all")
+@register("U4_support_merge", f"with {NEXT_SQL}, u as (select * from na union all select * from nb) select contig, src, dst, next, read, min(pos) as pos, arg_min(q, pos) as q from u group by all")
 def u4n(spark, sf):
     return G.support_merge(*next_supports(spark, sf), PAIR_KEYS)
 
 
-@register("A10_O6_successive_reads", f"with {NEXT_SQL}, u as (select * from na union all select * from nb) select contig, src, dst, next, list_sort(list(distinct read)) as reads from u group by all")
+@register("A10_O6_supporting_reads", f"with {NEXT_SQL}, u as (select * from na union all select * from nb) select contig, src, dst, next, list_sort(list(distinct read)) as reads from u group by all")
 def a10n(spark, sf):
     a, b = next_supports(spark, sf)
     sup = a.unionByName(b).groupBy(*PAIR_KEYS).agg(F.collect_list(F.struct("read", "pos", "q")).alias("sup"))
@@ -197,11 +162,6 @@ ADJ_SQL = """nx as (select *, lead(vid) over w as v2, lead(ref_reads) over w as
 adj as (select v1, s1, v2, s2, n from (select vid as v1, 0 as s1, v2, 0 as s2, len(list_intersect(ref_reads, r2))::int as n from nx union all select vid, 0, v2, 1, len(list_intersect(ref_reads, a2)) from nx union all select vid, 1, v2, 0, len(list_intersect(alt_reads, r2)) from nx union all select vid, 1, v2, 1, len(list_intersect(alt_reads, a2)) from nx) where v2 is not null and n > 0)"""
 
 
-@register("H1_adjacent_edges", f"with {VID_SQL}, {ADJ_SQL} select v1, s1, v2, s2, n::int as n from adj")
-def h1(spark, sf):
-    return H.adjacent_edges(with_vid(spark, sf), 0)
-
-
 PAIR_SQL = f"""{TOUCH_SQL}, nm as (select {ID_SQL} as read, qname from reads), tn as (select * from touch join nm using (read)),
 pe as (select least(struct_pack(v := a.vid, s := a.side), struct_pack(v := b.vid, s := b.side)) as x, greatest(struct_pack(v := a.vid, s := a.side), struct_pack(v := b.vid, s := b.side)) as y from tn a join tn b on a.qname = b.qname and a.read < b.read and a.vid <> b.vid),
 paired as (select x.v as v1, x.s as s1, y.v as v2, y.s as s2, count(*) as n from pe group by 1, 2, 3, 4)"""
@@ -217,12 +177,6 @@ def j9(spark, sf):
     return paired(spark, sf)
 
 
-@register("H2_homozygous", f"with {VID_SQL}, {ADJ_SQL} select vid from vs where len(ref_reads) = 0 union select v1 from adj where s1 = 1 group by v1, v2 having count(distinct s2) = 2")
-def h2(spark, sf):
-    v = with_vid(spark, sf)
-    return H.homozygous(v, H.adjacent_edges(v, 0))
-
-
 COMP_SQL = f"{ADJ_SQL}, {PAIR_SQL}, el as (select v1 as a, v2 as b from adj union select v2, v1 from adj union select v1, v2 from paired where n > 1 union select v2, v1 from paired where n > 1), reach as (select vid, vid as c from vs union select el.b, reach.c from reach join el on el.a = reach.vid), comp as (select vid, min(c) as component from reach group by 1)"
 
 
@@ -235,13 +189,3 @@ def component_input(spark, sf):
 def h4(spark, sf):
     v, edges = component_input(spark, sf)
     return H.variant_components(v, edges)
-
-
-@register("H5_H7_phased", f"with recursive {VID_SQL}, {COMP_SQL} select vs.vid, chrom, pos, alt, '1|0' as gt, min(pos) over (partition by component) as ps, true as valid from vs join comp using (vid)")
-def h5(spark, sf):
-    """The bridge's alternates all lie on one haplotype, so all of a component's alternates have its first colour."""
-    v, edges = component_input(spark, sf)
-    same = edges.filter("s1 = s2")
-    comp = H.variant_components(v, edges)
-    both = v.filter(F.size("ref_reads") == 0).select("vid")
-    return H.finalised(v, H.coloured(comp, same, both)).select("vid", "chrom", "pos", "alt", "gt", "ps", "valid")

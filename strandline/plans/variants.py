@@ -45,25 +45,6 @@ def a21c(spark, sf):
     return calls(spark, sf).select("chrom", "pos", "ref", "alt", "rc", "ac")
 
 
-MAJORITY_SQL = f"""{PILE_SQL}, votes as (select contig, pos, count(*) filter (where q > 20 and base = 'A') as a, count(*) filter (where q > 20 and base = 'C') as c, count(*) filter (where q > 20 and base = 'G') as g, count(*) filter (where q > 20 and base = 'T') as t, count(*) filter (where q <= 20) as low from each group by 1, 2),
-w as (select contig, pos, low, list_sort([a, c, g, t], 'desc') as v, case greatest(a, c, g, t) when a then 'A' when c then 'C' when g then 'G' else 'T' end as best from votes),
-changes as (select id, i, base, best from each join w using (contig, pos) where low > 0 and v[1] > 0 and v[2] * 2 <= v[1] and base <> best)"""
-
-
-@register("J15_Y4_majority_repair", f"with {READS_SQL}, {MAJORITY_SQL} select * from changes")
-def y4(spark, sf):
-    return V.majority(ided(reads(spark, sf)))
-
-
-@register(
-    "Y4_repaired_reads",
-    f"with {READS_SQL}, {MAJORITY_SQL}, s as (select e.id, string_agg(coalesce(c.best, e.base), '' order by e.i) as seq from each e left join changes c on c.id = e.id and c.i = e.i group by 1) select * from s",
-)
-def y4r(spark, sf):
-    own = ided(reads(spark, sf))
-    return V.repaired(own, V.majority(own)).select("id", "seq")
-
-
 BP_SQL = """(case when {r} + {a} = 0 then 100 else round(least(1.0::double, 2 * list_sum([exp(lgamma(({r} + {a} + 1)::double) - lgamma((k + 1)::double) - lgamma(({r} + {a} - k + 1)::double) - ({r} + {a}) * ln(2.0::double)) for k in range({r}, {r} + {a} + 1)])) * 100 + 1e-6) end)::int"""
 
 
@@ -245,12 +226,6 @@ def w7(spark, sf):
     return C.without_repeats(r).select("chrom", "pos", "ref", "alt")
 
 
-@register("J6_J7_read_edges", f"""with {READS_SQL}, {PILE_SQL}, n as (select *, lead(pos) over w as pos2, lead(alt) over w as alt2, lead(ref_reads) over w as r2, lead(alt_reads) over w as a2 from calls window w as (partition by chrom order by pos, ref, alt))
-select chrom, pos, alt, pos2, alt2, len(list_intersect(ref_reads, r2))::int as rr, len(list_intersect(ref_reads, a2))::int as ra, len(list_intersect(alt_reads, r2))::int as ar, len(list_intersect(alt_reads, a2))::int as aa from n where pos2 is not null""")
-def j7(spark, sf):
-    return V.read_edges(calls(spark, sf))
-
-
 @register("J14_contained", f"with {READS_SQL}, {PILE_SQL}, {PLANTED_SQL} select p.*, exists (select 1 from calls c where c.chrom = p.chrom and c.pos = p.pos and c.alt = p.alt) as found from planted p")
 def j14(spark, sf):
     ref = reference(spark, sf).select(F.col("contig").cast("string").alias("chrom"), "seq")

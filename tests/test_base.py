@@ -33,7 +33,7 @@ def normal(v):
 def con():
     c = duckdb.connect()
     c.sql("set timezone='UTC'")
-    for t in ("region", "lineitem", "events"):
+    for t in ("region", "lineitem", "events", "orders"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
@@ -235,7 +235,7 @@ def test_more_ways_than_most_paths():
     assert all(c["ks"] == 21 for c in calls)
 
 
-@pytest.mark.parametrize("name", ["J4_successive_intersection", "J5_successive_difference", "U3_successive_union", "U4_successive_merge", "A10_O6_successive_reads"])
+@pytest.mark.parametrize("name", ["J4_support_intersection", "J5_support_difference", "U3_support_union", "U4_support_merge", "A10_O6_supporting_reads"])
 def test_supports_of_all_successive_edges(spark, con, name):
     """Counts and hashes, for there are many rows."""
     df = QUERIES[name](spark, SF)
