@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _draw(i: Column, seed: int, what: str) -> Column:
-    """A repeatable number from 0 to 1 for each position."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(what), i), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A repeatable number from 0 to 1 for each position, from digits of an MD5, which other engines have too."""
+    return F.conv(F.substr(F.md5(F.concat(F.lit(f"{seed}-{what}-"), i.cast("string"))), F.lit(1), F.lit(10)), 16, 10).cast("double") / F.lit(float(1 << 40))
 
 
 def _base(x: Column) -> Column:

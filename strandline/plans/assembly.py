@@ -35,3 +35,23 @@ def x10(spark, sf):
             yield pdf.assign(ops=[alignment(a, b) for a, b in zip(pdf.a, pdf.b)])[["contig", "ops"]]
 
     return rows.mapInPandas(run, "contig int, ops string")
+
+
+GAPS_SQL = """r as (select contig, substr(seq, 301, 60) as a, 'substitution' as kind from ref)
+select contig, 'deletion' as kind, 57 as m, 0 as x, 0 as i, 3 as d from r union all select contig, 'insertion', 60, 0, 4, 0 from r union all select contig, 'border', 50, 0, 0, 10 from r"""
+
+
+@register("X10_alignment_gaps", f"with {REF_SQL}, {GAPS_SQL}")
+def x10_gaps(spark, sf):
+    """How many of each step there are where three bases are missing, four are added, and the first ten are missing."""
+    rows = reference(spark, sf).select("contig", F.substr("seq", F.lit(301), F.lit(60)).alias("a"))
+    head, tail = F.substr("a", F.lit(1), F.lit(30)), F.substr("a", F.lit(31))
+    kinds = [("deletion", F.concat(head, F.substr(tail, F.lit(4)))), ("insertion", F.concat(head, F.lit("ACCA"), tail)), ("border", F.substr("a", F.lit(11)))]
+    rows = rows.select("contig", "a", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), b.alias("b")) for k, b in kinds])).alias("v")).select("contig", "a", "v.kind", "v.b")
+
+    def run(batches):
+        for pdf in batches:
+            ops = [alignment(a, b) for a, b in zip(pdf.a, pdf.b)]
+            yield pdf[["contig", "kind"]].assign(**{c.lower(): [o.count(c) for o in ops] for c in "MXID"})
+
+    return rows.mapInPandas(run, "contig int, kind string, m int, x int, i int, d int")

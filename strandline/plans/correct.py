@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from strandline.functions.bridge import reads
 from strandline.operators import correct as X
 from strandline.operators import kmers as K
+from strandline.operators import pipelines as P
 from strandline.operators import simulate as S
+from strandline.operators import variants as V
 from strandline.plans import register
 from strandline.plans.variants import ided
 from strandline.session import staged
 
-KC = 15
+#: K-mer size, and how often a trusted k-mer occurs: the highest floor that the coverage rule gives.
+KC, LEAST = 15, 8
+
+
 def wrong(spark, sf):
     """Reads with their truth; one in thirty-one has a wrong base, at a place that its keys name, and half of these another one 10 to 14 bases on."""
     own = ided(reads(spark, sf)).withColumn("at", (F.col("l_partkey") % 25 + 20).cast("int"))
@@ -26,8 +31,7 @@ def wrong(spark, sf):
 def fixed(spark, sf):
     own = staged(wrong(spark, sf), "wrong-reads")
     counts = staged(K.count_canonical(own, KC), "counts")
-    floor = K.coverage_floor(K.histogram(counts, "occ")).first()["min_cov"]
-    return own, X.corrected(own, counts, KC, max(floor, 8))
+    return own, X.corrected(own, counts, KC, LEAST)
 
 
 @register("C3_C4_C6_corrected")
@@ -53,15 +57,32 @@ def distance(spark, sf):
     return X.changes_by_distance(fixed(spark, sf)[1])
 
 
-@register("Y1_Y2_simulated_reads", None)
+RATES = (0.01, 0.002, 0.002)
+_DRAW = "('0x' || substr(md5('{0}-{1}-' || i), 1, 10))::bigint / 1099511627776.0::double"
+_BASE = "substr('ACGT', floor({0} * 4)::int + 1, 1)"
+
+
+def simulated_sql(length: int, ref_seed: int, alt_seed: int) -> str:
+    """SQL for alt: position i, base, alt."""
+    event, one, two = _DRAW.format(alt_seed, "event"), _BASE.format(_DRAW.format(alt_seed, "one")), _BASE.format(_DRAW.format(alt_seed, "two"))
+    a, b, c = RATES[0], RATES[0] + RATES[1], RATES[0] + RATES[1] + RATES[2]
+    return f"""rb as (select i, {_BASE.format(_DRAW.format(ref_seed, 'base'))} as base, {event} as e, {one} as one, {two} as two from range(0, {length}) t(i)),
+alt as (select i, base, case when e < {a!r}::double then translate(base, 'ACGT', 'CGTA') when e < {b!r}::double then base || one || two when e < {c!r}::double then '' else base end as alt from rb)"""
+
+
+@register("Y1_Y2_simulated_reads", f"with {simulated_sql(3000, 5, 6)}, s as (select string_agg(alt, '' order by i) as seq from alt) select pos0::bigint as pos0, substr(seq, pos0::int + 1, 100) as seq from (select seq, unnest(range(0, length(seq) - 99, 10)) as pos0 from s)")
 def simulated(spark, sf):
-    alt = S.alternate(S.positions(spark, 3000, 5), 6, 0.01, 0.002, 0.002)
+    alt = S.alternate(S.positions(spark, 3000, 5), 6, *RATES)
     return S.simulated_reads(S.spelled(alt, "alt"), 100, 10)
 
 
-@register("Y3_recovered", "select true as found")
+@register("Y3_recovered", f"with {simulated_sql(1500, 5, 6)} select string_agg(case when i < 100 or i >= 1400 then base else alt end, '' order by i) as seq, true as found from alt")
 def recovered(spark, sf):
-    """Both haplotypes of a simulated region are found among themselves."""
-    rows = S.alternate(S.positions(spark, 800, 5), 6, 0.01, 0.002, 0.002)
-    both = S.spelled(rows, "base").unionByName(S.spelled(rows, "alt"))
-    return S.recovered(both, both).select("found").distinct()
+    """Reads of a simulated alternate are assembled and called; the alternate must be among what the calls spell. Events lie away from the ends."""
+    rows = S.alternate(S.positions(spark, 1500, 5), 6, *RATES)
+    rows = rows.withColumn("alt", F.when(F.col("pos").between(100, 1399), F.col("alt")).otherwise(F.col("base")))
+    ref, alt = (staged(S.spelled(rows, c).select(F.lit("0").alias("contig"), "seq"), f"simulated-{c}") for c in ("base", "alt"))
+    own = S.simulated_reads(alt, 100, 1).select(F.concat(F.lit("r"), "pos0").alias("id"), F.lit("0").alias("contig"), "pos0", "seq", F.repeat(F.lit("I"), F.lit(100)).alias("qual"))
+    calls = P.called(own, ref, 1000).withColumn("gt", F.lit("1|1"))
+    paths = V.haplotypes(calls, ref.withColumnRenamed("contig", "chrom")).select(F.col("first").alias("seq"))
+    return S.recovered(paths, alt.select("seq"))

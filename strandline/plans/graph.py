@@ -83,17 +83,17 @@ def k4(spark, sf):
 @register(
     "G12_without_dead_ends",
     f"""with recursive {STEP_SQL}, good as (select contig, src, dst from edges where n > 4),
-seed as (select contig, substr(seq, 1, {K}) as a, substr(seq, 2048 - {K} + 1) as z, substr(alt, 1, {K}) as b, substr(alt, 2048 - {K} + 1) as y from hap),
+seed as (select contig, substr(seq, 200, {K}) as a, substr(seq, 1800, {K}) as z, substr(alt, 200, {K}) as b, substr(alt, 1800, {K}) as y from hap),
 heads as (select contig, a as kmer from seed union select contig, b from seed), tails as (select contig, z as kmer from seed union select contig, y from seed),
 ahead as (select contig, kmer from heads union select g.contig, g.dst from ahead r join good g on g.contig = r.contig and g.src = r.kmer),
 back as (select contig, kmer from tails union select g.contig, g.src from back r join good g on g.contig = r.contig and g.dst = r.kmer)
 select g.contig, g.src, g.dst from good g join ahead a on a.contig = g.contig and a.kmer = g.src join back b on b.contig = g.contig and b.kmer = g.dst""",
 )
 def g12(spark, sf):
-    """Without cycles, what no dead end eats is what lies on a way from a first to a last k-mer."""
+    """Without cycles, what no dead end eats is what lies on a way from a fixed k-mer to a later one."""
     good = support(spark, sf).filter("n > 4").select("contig", "src", "dst")
     ref = reference(spark, sf)
-    ends = [F.substr(c, F.lit(1), F.lit(K)) for c in ("seq", "alt")] + [F.right(c, F.lit(K)) for c in ("seq", "alt")]
+    ends = [F.substr(c, F.lit(at), F.lit(K)) for c in ("seq", "alt") for at in (200, 1800)]
     return G.without_dead_ends(good, KEYS, ref.select("contig", F.explode(F.array(*ends)).alias("kmer")).distinct())
 
 
