@@ -14,7 +14,8 @@ from strandline.llm import mixing, packing, quality  # noqa: E402
 from strandline.llm.words import buffers  # noqa: E402
 from strandline.session import table  # noqa: E402
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: The last columns are not of documents; their names are some that operators might use.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _epoch long, row string"
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +30,7 @@ def folder(spark, tmp_path_factory):
         rows.append((i, "BUY!!! NOW!!! " * 15, "en", "s1", 0))
     rows += [(200 + k, rows[k][1], "en", "s2", 0) for k in range(6)] + [(210 + k, rows[k + 10][1] + " end", "en", "s0", 0) for k in range(6)]
     rows += [(300, None, "en", None, None), (301, "", "en", "s0", 0), rows[3]]
+    rows = [(*r, 7, "x") for r in rows]
     path = tmp_path_factory.mktemp("sf")
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, int(i < 120), 0) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
