@@ -11,7 +11,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators import kmers as K
@@ -90,9 +90,15 @@ def both_ways(seq: str, qual: list[int], k: int, counts: dict[str, tuple[int, in
     return "".join(c.lower() if i in set(changed) else c for i, c in enumerate(text)), len(changed)
 
 
-def recoded_quality(before: str, after: str, qual: list[int]) -> str:
-    """Quality of a corrected read: ``+`` where a base changed at good quality, ``?`` where at bad, else one step of two codes above 34."""
-    return "".join(chr(34 + (q >= GOOD_Q)) if a.isupper() else "+" if q >= GOOD_Q else "?" for b, a, q in zip(before, after, qual))
+def recoded_quality(before: Column, after: Column, qual: Column) -> Column:
+    """Quality of a corrected read: where a base changed (lower case in ``after``) 34 and the code of the base that was there, else ``?`` at good quality and ``+`` at bad.
+
+    Codes are 0 to 3 for A, C, G and T, and 4 for any other letter.
+    """
+    old = lambda b: F.translate(F.when(b.isin(*"ACGT"), b).otherwise("N"), "ACGTN", "\"#$%&")
+    mark = lambda x: F.when(x["a"].rlike("[a-z]"), old(x["b"])).when(F.ascii(x["q"]) - 33 >= GOOD_Q, "?").otherwise("+")
+    each = F.arrays_zip(F.split(before, "").alias("b"), F.split(after, "").alias("a"), F.split(qual, "").alias("q"))
+    return F.when(F.length(before) > 0, F.array_join(F.transform(each, mark), "")).otherwise(F.lit(""))
 
 
 def neighbourhood(flags: DataFrame, reads: DataFrame, k: int) -> DataFrame:
@@ -147,9 +153,27 @@ def converted(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"cigar": cigar, "seq": F.upper("fixed")}).drop("fixed")
 
 
-def statistics(rows: DataFrame) -> DataFrame:
-    """One row: reads, repaired reads, repaired bases, from rows of n_changes."""
-    return rows.agg(F.count("*").alias("reads"), F.count_if(F.col("n_changes") > 0).alias("repaired_reads"), F.coalesce(F.sum("n_changes"), F.lit(0)).alias("repaired_bases"))
+def trimmed(rows: DataFrame, k: int = 33, least: int = 2, share: float = 0.8) -> DataFrame:
+    """Corrected rows (id, seq, fixed, qual) with ``fixed`` and ``qual`` cut to the longest run of k-mers that corrected reads have more than once.
+
+    Reads whose run is not more than ``share`` of them are dropped, reads
+    shorter than k stay; ``n_changes`` is counted again.
+    """
+    own = rows.withColumnsRenamed({"seq": "before", "fixed": "seq"})
+    upper = own.withColumn("seq", F.upper("seq"))
+    flags = K.solid(upper.filter(F.length("seq") >= k), K.count_canonical(upper, k), k, least)
+    cut = K.trimmed_by_streak(own, K.longest_run(flags), k, share).withColumnsRenamed({"seq": "fixed", "before": "seq"})
+    return cut.withColumn("n_changes", F.length(F.regexp_replace("fixed", "[^a-z]", "")))
+
+
+def statistics(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """One row: reads, repaired reads, repaired bases, from rows of n_changes; against ``before`` (id, seq) also removed and shortened reads and all bases."""
+    counts = [F.count_if(F.col("n_changes") > 0).alias("repaired_reads"), F.coalesce(F.sum("n_changes"), F.lit(0)).alias("repaired_bases")]
+    if before is None:
+        return rows.agg(F.count("*").alias("reads"), *counts)
+    met = before.select("id", F.length("seq").alias("size")).join(rows.select("id", F.length("fixed").alias("left"), "n_changes"), "id", "left")
+    gone, less = F.col("left").isNull() | (F.col("left") == 0), F.col("left") != F.col("size")
+    return met.agg(F.count("*").alias("reads"), F.sum("size").alias("bases"), F.count_if(gone).alias("removed"), F.count_if(~gone & less).alias("shortened"), *counts)
 
 
 def changes_per_read(rows: DataFrame) -> DataFrame:

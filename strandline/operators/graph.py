@@ -130,6 +130,55 @@ def without_dead_ends(edges: DataFrame, keys: list[str], fixed: DataFrame) -> Da
     return rows.groupBy(*keys).applyInPandas(peel, rows.schema)
 
 
+def joined(edges: list[tuple], ranked: list[str]) -> list[tuple]:
+    """Edges (src, dst, bases, n, steps) after each of the ``ranked`` vertices, in that order, with one edge in and one out is replaced by one edge.
+
+    A vertex stays where the edge that would replace it begins and ends at
+    one vertex, or is there already. Bases and steps add up, the greatest
+    support stays. Joining changes no degree of another vertex, so one pass is all there is.
+    """
+    out: dict[str, dict[str, tuple]] = {}
+    into: dict[str, set[str]] = {}
+    for a, b, *data in edges:
+        out.setdefault(a, {})[b] = tuple(data)
+        into.setdefault(b, set()).add(a)
+    for v in ranked:
+        if len(out.get(v, ())) != 1 or len(into.get(v, ())) != 1:
+            continue
+        (u,), ((w, (bases, n, steps)),) = into[v], out[v].items()
+        if u == w or v in (u, w) or w in out[u]:
+            continue
+        before, m, done = out[u].pop(v)
+        del out[v], into[v]
+        out[u][w] = (before + bases, max(n, m), done + steps)
+        into[w].discard(v)
+        into[w].add(u)
+    return [(a, b, *data) for a, ends in out.items() for b, data in ends.items()]
+
+
+def contracted(edges: DataFrame, keys: list[str], reference: DataFrame) -> DataFrame:
+    """keys, src, dst, bases, n, steps: linear stretches of edges (src, dst, n) as one edge each.
+
+    Vertices of reads go first, then those inside the ``reference`` (kmer), each by their k-mers. A
+    graph is one window's, so its size is bounded; each is worked off in one task, in time linear in its edges.
+    """
+    ends = reference.select(*keys, F.col("kmer").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("bigint").alias("n"))
+    rows = edges.select(*keys, "src", "dst", F.col("n").cast("bigint").alias("n")).unionByName(ends)
+    of_keys = [f for f in rows.schema if f.name in keys]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in of_keys] + ["src string", "dst string", "bases string", "n bigint", "steps bigint"])
+
+    def contract(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, known = pdf[pdf.dst.notna()], set(pdf.src[pdf.dst.isna()])
+        ranked = sorted({*own.src, *own.dst}, key=lambda v: (v in known, v))
+        made = joined([(a, b, b[-1], int(n), 1) for a, b, n in zip(own.src, own.dst, own.n)], ranked)
+        out = pd.DataFrame(made, columns=["src", "dst", "bases", "n", "steps"])
+        for i, k in enumerate(keys):
+            out.insert(i, k, key[i])
+        return out
+
+    return rows.groupBy(*keys).applyInPandas(contract, schema)
+
+
 def successive(steps: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """keys, src, dst, next, read, pos, q: for each pair of edges that follow each other (src to dst to next), the support of the first and that of the second."""
     edges = steps.select(*keys, "src", "dst").distinct()
@@ -172,3 +221,23 @@ def dot(edges: DataFrame, keys: list[str]) -> DataFrame:
     """keys, line: edges as Graphviz statements, coloured by type."""
     colour = F.when(F.col("etype") == "reference", "green").otherwise("red")
     return edges.select(*keys, F.format_string('"%s" -> "%s" [color=%s,label="%d"];', "src", "dst", colour, "n").alias("line"))
+
+
+def dot_vertices(vertices: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line: vertices as Graphviz statements; those of the reference say where they lie and whether their k-mer is unique there."""
+    known = vertices.withColumn("times", F.count("*").over(Window.partitionBy(*keys, "kmer")))
+    label = F.format_string("%s\\nRef\\nPOS: %d\\n%s", "kmer", "pos", F.when(F.col("times") == 1, "unique").otherwise("repeat"))
+    colour = F.when(F.col("vtype") == "start", "yellow").when(F.col("vtype") == "middle", "lightgreen").otherwise("blue")
+    line = lambda name, label, colour: F.format_string('"%s"[label="%s",style=filled,color=%s];', name, label, colour).alias("line")
+    name = F.when(F.col("ctx") > 0, F.format_string("%s#%d", "kmer", "ctx")).otherwise(F.col("kmer"))
+    ends = edges.select(*keys, F.explode(F.array("src", "dst")).alias("kmer")).distinct().join(known.select(*keys, "kmer"), [*keys, "kmer"], "left_anti")
+    return known.select(*keys, line(name, label, colour)).unionByName(ends.select(*keys, line(F.col("kmer"), F.concat("kmer", F.lit("\\nRead")), F.lit("red"))))
+
+
+def stages(vertices: DataFrame, edges: DataFrame, k: int, keys: list[str], threshold: int = 4) -> dict[str, DataFrame]:
+    """Edges by stage of a graph's life: as read, of enough support, without dead ends, and in one edge for each linear stretch."""
+    found = {"read": edges, "supported": supported(edges, k, threshold)}
+    kept = without_dead_ends(found["supported"], keys, vertices.filter("vtype = 'middle'").select(*keys, "kmer"))
+    found["trimmed"] = found["supported"].join(kept, [*keys, "src", "dst"], "left_semi")
+    found["contracted"] = contracted(found["trimmed"], keys, vertices.select(*keys, "kmer").distinct())
+    return found

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.functions.bridge import reads
+from strandline.functions.bridge import READS_SQL, reads
 from strandline.operators import correct as X
 from strandline.operators import kmers as K
 from strandline.operators import pipelines as P
 from strandline.operators import simulate as S
 from strandline.operators import variants as V
 from strandline.plans import register
-from strandline.plans.variants import ided
+from strandline.plans.variants import ID_SQL, ided
 from strandline.session import staged
 
 #: K-mer size, and how often a trusted k-mer occurs: the highest floor that the coverage rule gives.
@@ -57,6 +57,59 @@ def distance(spark, sf):
     return X.changes_by_distance(fixed(spark, sf)[1])
 
 
+WRONG_SQL = f"""{READS_SQL}, own as (select distinct {ID_SQL} as id, qual, seq as truth, (l_partkey % 25 + 20)::int as spot, l_orderkey % 31 = 0 as hit, l_linenumber % 2 = 0 as twice, (l_suppkey % 5 + 10)::int as more from reads),
+one as (select *, substr(truth, 1, spot) || translate(substr(truth, spot + 1, 1), 'ACGT', 'GTAC') || substr(truth, spot + 2) as s from own),
+wrong as (select id, qual, truth, case when not hit then truth when not twice then s else substr(s, 1, spot + more) || translate(substr(s, spot + more + 1, 1), 'ACGT', 'GTAC') || substr(s, spot + more + 2) end as seq from one),
+bases as (select id, qual, i::int as i, substr(seq, i::int, 1) as b, substr(truth, i::int, 1) as t from (select *, unnest(range(1, 61)) as i from wrong)),
+fixed as (select id, string_agg(b, '' order by i) as seq, string_agg(case when b = t then t else lower(t) end, '' order by i) as fixed, count(*) filter (where b <> t) as n_changes from bases group by 1)"""
+
+
+def planted(spark, sf):
+    """What a correction that undoes every planted error gives: one row for each id, which has one read and quality."""
+    mark = lambda a, b: F.when(a == b, b).otherwise(F.lower(b))
+    own = ided(reads(spark, sf)).select("id", "qual").distinct()
+    marked = F.array_join(F.zip_with(F.split("seq", ""), F.split("truth", ""), mark), "")
+    rows = wrong(spark, sf).select("id", "truth", "seq").distinct().join(own, "id").withColumn("fixed", marked)
+    return rows.withColumn("n_changes", F.length(F.regexp_replace("fixed", "[^a-z]", "")))
+
+
+@register("A18_changes_per_read", f"with {WRONG_SQL} select n_changes::int as n_changes, count(*) as reads from fixed group by 1")
+def per_read(spark, sf):
+    return X.changes_per_read(planted(spark, sf))
+
+
+@register("A18_planted_by_distance", f"with {WRONG_SQL} select (60 - i)::int as distance, count(*) as n from bases where b <> t group by 1")
+def planted_distance(spark, sf):
+    return X.changes_by_distance(planted(spark, sf))
+
+
+@register("C4_recoded_quality", f"""with {WRONG_SQL}
+select id, string_agg(case when b <> t then chr(34 + instr('ACGT', b)::int - 1) when ascii(substr(qual, i, 1)) - 33 >= 20 then '?' else '+' end, '' order by i) as qual from bases group by 1""")
+def recoded(spark, sf):
+    return planted(spark, sf).select("id", X.recoded_quality(F.col("seq"), F.col("fixed"), F.col("qual")).alias("qual"))
+
+
+KT = 31
+TRIM_SQL = f"""km as (select id, (i - 1)::int as i, substr(upper(fixed), i::int, {KT}) as x from (select id, fixed, unnest(range(1, 60 - {KT} + 2)) as i from fixed)),
+canon as (select id, i, least(x, reverse(translate(x, 'ACGT', 'TGCA'))) as x from km), often as (select x from canon group by 1 having count(*) > 1),
+runs as (select id, i, i - row_number() over (partition by id order by i) as g from canon semi join often using (x)),
+size as (select id, min(i) as start, count(*) as streak from runs group by id, g),
+best as (select id, arg_min(start, struct_pack(a := -streak, b := start)) as start, max(streak) as streak from size group by 1),
+cut as (select id, substr(fixed, (start + 1)::int, (streak + {KT} - 1)::int) as fixed from best join fixed using (id) where (streak + {KT} - 1) / 60.0 > 0.8)"""
+
+
+@register("C5_C6_trimmed_after", f"with {WRONG_SQL}, {TRIM_SQL} select * from cut")
+def trimmed(spark, sf):
+    return X.trimmed(staged(planted(spark, sf), "planted"), KT).select("id", "fixed")
+
+
+@register("A18_removed_shortened", f"""with {WRONG_SQL}, {TRIM_SQL}, n as (select id, length(fixed) as size, len(regexp_extract_all(fixed, '[a-z]')) as c from cut)
+select (select count(*) from wrong) as reads, (select count(*) * 60 from wrong) as bases, (select count(*) from wrong) - count(*) as removed, count(*) filter (where size < 60) as shortened, count(*) filter (where c > 0) as repaired_reads, sum(c)::bigint as repaired_bases from n""")
+def outcome(spark, sf):
+    own = staged(planted(spark, sf), "planted")
+    return X.statistics(X.trimmed(own, KT), own)
+
+
 RATES = (0.01, 0.002, 0.002)
 _DRAW = "('0x' || substr(md5('{0}-{1}-' || i), 1, 10))::bigint / 1099511627776.0::double"
 _BASE = "substr('ACGT', floor({0} * 4)::int + 1, 1)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from strandline.functions.bridge import READS_SQL, REF_SQL, reads, reference
@@ -9,6 +11,7 @@ from strandline.operators import graph as G
 from strandline.operators import phase as H
 from strandline.plans import register
 from strandline.plans.variants import ID_SQL, PILE_SQL, calls, ided
+from strandline.session import staged
 
 K = 15
 KEYS = ["contig"]
@@ -97,6 +100,55 @@ def g12(spark, sf):
     return G.without_dead_ends(good, KEYS, ref.select("contig", F.explode(F.array(*ends)).alias("kmer")).distinct())
 
 
+CONTRACT_SQL = f"""good as (select contig, src, dst, n from edges where n > 4),
+ends as (select contig, src as kmer, 0 as i, 1 as o from good union all select contig, dst, 1, 0 from good),
+inner_v as (select e.contig, e.kmer, (case when k.kmer is null then '0' else '1' end) || e.kmer as place from (select contig, kmer from ends group by 1, 2 having sum(i) = 1 and sum(o) = 1) e left join (select distinct contig, kmer from vert) k using (contig, kmer)),
+walk as (select g.contig, g.src as head, g.dst as first, g.src, g.dst, g.n, 1 as i from good g anti join inner_v v on v.contig = g.contig and v.kmer = g.src
+  union all select w.contig, w.head, w.first, g.src, g.dst, g.n, w.i + 1 from walk w join inner_v v on v.contig = w.contig and v.kmer = w.dst join good g on g.contig = w.contig and g.src = w.dst),
+marks as (select w.*, v.place from walk w left join inner_v v on v.contig = w.contig and v.kmer = w.dst),
+chain as (select contig, head, first, arg_max(dst, i) as tail, max(place) as top, arg_max(i, place) as spot from marks group by 1, 2, 3),
+ranked as (select *, row_number() over (partition by contig, head, tail order by top nulls first) as o from chain)"""
+
+
+@register(
+    "G13_contracted",
+    f"""with recursive {STEP_SQL}, {VERT_SQL.replace(REF_SQL + ',', '')}, {CONTRACT_SQL}
+select contig, src, dst, bases, n, steps from (select contig, head, first, coalesce((o > 1 or head = tail) and i > spot, false) as late, arg_min(src, i) as src, arg_max(dst, i) as dst, string_agg(right(dst, 1), '' order by i) as bases, max(n) as n, count(*) as steps
+  from marks join ranked using (contig, head, first) group by 1, 2, 3, 4)""",
+)
+def g13(spark, sf):
+    """Linear stretches as one edge; of the two sides of a site one keeps a vertex."""
+    return G.contracted(support(spark, sf).filter("n > 4"), KEYS, vertices(spark, sf).select("contig", "kmer").distinct())
+
+
+@register(
+    "K4_dot_vertices",
+    f"""with {STEP_SQL}, {VERT_SQL.replace(REF_SQL + ',', '')}, k as (select *, count(*) over (partition by contig, kmer) as times from vert), e as (select contig, src as kmer from edges union select contig, dst from edges)
+select contig, '"' || kmer || case when ctx > 0 then '#' || ctx else '' end || '"[label="' || kmer || '\\nRef\\nPOS: ' || pos || '\\n' || case when times = 1 then 'unique' else 'repeat' end || '",style=filled,color=' || case vtype when 'start' then 'yellow' when 'middle' then 'lightgreen' else 'blue' end || '];' as line from k
+union all select contig, '"' || kmer || '"[label="' || kmer || '\\nRead",style=filled,color=red];' from e anti join vert using (contig, kmer)""",
+)
+def k4v(spark, sf):
+    return G.dot_vertices(vertices(spark, sf), support(spark, sf), KEYS)
+
+
+@register(
+    "K4_edges_by_stage",
+    f"""with recursive {STEP_SQL}, {VERT_SQL.replace(REF_SQL + ',', '')}, sup as (select contig, src, dst, n from edges where n > 4 and last_pos >= {2 * K}),
+fix as (select distinct contig, kmer from vert where vtype = 'middle'),
+ahead as (select s.contig, s.src as kmer from sup s join fix f on f.contig = s.contig and f.kmer = s.src union select s.contig, s.dst from ahead a join sup s on s.contig = a.contig and s.src = a.kmer),
+back as (select s.contig, s.dst as kmer from sup s join fix f on f.contig = s.contig and f.kmer = s.dst union select s.contig, s.src from back a join sup s on s.contig = a.contig and s.dst = a.kmer),
+kept as (select s.* from sup s semi join ahead a on a.contig = s.contig and a.kmer = s.src semi join back b on b.contig = s.contig and b.kmer = s.dst),
+{CONTRACT_SQL.replace('from edges where n > 4', 'from kept')}
+select 'read' as stage, contig, count(*) as n from edges group by 2 union all select 'supported', contig, count(*) from sup group by 2 union all select 'trimmed', contig, count(*) from kept group by 2
+union all select 'contracted', contig, count(*) from (select contig, head, first, coalesce((o > 1 or head = tail) and i > spot, false) as late from marks join ranked using (contig, head, first) group by 1, 2, 3, 4) group by 2""",
+)
+def k4s(spark, sf):
+    """How many edges there are after each stage."""
+    found = G.stages(vertices(spark, sf), staged(support(spark, sf), "support"), K, KEYS)
+    each = [df.groupBy("contig").agg(F.count("*").alias("n")).withColumn("stage", F.lit(name)) for name, df in found.items()]
+    return reduce(lambda a, b: a.unionByName(b), each).select("stage", "contig", "n")
+
+
 PAIR_KEYS = ("contig", "src", "dst", "next")
 NEXT_SQL = f"""{STEP_SQL}, pairs as (select e.contig, e.src, e.dst, f.dst as next from edges e join edges f on e.contig = f.contig and e.dst = f.src),
 na as (select p.*, s.read, s.pos, s.q from pairs p join steps s using (contig, src, dst)),

@@ -20,7 +20,7 @@ from strandline.sources import formats, sinks
 
 load_all()
 SF = "/root/testdata/sf0.001"
-SOME = ["A4_kmer_histogram", "A1_read_stats", "F4_clip", "F6_clip_to_window", "J1_read_windows", "A9_window_coverage", "W8_segments", "W2_context_numbers", "C1_greedy_repair", "X7_normalised", "A21_snp_calls", "J12_J13_incidents", "A12_deduplicated", "U1_intersection", "F9_edge_prune", "J9_H3_paired_edges", "S10_S11_vcf", "W9_event_windows", "A2_kmer_canonical", "A20_position_coverage", "G12_without_dead_ends", "J15_Y4_majority_repair", "H1_adjacent_edges", "H2_homozygous", "H5_H7_phased", "P1_phased_vcf", "G18_spelled_haplotypes", "X10_alignment_gaps", "Y1_Y2_simulated_reads", "Y3_recovered"]
+SOME = ["A4_kmer_histogram", "A1_read_stats", "F4_clip", "F6_clip_to_window", "J1_read_windows", "A9_window_coverage", "W8_segments", "W2_context_numbers", "C1_greedy_repair", "X7_normalised", "A21_snp_calls", "J12_J13_incidents", "A12_deduplicated", "U1_intersection", "F9_edge_prune", "J9_H3_paired_edges", "S10_S11_vcf", "W9_event_windows", "A2_kmer_canonical", "A20_position_coverage", "G12_without_dead_ends", "J15_Y4_majority_repair", "H1_adjacent_edges", "H2_homozygous", "H5_H7_phased", "P1_phased_vcf", "G18_spelled_haplotypes", "X10_alignment_gaps", "Y1_Y2_simulated_reads", "Y3_recovered", "H6_paired_conflicts", "K5_variant_dot", "G13_contracted", "K4_dot_vertices", "K4_edges_by_stage", "A18_changes_per_read", "A18_planted_by_distance", "A18_removed_shortened", "C4_recoded_quality", "C5_C6_trimmed_after"]
 
 
 def normal(v):
@@ -345,3 +345,68 @@ def test_position_coverage_by_differences(spark):
             want[c, i] = want.get((c, i), 0) + 1
     got = W.position_coverage(spark.createDataFrame(rows, "contig string, pos0 long, seq string")).collect()
     assert len(got) == len(want) and {(x.contig, x.pos): x.depth for x in got} == want
+
+
+def test_alternates_on_both_by_pairs():
+    """Of every small graph without noise, the variants planted on both haplotypes come out as 3, the rest by their side."""
+    import itertools
+
+    for kinds in itertools.product((1, 2, 3), repeat=4):
+        if kinds[0] != 1:
+            continue
+        edges = []
+        for (a, ka), (b, kb) in itertools.combinations(enumerate(kinds), 2):
+            for hap in (1, 2):
+                edges.append((a, int(ka in (hap, 3)), b, int(kb in (hap, 3)), 5))
+        edges = sorted(set(edges))
+        assert dict(H.without_conflicts([0, 1, 2, 3], set(), edges, [True] * len(edges))) == dict(enumerate(kinds))
+    tie = [(0, 1, 1, 1, 5), (0, 1, 1, 0, 5), (0, 0, 1, 0, 5)]
+    assert dict(H.without_conflicts([0, 1], set(), tie, [False] * 3))[1] in (0, 1)
+
+
+def joined_by_force(edges, ranked):
+    """One vertex at a time, looked for among all edges."""
+    edges = list(edges)
+    for v in ranked:
+        into, out = [e for e in edges if e[1] == v], [e for e in edges if e[0] == v]
+        if len(into) == len(out) == 1 and into[0] != out[0]:
+            (u, _, x, n, s), (_, w, y, m, t) = into[0], out[0]
+            if u != w and not any(e[:2] == (u, w) for e in edges):
+                edges = [e for e in edges if e not in (into[0], out[0])] + [(u, w, x + y, max(n, m), s + t)]
+    return sorted(edges)
+
+
+def test_joined_equals_brute_force():
+    import random
+
+    r = random.Random(5)
+    for _ in range(300):
+        names = "abcdefgh"[: r.randint(2, 8)]
+        pairs = {(r.choice(names), r.choice(names)) for _ in range(r.randint(1, 10))}
+        edges = [(a, b, b, r.randint(1, 9), 1) for a, b in sorted(pairs)]
+        ranked = r.sample(names, len(names))
+        assert sorted(G.joined(edges, ranked)) == joined_by_force(edges, ranked)
+
+
+def test_contracted_tables(spark):
+    empty = spark.createDataFrame([], "contig int, src string, dst string, n bigint")
+    ref = spark.createDataFrame([(0, "AA")], "contig int, kmer string")
+    assert G.contracted(empty, ["contig"], ref).count() == 0
+    rows = spark.createDataFrame([(0, "AA", "AC", 5), (0, "AC", "CG", 7), (1, "AA", "AA", 2)], "contig int, src string, dst string, n bigint")
+    got = sorted(map(tuple, G.contracted(rows, ["contig"], ref).collect()))
+    assert got == [(0, "AA", "CG", "CG", 7, 2), (1, "AA", "AA", "A", 2, 1)]
+
+
+def test_trim_and_recoded_quality(spark):
+    from strandline.operators import correct as X
+
+    rows = spark.createDataFrame([("r", "ACGTN", "AcGTa", "I#I#I"), ("e", "", "", "")], "id string, seq string, fixed string, qual string")
+    got = {r.id: r.q for r in rows.select("id", X.recoded_quality(F.col("seq"), F.col("fixed"), F.col("qual")).alias("q")).collect()}
+    assert got == {"r": "?#?+&", "e": ""}
+    ref = "ACGGTCATTGCAAGCTTACCGAT"
+    rows = [("a", ref, ref), ("b", ref, "a" + ref[1:]), ("c", ref[:20] + "TTT", ref[:20] + "TTT"), ("d", "GGGGGCCCCCATATATATTTTAA", "GGGGGCCCCCATATATATTTTAA"), ("s", "ACG", "ACG"), ("e", ref[:20] + "TTA", ref[:20] + "TTA")]
+    df = spark.createDataFrame([(i, s, f, "I" * len(s)) for i, s, f in rows], "id string, seq string, fixed string, qual string")
+    out = X.trimmed(df, 7).cache()
+    got = {r.id: (r.fixed, len(r.qual), r.n_changes) for r in out.collect()}
+    assert got == {"a": (ref, 23, 0), "b": ("a" + ref[1:], 23, 1), "c": (ref[:20] + "TT", 22, 0), "e": (ref[:20] + "TT", 22, 0), "s": ("ACG", 3, 0)}
+    assert X.statistics(out, df).first().asDict() == {"reads": 6, "bases": 118, "removed": 1, "shortened": 2, "repaired_reads": 1, "repaired_bases": 1}
