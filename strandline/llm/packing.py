@@ -26,6 +26,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -131,14 +132,14 @@ class Ids:
             return
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        known = self.known
         chunks = [(t if self.MAY_BE_SPECIAL in t else loosened(t)).split() for t in texts]
-        new = {c for cs in chunks for c in cs} - self.known.keys()
+        new = set(filterfalse(known.__contains__, chain.from_iterable(chunks)))
         whole = [c for c in new if _WHOLE.fullmatch(c) and self.MAY_BE_SPECIAL not in c]
         for i in range(0, len(whole), self.TOGETHER):
             self._learn(whole[i : i + self.TOGETHER])
-        for c in new - self.known.keys():
-            self.known[c] = self._ids(c.decode("utf-8")).tobytes()
-        known = self.known
+        for c in filterfalse(known.__contains__, new):
+            known[c] = self._ids(c.decode("utf-8")).tobytes()
         for cs in chunks:
             yield b"".join([known[c] for c in cs])
 
