@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators import kmers as K
+from strandline.operators import packed
 
 #: Weights of a change, of a change at a good base, of an absent k-mer, and of one absent among good ones.
 CHANGE, CHANGE_GOOD, ABSENT, ABSENT_GOOD = 1, 7, 3, 1
@@ -101,13 +102,13 @@ def recoded_quality(before: Column, after: Column, qual: Column) -> Column:
     return F.when(F.length(before) > 0, F.array_join(F.transform(each, mark), "")).otherwise(F.lit(""))
 
 
-def neighbourhood(flags: DataFrame, reads: DataFrame, k: int) -> DataFrame:
-    """id, kmer (canonical): each read's solid k-mers, and all that the search may make of another of its k-mers.
+def neighbourhood(reads: DataFrame, k: int) -> DataFrame:
+    """id, kmer (canonical): each read's solid k-mers, and all that the search may make of another of its k-mers; few of a read's k-mers make the same one, so a repeated row stays.
 
-    Those have any base for each N and changes NEAR bases apart or more, as
+    ``weak`` lists the places of a read's k-mers that aren't solid. Those have any base for each N and changes NEAR bases apart or more, as
     many as a k-mer has room for.
     """
-    own = K.explode_kmers(reads.select("id", "seq"), k).join(flags, ["id", "i"])
+    own = K.explode_kmers(reads.select("id", "seq", "weak"), k)
     bases, places = F.array(*[F.lit(b) for b in "ACGT"]), F.sequence(F.lit(1), F.lit(k))
     put = lambda s, i: F.transform(bases, lambda b: F.overlay(s, b, i, F.lit(1)))
     filled = F.aggregate(places, F.array("kmer"), lambda made, i: F.when(F.substr("kmer", i, F.lit(1)) == "N", F.flatten(F.transform(made, lambda s: put(s, i)))).otherwise(made))
@@ -116,8 +117,8 @@ def neighbourhood(flags: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     for _ in range(0, k, NEAR):
         ways = F.flatten(F.transform(ways, lambda x: F.flatten(F.transform(F.filter(places, lambda i: i >= x["last"] + NEAR), lambda i: F.transform(put(x["s"], i), lambda s: F.struct(s.alias("s"), i.alias("last")))))))
         near.append(F.transform(ways, lambda x: x["s"]))
-    near = F.when(F.col("solid") == 1, F.array("kmer")).otherwise(F.array_distinct(F.concat(*near)))
-    return own.select("id", F.explode(near).alias("kmer")).select("id", K.canonical(F.col("kmer")).alias("kmer")).distinct()
+    near = F.when(~F.array_contains("weak", F.col("i")), F.array("kmer")).otherwise(F.array_distinct(F.concat(*near)))
+    return own.select("id", F.explode(near).alias("kmer")).select("id", K.canonical(F.col("kmer")).alias("kmer"))
 
 
 def corrected(reads: DataFrame, counts: DataFrame, k: int, least: int) -> DataFrame:
@@ -127,11 +128,16 @@ def corrected(reads: DataFrame, counts: DataFrame, k: int, least: int) -> DataFr
     others get their neighbourhood's counts by a join, as one map for each
     read.
     """
-    flags = K.solid(reads, counts, k, least)
-    whole = flags.groupBy("id").agg(F.min("solid").alias("whole"))
-    weak = reads.select("id", "seq", "qual").join(whole.filter("whole = 0").select("id"), "id", "left_semi")
-    known = neighbourhood(flags, weak, k).join(counts.filter(F.col("occ") >= least), "kmer").groupBy("id").agg(F.collect_list(F.struct("kmer", "occ", "occ_hi")).alias("counts"))
-    rows = weak.join(known, "id", "left")
+    places = K.solid(reads, counts, k, least).filter("solid = 0").groupBy("id").agg(F.collect_set("i").alias("weak"))
+    weak = reads.select("id", "seq", "qual").join(places, "id")
+    near, often = neighbourhood(weak, k), counts.filter(F.col("occ") >= least)
+    if k <= packed.MOST_K:  # numbers are what the many candidates are shuffled as
+        key = packed.number(F.col("kmer")).alias("number")
+        met = near.select("id", key).join(often.select(key, "kmer", "occ", "occ_hi"), "number")
+    else:
+        met = near.join(often, "kmer")
+    known = met.groupBy("id").agg(F.collect_set(F.struct("kmer", "occ", "occ_hi")).alias("counts"))
+    rows = weak.drop("weak").join(known, "id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,7 +148,7 @@ def corrected(reads: DataFrame, counts: DataFrame, k: int, least: int) -> DataFr
             yield pd.DataFrame(out, columns=["id", "seq", "fixed", "n_changes"])
 
     fixed = rows.mapInPandas(run, "id string, seq string, fixed string, n_changes int")
-    whole = reads.join(weak.select("id"), "id", "left_anti").select("id", "seq", F.col("seq").alias("fixed"), F.lit(0).alias("n_changes"))
+    whole = reads.join(places, "id", "left_anti").select("id", "seq", F.col("seq").alias("fixed"), F.lit(0).alias("n_changes"))
     return whole.unionByName(fixed)
 
 
