@@ -410,3 +410,40 @@ def test_trim_and_recoded_quality(spark):
     got = {r.id: (r.fixed, len(r.qual), r.n_changes) for r in out.collect()}
     assert got == {"a": (ref, 23, 0), "b": ("a" + ref[1:], 23, 1), "c": (ref[:20] + "TT", 22, 0), "e": (ref[:20] + "TT", 22, 0), "s": ("ACG", 3, 0)}
     assert X.statistics(out, df).first().asDict() == {"reads": 6, "bases": 118, "removed": 1, "shortened": 2, "repaired_reads": 1, "repaired_bases": 1}
+
+
+def odd_reads(spark):
+    """Reads on two contigs: an id of two rows at different places, alike rows, two alternates at one position, short, empty and null ones."""
+    ref = [(0, "ACGTACGTAC" * 60), (1, "TTGCATTGCA" * 60)]
+    rows = []
+    for c, seq in ref:
+        for n in range(180):
+            at = (n * 37) % 540
+            s = list(seq[at : at + 60])
+            for p, alt, every in ((250, "G", 2), (251, "A", 3), (258, "T", 2), (258, "C", 5), (300, "G", 2), (511, "A", 2), (513, "C", 3)):
+                if at <= p < at + 60 and n % every == 0 and seq[p] != alt:
+                    s[p - at] = alt
+            rows += [(f"{c}r{n}", f"q{n // 3}", c, at, "".join(s))] * (2 if n % 20 == 8 else 1)
+    rows += [("0r4", "q9", 0, 230, ref[0][1][230:290]), ("0x", "q1", 0, 300, ""), ("0y", "q1", 0, 512, None), ("0z", "q1", 0, 256, "A"), ("0n", "q1", 0, None, "ACGT")]
+    return spark.createDataFrame(rows, "id string, qname string, contig int, pos0 bigint, seq string"), spark.createDataFrame(ref, "contig int, seq string")
+
+
+def rows_of(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def odd_sites(spark):
+    """Reads, sites by counts, and the same calls with their lists of reads."""
+    own, ref = odd_reads(spark)
+    vid = F.col("chrom").cast("bigint") * 100000 + F.col("pos")
+    lists = V.snp_calls(V.pileup(own), ref, 2).withColumn("vid", vid).cache()
+    return own, V.sites(own, ref, 2).withColumn("vid", vid).cache(), lists
+
+
+def test_touches_of_sites_equal_those_of_lists(spark, odd_sites):
+    own, places, lists = odd_sites
+    assert rows_of(places, "chrom", "pos", "ref", "alt", "rc", "ac") == rows_of(lists, "chrom", "pos", "ref", "alt", "rc", "ac")
+    assert lists.count() > 8 and lists.groupBy("chrom", "pos").count().filter("count > 1").count()
+    assert rows_of(V.touches(own, places), "read", "vid", "side") == rows_of(H.touched(lists), "read", "vid", "side")
+    assert "collect_list(id" not in QUERIES["J8_touched"](spark, SF)._jdf.queryExecution().toString()
