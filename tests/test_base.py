@@ -447,3 +447,10 @@ def test_touches_of_sites_equal_those_of_lists(spark, odd_sites):
     assert lists.count() > 8 and lists.groupBy("chrom", "pos").count().filter("count > 1").count()
     assert rows_of(V.touches(own, places), "read", "vid", "side") == rows_of(H.touched(lists), "read", "vid", "side")
     assert "collect_list(id" not in QUERIES["J8_touched"](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_pairs_of_sites_equal_those_of_lists(spark, odd_sites):
+    own, places, lists = odd_sites
+    names = own.select(F.col("id").alias("read"), "qname")
+    got = rows_of(H.paired_touches(V.named_touches(own, places)), "v1", "s1", "v2", "s2", "n")
+    assert got and got == rows_of(H.paired_edges(lists, names), "v1", "s1", "v2", "s2", "n")
