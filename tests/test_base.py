@@ -454,3 +454,10 @@ def test_pairs_of_sites_equal_those_of_lists(spark, odd_sites):
     names = own.select(F.col("id").alias("read"), "qname")
     got = rows_of(H.paired_touches(V.named_touches(own, places)), "v1", "s1", "v2", "s2", "n")
     assert got and got == rows_of(H.paired_edges(lists, names), "v1", "s1", "v2", "s2", "n")
+
+
+def test_shared_reads_of_sites_equal_those_of_lists(spark, odd_sites):
+    own, places, lists = odd_sites
+    cols = ["v1", "s1", "v2", "s2", "n"]
+    assert any(n > 1 for n in [r["n"] for r in H.site_edges(V.shared(own, places), 0).collect()])
+    assert rows_of(H.site_edges(V.shared(own, places), 0), *cols) == rows_of(H.adjacent_edges(lists, 0), *cols)
