@@ -165,19 +165,37 @@ def trimmed(rows: DataFrame, k: int = 33, least: int = 2, share: float = 0.8) ->
     Reads whose run is not more than ``share`` of them are dropped, reads
     shorter than k stay; ``n_changes`` is counted again.
     """
-    own = rows.withColumnsRenamed({"seq": "before", "fixed": "seq"})
-    upper = own.withColumn("seq", F.upper("seq"))
-    flags = K.solid(upper.filter(F.length("seq") >= k), K.count_canonical(upper, k), k, least)
-    cut = K.trimmed_by_streak(own, K.longest_run(flags), k, share).withColumnsRenamed({"seq": "fixed", "before": "seq"})
+    cut = K.cut_to_streak(_streaks(rows, k, least).withColumnsRenamed({"seq": "before", "fixed": "seq"}), k, share).withColumnsRenamed({"seq": "fixed", "before": "seq"})
     return cut.withColumn("n_changes", F.length(F.regexp_replace("fixed", "[^a-z]", "")))
 
 
+def _streaks(rows: DataFrame, k: int, least: int) -> DataFrame:
+    """Corrected rows with start and streak of the longest run of k-mers that corrected reads have ``least`` times."""
+    upper = rows.withColumn("upper", F.upper("fixed"))
+    counts = K.count_canonical(upper.select(F.col("upper").alias("seq"), "qual"), k)
+    return K.with_streaks(upper, counts, k, least, seq="upper").drop("upper")
+
+
+def trim_statistics(rows: DataFrame, k: int = 33, least: int = 2, share: float = 0.8) -> DataFrame:
+    """``statistics`` of ``trimmed`` rows against the rows before, each row by itself."""
+    met = _streaks(rows.select("id", "seq", "fixed", "qual"), k, least).withColumnsRenamed({"seq": "before", "fixed": "seq"})
+    keep, cut = K.streak_cut(k, share)
+    left = F.when(keep, cut("seq"))
+    return _outcome(met.select(F.length("before").alias("size"), F.length(left).alias("left"), F.length(F.regexp_replace(left, "[^a-z]", "")).alias("n_changes")))
+
+
 def statistics(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """One row: reads, repaired reads, repaired bases, from rows of n_changes; against ``before`` (id, seq) also removed and shortened reads and all bases."""
     counts = [F.count_if(F.col("n_changes") > 0).alias("repaired_reads"), F.coalesce(F.sum("n_changes"), F.lit(0)).alias("repaired_bases")]
     if before is None:
         return rows.agg(F.count("*").alias("reads"), *counts)
     met = before.select("id", F.length("seq").alias("size")).join(rows.select("id", F.length("fixed").alias("left"), "n_changes"), "id", "left")
+    return _outcome(met)
+
+
+def _outcome(met: DataFrame) -> DataFrame:
+    """Statistics of rows of size, left (null where nothing is) and n_changes."""
+    counts = [F.count_if(F.col("n_changes") > 0).alias("repaired_reads"), F.coalesce(F.sum("n_changes"), F.lit(0)).alias("repaired_bases")]
     gone, less = F.col("left").isNull() | (F.col("left") == 0), F.col("left") != F.col("size")
     return met.agg(F.count("*").alias("reads"), F.sum("size").alias("bases"), F.count_if(gone).alias("removed"), F.count_if(~gone & less).alias("shortened"), *counts)
 

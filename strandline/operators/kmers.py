@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import packed
+from strandline.session import staged
 
 
 def revcomp(seq: Column) -> Column:
@@ -144,13 +147,45 @@ def longest_run(flags: DataFrame, key: str = "id") -> DataFrame:
     return flags.select(key).distinct().join(best, key, "left").select(key, "start", F.coalesce("streak", F.lit(0)).cast("bigint").alias("streak"))
 
 
+def with_streaks(reads: DataFrame, counts: DataFrame, k: int, least: int, key: str = "id", seq: str = "seq") -> DataFrame:
+    """Reads with start and streak: the first longest run of k-mers that occur ``least`` times, as ``longest_run`` says; both null for reads shorter than k.
+
+    Each read is looked over in its own row. Where the known k-mers are too
+    many to be sent to every worker, reads meet them by joins; ``key`` then
+    tells reads apart.
+    """
+    known = staged(counts.filter(F.col("occ") >= least), "known-kmers")
+    if k <= packed.MOST_K and (numbers := packed.known_numbers(known)) is not None:
+        return packed.with_streaks(reads, numbers, k, seq)
+    own = reads.select(key, F.col(seq).alias("seq")).filter(F.length("seq") >= k)
+    return reads.join(longest_run(solid(own, known, k, least, key), key), key, "left")
+
+
+def solid_coverage(reads: DataFrame, counts: DataFrame, k: int, least: int, key: str = "id") -> DataFrame:
+    """key, pos, cover: how many k-mers that occur ``least`` times cover each base, as ``base_coverage`` says."""
+    known = staged(counts.filter(F.col("occ") >= least), "known-kmers")
+    if k <= packed.MOST_K and (numbers := packed.known_numbers(known)) is not None:
+        return packed.coverage(reads, numbers, k, key)
+    return base_coverage(solid(reads.filter(F.length("seq") >= k), known, k, least, key), k, F.length("seq"), key)
+
+
 def trimmed_by_streak(reads: DataFrame, runs: DataFrame, k: int, share: float = 0.8, key: str = "id") -> DataFrame:
     """Keep each read's longest run of known k-mers if it is more than ``share`` of the read; drop other reads; reads shorter than k stay."""
-    met = reads.join(runs, key, "left")
+    return cut_to_streak(reads.join(runs, key, "left"), k, share)
+
+
+def cut_to_streak(met: DataFrame, k: int, share: float = 0.8) -> DataFrame:
+    """``trimmed_by_streak`` of reads that have their start and streak."""
+    keep, cut = streak_cut(k, share)
+    return met.filter(keep).withColumns({"qual": cut("qual"), "seq": cut("seq")}).drop("start", "streak")
+
+
+def streak_cut(k: int, share: float) -> tuple[Column, Callable[[str], Column]]:
+    """Whether a read (seq, start, streak) stays, and what its run leaves of a column."""
     part = F.col("streak") + k - 1
     whole = F.length("seq") < k
     cut = lambda c: F.when(whole, F.col(c)).otherwise(F.substr(F.col(c), (F.col("start") + 1).cast("int"), part.cast("int")))
-    return met.filter(whole | ((F.col("streak") > 0) & (part / F.length("seq") > share))).withColumns({"qual": cut("qual"), "seq": cut("seq")}).drop("start", "streak")
+    return whole | ((F.col("streak") > 0) & (part / F.length("seq") > share)), cut
 
 
 def first_plain(seq: Column, k: int, start: int = 0) -> Column:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Windows worked on at a time, and the longest k-mer that is a number.
 PIECE, MOST_K = 1 << 20, 31
@@ -141,6 +142,79 @@ def canonical_windows(reads: DataFrame, k: int, key: str) -> DataFrame:
     return reads.select(key, "seq").mapInArrow(run, f"{key} {kind}, i int, number long")
 
 
+#: Known k-mers that are sent to every worker as sorted numbers (32 MB); more are met by a join.
+MOST_KNOWN = 1 << 22
+
+
+def known_numbers(known: DataFrame) -> np.ndarray | None:
+    """The sorted numbers of the k-mers of a table (kmer), or nothing if there are more than ``MOST_KNOWN``."""
+    if known.limit(MOST_KNOWN + 1).count() > MOST_KNOWN:
+        return None
+    return np.sort(known.select(number(F.col("kmer")).alias("number")).filter("number is not null").toArrow().column(0).to_numpy())
+
+
+def _flags(raw: np.ndarray, off: np.ndarray, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of a batch are known, row after row, and where each row's begin."""
+    first = np.concatenate([[0], np.cumsum(np.maximum(np.diff(off) - k + 1, 0))])
+    parts = [np.zeros(0, bool)]
+    for _, _, value, plain, _ in _numbered(raw, off, k, True):
+        at = np.searchsorted(known, value)
+        parts.append(plain & (known[np.minimum(at, len(known) - 1)] == value) if len(known) else np.zeros(len(value), bool))
+    return np.concatenate(parts), first
+
+
+def longest_runs(flags: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each row's first longest run of flags; length 0 without one. Row r has flags[first[r]:first[r + 1]]."""
+    n = len(first) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    begins = flags.copy()
+    begins[1:] &= ~flags[:-1] | (row[1:] != row[:-1])
+    at = np.flatnonzero(begins)
+    size = np.bincount(np.cumsum(begins)[flags] - 1, minlength=len(at))
+    order = np.lexsort((at, -size, row[at]))
+    best = order[np.flatnonzero(np.diff(row[at][order], prepend=-1))]
+    start, streak = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    start[row[at[best]]], streak[row[at[best]]] = at[best] - first[row[at[best]]], size[best]
+    return start, streak
+
+
+def with_streaks(reads: DataFrame, known: np.ndarray, k: int, seq: str = "seq") -> DataFrame:
+    """Reads with start and streak, each read's first longest run of known k-mers; start is null and streak 0 without one, both are null without a k-mer. Nothing is shuffled."""
+    sent = reads.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags, first = _flags(*buffers(batch.column(batch.schema.get_field_index(seq))), k, sent.value)
+            start, streak = longest_runs(flags, first)
+            more = [pa.array(start, pa.int32(), mask=streak == 0), pa.array(streak, pa.int64(), mask=np.diff(first) == 0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "start", "streak"])
+
+    return reads.mapInArrow(run, T.StructType([*reads.schema, T.StructField("start", T.IntegerType()), T.StructField("streak", T.LongType())]))
+
+
+def coverage(reads: DataFrame, known: np.ndarray, k: int, key: str) -> DataFrame:
+    """key, pos, cover: how many known k-mers cover each base of each read (key, seq) of k bases or more. Nothing is shuffled."""
+    sent = reads.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):  # each base makes a row
+                batch = whole.slice(at, 1000)
+                flags, first = _flags(*buffers(batch.column(1)), k, sent.value)
+                n = np.diff(first)
+                bases = np.where(n > 0, n + k - 1, 0)
+                base = np.concatenate([[0], np.cumsum(bases + 1)])  # a place more, where a read's last k-mer ends
+                row = np.repeat(np.arange(len(n)), n)
+                begin = base[row] + np.arange(len(flags)) - first[row]
+                steps = np.bincount(begin[flags], minlength=base[-1] + 1) - np.bincount(begin[flags] + k, minlength=base[-1] + 1)
+                of = np.repeat(np.arange(len(n)), bases)
+                pos = np.arange(len(of)) - (np.cumsum(bases) - bases)[of]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(pos, pa.int32()), pa.array(np.cumsum(steps)[base[of] + pos], pa.int32())], [key, "pos", "cover"])
+
+    kind = reads.schema[key].dataType.simpleString()
+    return reads.select(key, "seq").mapInArrow(run, f"{key} {kind}, pos int, cover int")
+
+
 def step_support(reads: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """keys, src, dst, n, last_pos: how many steps of reads (keys, seq) go from one k-mer to the next, and the greatest position of a step's new base."""
 

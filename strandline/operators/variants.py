@@ -194,7 +194,7 @@ def touches(reads: DataFrame, places: DataFrame, name: str = "contig", keep: tup
     return _met(reads, places, name, keep).select("read", *keep, "chrom", F.inline(F.filter(each, lambda x: x.side.isNotNull())))
 
 
-def _apart(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+def by_id(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reads whose id no other row has, and the rest; by hashes, so some single ones may be with the rest."""
     h = F.xxhash64("id")
     often = staged(reads.select(h.alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated-ids")
@@ -207,7 +207,7 @@ def shared(reads: DataFrame, places: DataFrame, name: str = "contig") -> DataFra
     A read sees both sites by itself, so only counts are shuffled; rows that
     share an id are brought together first.
     """
-    once, more = _apart(reads.select("id", name, "pos0", "seq"))
+    once, more = by_id(reads.select("id", name, "pos0", "seq"))
     both = F.transform("sites", lambda x: F.struct(x.nth.alias("nth"), x.vid.alias("v1"), _side(x.pos, x.ref, x.alt).alias("s1"), x.v2.alias("v2"), _side(x.pos2, x.ref2, x.alt2).alias("s2")))
     seen = _met(once, places, name).select("chrom", F.inline(F.filter(both, lambda x: x.s1.isNotNull() & x.s2.isNotNull())))
     t = touches(more, places, name).distinct()
@@ -219,7 +219,7 @@ def shared(reads: DataFrame, places: DataFrame, name: str = "contig") -> DataFra
 
 def named_touches(reads: DataFrame, places: DataFrame, name: str = "contig") -> DataFrame:
     """read, qname, vid, side of reads (id, qname, pos0, seq): ``touches`` joined with the names by id; an id of one row has its name at hand."""
-    once, more = _apart(reads.select("id", "qname", name, "pos0", "seq"))
+    once, more = by_id(reads.select("id", "qname", name, "pos0", "seq"))
     again = touches(more, places, name).join(more.select(F.col("id").alias("read"), "qname"), "read")
     names = ["read", "qname", "vid", "side"]
     return touches(once, places, name, ("qname",)).select(names).unionByName(again.select(names))

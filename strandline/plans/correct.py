@@ -18,14 +18,14 @@ from strandline.session import staged
 KC, LEAST = 15, 8
 
 
-def wrong(spark, sf):
+def wrong(spark, sf, qual=None):
     """Reads with their truth; one in thirty-one has a wrong base, at a place that its keys name, and half of these another one 10 to 14 bases on."""
     own = ided(reads(spark, sf)).withColumn("at", (F.col("l_partkey") % 25 + 20).cast("int"))
     swapped = lambda seq, at: F.concat(F.substr(seq, F.lit(1), at), F.translate(F.substr(seq, at + 1, F.lit(1)), "ACGT", "GTAC"), F.substr(seq, at + 2))
     one = swapped(F.col("seq"), F.col("at"))
     bad = F.when(F.col("l_linenumber") % 2 == 0, swapped(one, F.col("at") + (F.col("l_suppkey") % 5 + 10).cast("int"))).otherwise(one)
     hit = F.col("l_orderkey") % 31 == 0
-    return own.select("id", F.col("seq").alias("truth"), F.when(hit, bad).otherwise(F.col("seq")).alias("seq"), F.repeat(F.lit("I"), F.lit(60)).alias("qual"), "pos0", "cigar")
+    return own.select("id", F.col("seq").alias("truth"), F.when(hit, bad).otherwise(F.col("seq")).alias("seq"), (F.repeat(F.lit("I"), F.lit(60)) if qual is None else qual).alias("qual"), "pos0", "cigar")
 
 
 def fixed(spark, sf):
@@ -67,9 +67,9 @@ fixed as (select id, string_agg(b, '' order by i) as seq, string_agg(case when b
 def planted(spark, sf):
     """What a correction that undoes every planted error gives: one row for each id, which has one read and quality."""
     mark = lambda a, b: F.when(a == b, b).otherwise(F.lower(b))
-    own = ided(reads(spark, sf)).select("id", "qual").distinct()
     marked = F.array_join(F.zip_with(F.split("seq", ""), F.split("truth", ""), mark), "")
-    rows = wrong(spark, sf).select("id", "truth", "seq").distinct().join(own, "id").withColumn("fixed", marked)
+    once, more = V.by_id(wrong(spark, sf, F.col("qual")).drop("pos0", "cigar"))
+    rows = once.unionByName(more.distinct()).withColumn("fixed", marked)
     return rows.withColumn("n_changes", F.length(F.regexp_replace("fixed", "[^a-z]", "")))
 
 
@@ -100,14 +100,13 @@ cut as (select id, substr(fixed, (start + 1)::int, (streak + {KT} - 1)::int) as
 
 @register("C5_C6_trimmed_after", f"with {WRONG_SQL}, {TRIM_SQL} select * from cut")
 def trimmed(spark, sf):
-    return X.trimmed(staged(planted(spark, sf), "planted"), KT).select("id", "fixed")
+    return X.trimmed(planted(spark, sf).select("id", "seq", "fixed", "qual"), KT).select("id", "fixed")
 
 
 @register("A18_removed_shortened", f"""with {WRONG_SQL}, {TRIM_SQL}, n as (select id, length(fixed) as size, len(regexp_extract_all(fixed, '[a-z]')) as c from cut)
 select (select count(*) from wrong) as reads, (select count(*) * 60 from wrong) as bases, (select count(*) from wrong) - count(*) as removed, count(*) filter (where size < 60) as shortened, count(*) filter (where c > 0) as repaired_reads, sum(c)::bigint as repaired_bases from n""")
 def outcome(spark, sf):
-    own = staged(planted(spark, sf), "planted")
-    return X.statistics(X.trimmed(own, KT), own)
+    return X.trim_statistics(planted(spark, sf), KT)
 
 
 RATES = (0.01, 0.002, 0.002)

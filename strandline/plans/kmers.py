@@ -115,19 +115,15 @@ runs as (select id, i - sum(solid) over (partition by id order by i) as g, i fro
 best as (select id, start, streak from sized qualify row_number() over (partition by id order by streak desc, start) = 1)"""
 
 
-def flagged(spark, sf):
-    own = ided(reads(spark, sf))
-    return own, kmers.solid(own, counts(spark, sf), QK, 4)
-
-
 @register("W4_W5_longest_streak", f"with {READS_SQL}, {COUNTS_SQL}, {SOLID_SQL} select f.id, start, coalesce(streak, 0) as streak from (select distinct id from flags) f left join best using (id)")
 def w45(spark, sf):
-    return kmers.longest_run(flagged(spark, sf)[1])
+    own = ided(reads(spark, sf)).select("id", "seq")
+    return kmers.with_streaks(own, counts(spark, sf), QK, 4).filter("streak is not null").drop("seq")
 
 
 @register("W6_base_coverage", f"with {READS_SQL}, {COUNTS_SQL}, {SOLID_SQL} select id, p::int as pos, coalesce(sum(solid), 0)::int as cover from (select id, unnest(range(0, 60)) as p from (select distinct id from flags)) join flags using (id) where i <= p and i > p - {QK} group by 1, 2")
 def w6(spark, sf):
-    return kmers.base_coverage(flagged(spark, sf)[1], QK, F.lit(60))
+    return kmers.solid_coverage(ided(reads(spark, sf)).select("id", "seq"), counts(spark, sf), QK, 4)
 
 
 @register(
@@ -135,8 +131,8 @@ def w6(spark, sf):
     f"with {READS_SQL}, {COUNTS_SQL}, {SOLID_SQL} select i.id, substr(seq, (start + 1)::int, (streak + {QK} - 1)::int) as seq, substr(qual, (start + 1)::int, (streak + {QK} - 1)::int) as qual from ids i join best using (id) where (streak + {QK} - 1) / 60.0 > 0.8",
 )
 def c5(spark, sf):
-    own, flags = flagged(spark, sf)
-    return kmers.trimmed_by_streak(own, kmers.longest_run(flags), QK).select("id", "seq", "qual")
+    own = ided(reads(spark, sf)).select("id", "seq", "qual")
+    return kmers.cut_to_streak(kmers.with_streaks(own, counts(spark, sf), QK, 4), QK)
 
 
 @register("C2_first_plain_kmer", f"with {READS_SQL} select {ID_SQL} as id, case when l_partkey % 3 = 0 then 8 + l_linenumber else 0 end::int as at from reads")

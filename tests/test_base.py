@@ -461,3 +461,51 @@ def test_shared_reads_of_sites_equal_those_of_lists(spark, odd_sites):
     cols = ["v1", "s1", "v2", "s2", "n"]
     assert any(n > 1 for n in [r["n"] for r in H.site_edges(V.shared(own, places), 0).collect()])
     assert rows_of(H.site_edges(V.shared(own, places), 0), *cols) == rows_of(H.adjacent_edges(lists, 0), *cols)
+
+
+def test_read_edges_of_sites_equal_those_of_lists(spark, odd_sites):
+    own, places, lists = odd_sites
+    cols = ["chrom", "pos", "alt", "pos2", "alt2", "rr", "ra", "ar", "aa"]
+    assert rows_of(V.site_edges(own, places), *cols) == rows_of(V.read_edges(lists), *cols)
+
+
+def test_homozygous_by_counts(spark, odd_sites):
+    own, places, lists = odd_sites
+    bare = places.withColumn("rc", F.when(F.col("pos") == 251, 0).otherwise(F.col("rc")))
+    named = lists.withColumn("ref_reads", F.when(F.col("pos") == 251, F.array().cast("array<string>")).otherwise(F.col("ref_reads")))
+    got = rows_of(H.homozygous(bare, H.site_edges(V.shared(own, bare), 0)), "vid")
+    assert got and got == rows_of(H.homozygous(named, H.adjacent_edges(lists, 0)), "vid")
+
+
+@pytest.mark.parametrize("name", ["H5_H7_phased", "H6_paired_conflicts"])
+def test_phasing_makes_no_lists_of_reads(spark, monkeypatch, name):
+    def refuse(*_):
+        raise AssertionError("lists of reads")
+
+    monkeypatch.setattr(V, "snp_calls", refuse)
+    assert QUERIES[name](spark, SF).count() == 90
+
+
+def streak_reads(spark):
+    """Reads with unknown letters, alike and short ones, and one that nothing shares."""
+    seqs = ["ACGTTGCAAGCTAGCTTACG", "ACGTTGCAAGCTAGCTTACG", "ACGTTGCAANCTAGCTTACG", "TTTTGCAAGCTAGCTTTTTT", "CGTAAGCTAGCTTGCAACGT", "GGGGGGGCCCACATATAGAT", "ACGT", "", None]
+    rows = [(f"r{i}", s, s and "I" * len(s)) for i, s in enumerate(seqs)]
+    return spark.createDataFrame(rows, "id string, seq string, qual string")
+
+
+@pytest.mark.parametrize("most", [1 << 22, 3])
+def test_streaks_and_cover_by_either_way(spark, monkeypatch, most):
+    """Reads looked over in their rows, and met by joins where k-mers are too many, say what the tables of flags say."""
+    from strandline.operators import packed
+
+    monkeypatch.setattr(packed, "MOST_KNOWN", most)
+    own = streak_reads(spark)
+    counts = K.count_canonical(own, 7)
+    flags = K.solid(own.filter("length(seq) >= 7"), counts, 7, 2)
+    got = K.with_streaks(own, counts, 7, 2)
+    plan = got._jdf.queryExecution().toString()
+    assert ("Join" in plan) == (most == 3)
+    want = rows_of(K.longest_run(flags), "id", "start", "streak")
+    assert rows_of(got.filter("streak is not null"), "id", "start", "streak") == want and {x[2] for x in want} >= {0, 14}
+    assert rows_of(K.solid_coverage(own, counts, 7, 2), "id", "pos", "cover") == rows_of(K.base_coverage(flags, 7, F.length("seq")), "id", "pos", "cover")
+    assert rows_of(K.cut_to_streak(got, 7, 0.5), "id", "seq", "qual") == rows_of(K.trimmed_by_streak(own, K.longest_run(flags), 7, 0.5), "id", "seq", "qual")
