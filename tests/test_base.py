@@ -509,3 +509,32 @@ def test_streaks_and_cover_by_either_way(spark, monkeypatch, most):
     assert rows_of(got.filter("streak is not null"), "id", "start", "streak") == want and {x[2] for x in want} >= {0, 14}
     assert rows_of(K.solid_coverage(own, counts, 7, 2), "id", "pos", "cover") == rows_of(K.base_coverage(flags, 7, F.length("seq")), "id", "pos", "cover")
     assert rows_of(K.cut_to_streak(got, 7, 0.5), "id", "seq", "qual") == rows_of(K.trimmed_by_streak(own, K.longest_run(flags), 7, 0.5), "id", "seq", "qual")
+
+
+@pytest.mark.parametrize("most", [1 << 21, 2])
+def test_majority_by_either_way(spark, monkeypatch, most):
+    """Low bases, ties, unknown letters, null and short qualities, reads without place or name, alike ids."""
+    monkeypatch.setattr(V, "MOST_SENT", most)
+    rows = [("a", 0, 5, "ACGTA", "IIIII"), ("b", 0, 5, "ACGTA", "IIIII"), ("c", 0, 6, "CGAAN", "II#II"), ("d", 0, 7, "GTT", "I"), ("e", 0, 7, "GAT", None), ("f", 0, -2, "TTTT", "####"), ("g", 0, -2, "CCCC", "IIII"),
+            ("h", 1, 5, "TTTTT", "IIIII"), ("i", 1, 5, "GGGGG", "#####"), ("j", 1, 5, "GTGTG", "IIII#"), ("k", None, 5, "AA", "##"), ("l", 0, None, "AA", "##"), ("m", 0, 5, None, None), ("n", 0, 5, "", ""), ("c", 1, 6, "AGAAN", "#####")]
+    own = spark.createDataFrame(rows, "id string, contig int, pos0 bigint, seq string, qual string")
+    votes = {}
+    for _, c, p, s, q in rows:
+        for i, b in enumerate(s or "" if c is not None and p is not None else ""):
+            n = votes.setdefault((c, p + i), dict.fromkeys("ACGT", 0) | {"low": 0})
+            if q is not None:
+                good = i < len(q) and ord(q[i]) - 33 > 20
+                if not good:
+                    n["low"] += 1
+                elif b in "ACGT":
+                    n[b] += 1
+    best = {}
+    for at, n in votes.items():
+        top = sorted((n[b] for b in "ACGT"), reverse=True)
+        if n["low"] and top[0] and top[1] * 2 <= top[0]:
+            best[at] = next(b for b in "ACGT" if n[b] == top[0])
+    want = sorted((r, i, b, best[c, p + i]) for r, c, p, s, _ in rows if c is not None and p is not None for i, b in enumerate(s or "") if best.get((c, p + i), b) != b)
+    assert len(want) > 8 and rows_of(V.majority(own), "id", "i", "base", "best") == sorted(want, key=repr)
+    if most > 2:
+        fixed = sorted(("".join(best.get((c, p + i), b) if c is not None and p is not None else b for i, b in enumerate(s)) if s is not None else None for _, c, p, s, _ in rows), key=repr)
+        assert sorted((r.seq for r in V.majority_repaired(own).collect()), key=repr) == fixed
