@@ -538,3 +538,21 @@ def test_majority_by_either_way(spark, monkeypatch, most):
     if most > 2:
         fixed = sorted(("".join(best.get((c, p + i), b) if c is not None and p is not None else b for i, b in enumerate(s)) if s is not None else None for _, c, p, s, _ in rows), key=repr)
         assert sorted((r.seq for r in V.majority_repaired(own).collect()), key=repr) == fixed
+
+
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_successive_supports_of_odd_reads(spark, monkeypatch, most):
+    """Ids of two rows, k-mers met twice, runs of one base, short, empty and null reads: as by joins of all steps."""
+    monkeypatch.setattr(G, "MOST_SENT", most)
+    seqs = ["ACGTTGCA", "ACGTTGCA", "AAAAAAA", "ACGACGACG", "TTGCAAG", "GTTGNAC", "ACG", "", None, "ACGTT", "CCCCAAAA", "GCAAGT"]
+    rows = [(i % 2, f"r{i}", s, s and "".join("5I#"[(i + j) % 3] for j in range(len(s)))) for i, s in enumerate(seqs * 2)]
+    rows += [(0, "r0", "TACGTT", "IIIIII"), (0, "r4", "TTGCAAG", "IIIIIII"), (0, "r4", "TTGCAAG", "IIIIIII")]
+    reads, k, keys = spark.createDataFrame(rows, "contig int, read string, seq string, qual string"), 3, ["contig"]
+    a, b = (x.cache() for x in G.successive(G.read_edges(reads, k, keys), keys))
+    new, pair = G.Successive(reads, k, keys), ("contig", "src", "dst", "next")
+    cols = [*pair, "read", "pos", "q"]
+    plain, more = G.plain_reads(reads, k)
+    assert plain.count() > 3 and more.count() > 6
+    for got, want in [(new.intersection(), G.support_intersection(a, b, 1, pair)), (new.difference(), G.support_difference(b, a, 1, pair)), (new.union(), G.support_union(a, b)), (new.merge(), G.support_merge(a, b, pair))]:
+        assert rows_of(got, *cols) == rows_of(want, *cols) and want.count()
+    assert rows_of(G.read_weights(reads, k, keys), "contig", "src", "dst", "weight") == rows_of(G.edge_weights(G.read_edges(reads, k, keys), keys), "contig", "src", "dst", "weight")
