@@ -251,9 +251,14 @@ class Successive:
 def read_weights(reads: DataFrame, k: int, keys: list[str], good: int = LIMIT_Q) -> DataFrame:
     """``edge_weights`` of reads (keys, read, seq, qual): plain reads are counted before anything is shuffled."""
     plain, more = plain_reads(reads.select(*keys, "read", "seq", "qual"), k)
-    own = plain_steps(plain, k, keys).select(*keys, "src", "dst", F.when(F.col("q") >= good, 100).otherwise(0).alias("weight"))
-    rest = edge_weights(read_edges(more, k, keys), keys, good)
-    return own.groupBy(*keys, "src", "dst").agg(F.sum("weight").alias("weight")).unionByName(rest).groupBy(*keys, "src", "dst").agg(F.sum("weight").alias("weight"))
+    if k < packed.MOST_K:
+        other = F.col("seq").rlike("[^ACGT]")
+        more = more.unionByName(plain.filter(other))
+        own = packed.step_weights(plain.filter(~other), k, keys, good)
+    else:
+        own = plain_steps(plain, k, keys).select(*keys, "src", "dst", F.when(F.col("q") >= good, 100).otherwise(0).alias("weight"))
+    both = own.unionByName(edge_weights(read_edges(more, k, keys), keys, good))
+    return both.groupBy(*keys, "src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def successive(steps: DataFrame, keys: list[str], edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

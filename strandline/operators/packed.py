@@ -215,6 +215,34 @@ def coverage(reads: DataFrame, known: np.ndarray, k: int, key: str) -> DataFrame
     return reads.select(key, "seq").mapInArrow(run, f"{key} {kind}, pos int, cover int")
 
 
+def step_weights(reads: DataFrame, k: int, keys: list[str], good: int) -> DataFrame:
+    """keys, src, dst, weight: 100 for each step of reads (keys, seq of A, C, G and T, qual) whose new base is good, summed within each batch before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = buffers(batch.column(len(keys)))
+            quals, qoff = buffers(batch.column(len(keys) + 1))
+            there = np.diff(qoff)
+            group = np.zeros(batch.num_rows, np.int64)
+            for c in range(len(keys)):
+                own = batch.column(c).dictionary_encode(null_encoding="encode")
+                group = group * len(own.dictionary) + own.indices.to_numpy()
+                group = np.unique(group, return_inverse=True)[1].ravel()
+            for row, i, value, _, _ in _numbered(raw, off, k + 1, False):
+                at = np.minimum(qoff[row] + i + k, max(len(quals) - 1, 0))
+                w = 100 * ((i + k < there[row]) & (quals[at] >= good + 33)) if len(quals) else np.zeros(len(row), np.int64)
+                order = np.lexsort((value, group[row]))
+                r, v, w = row[order], value[order], w[order]
+                first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (group[r[1:]] != group[r[:-1]])]))
+                chosen = batch.take(pa.array(r[first]))
+                yield pa.RecordBatch.from_arrays([*(chosen.column(c) for c in range(len(keys))), pa.array(v[first]), pa.array(np.add.reduceat(w, first), pa.int64())], [*keys, "number", "weight"])
+
+    kinds = ", ".join(f"{c} {reads.schema[c].dataType.simpleString()}" for c in keys)
+    each = reads.select(*keys, "seq", "qual").mapInArrow(run, f"{kinds}, number long, weight long").groupBy(*keys, "number").agg(F.sum("weight").alias("weight"))
+    step = text(F.col("number"), k + 1)
+    return each.select(*keys, F.substr(step, F.lit(1), F.lit(k)).alias("src"), F.substr(step, F.lit(2)).alias("dst"), "weight")
+
+
 def step_support(reads: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """keys, src, dst, n, last_pos: how many steps of reads (keys, seq) go from one k-mer to the next, and the greatest position of a step's new base."""
 
