@@ -192,9 +192,12 @@ def plain_reads(reads: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     hashes, so some single rows may be among it; all that is said of it is said by joins.
     """
     once, more = by_id(reads.filter(F.length("seq") > k), "read")
-    each = F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.substr("seq", i, F.lit(k)))
-    alone = F.size(F.array_distinct(each)) == F.length("seq") - k + 1
-    return once.filter(alone), more.unionByName(once.filter(~alone))
+    if k <= packed.MOST_K:
+        once = packed.met_once(once, k)
+    else:
+        each = F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.substr("seq", i, F.lit(k)))
+        once = once.withColumn("alone", F.size(F.array_distinct(each)) == F.length("seq") - k + 1)
+    return once.filter("alone").drop("alone"), more.unionByName(once.filter("not alone").drop("alone"))
 
 
 def plain_steps(plain: DataFrame, k: int, keys: list[str]) -> DataFrame:

@@ -215,6 +215,27 @@ def coverage(reads: DataFrame, known: np.ndarray, k: int, key: str) -> DataFrame
     return reads.select(key, "seq").mapInArrow(run, f"{key} {kind}, pos int, cover int")
 
 
+def met_once(reads: DataFrame, k: int) -> DataFrame:
+    """Reads (with seq) and alone: whether a read meets none of its k-mers twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = buffers(batch.column(batch.schema.get_field_index("seq")))
+            alone = np.ones(batch.num_rows, bool)
+            parts = [(row, value, plain) for row, _, value, plain, _ in _numbered(raw, off, k, False)]
+            if parts:
+                row, value, plain = (np.concatenate(x) for x in zip(*parts))
+                order = np.lexsort((value, row))
+                r, v = row[order], value[order]
+                alone[r[1:][(r[1:] == r[:-1]) & (v[1:] == v[:-1])]] = False
+                for x in np.unique(row[~plain]).tolist():  # other letters have no number
+                    seq = raw[off[x] : off[x + 1]].tobytes()
+                    alone[x] = len({seq[i : i + k] for i in range(len(seq) - k + 1)}) == len(seq) - k + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(alone)], [*batch.schema.names, "alone"])
+
+    return reads.mapInArrow(run, T.StructType([*reads.schema, T.StructField("alone", T.BooleanType())]))
+
+
 def step_weights(reads: DataFrame, k: int, keys: list[str], good: int) -> DataFrame:
     """keys, src, dst, weight: 100 for each step of reads (keys, seq of A, C, G and T, qual) whose new base is good, summed within each batch before the shuffle."""
 
