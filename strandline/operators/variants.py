@@ -133,6 +133,38 @@ def pileup(reads: DataFrame, name: str = "contig") -> DataFrame:
     return each.groupBy(name, (F.col("pos0") + F.col("i")).alias("pos"), "base").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("reads"))
 
 
+def pile_counts(reads: DataFrame, name: str = "contig") -> DataFrame:
+    """name, pos, base, n: ``pileup`` without its lists and without reads of no name or position, counted within each batch before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                batch = whole.slice(k, 2000)
+                raw, off = _letters(batch.column(2))
+                code = batch.column(0).dictionary_encode()
+                row, i, at = _bases(off, np.asarray(code.is_valid()) & np.asarray(batch.column(1).is_valid()))
+                if not len(row):
+                    continue
+                pos = np.asarray(batch.column(1).fill_null(0))[row] + i
+                kinds, kind = np.unique(raw[at], return_inverse=True)
+                low, span = int(pos.min()), int(pos.max() - pos.min()) + 1
+                key = (np.asarray(code.indices.fill_null(0)).astype(np.int64)[row] * span + pos - low) * len(kinds) + kind
+                cells = len(code.dictionary) * span * len(kinds)
+                if cells <= 4 * len(row) + PILE:
+                    n = np.bincount(key, minlength=cells)
+                    found = np.flatnonzero(n)
+                    n = n[found]
+                else:
+                    found, n = np.unique(key, return_counts=True)
+                bases = pa.array([chr(x) for x in kinds]).take(pa.array(found % len(kinds)))
+                place = found // len(kinds)
+                yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(place // span)), pa.array(place % span + low), bases, pa.array(n)], [name, "pos", "base", "n"])
+
+    kind = reads.schema[name].dataType.simpleString()
+    found = reads.filter(F.col(name).isNotNull()).select(name, F.col("pos0").cast("long").alias("pos0"), "seq").mapInArrow(run, f"{name} {kind}, pos long, base string, n long")
+    return found.groupBy(name, "pos", "base").agg(F.sum("n").alias("n"))
+
+
 def snp_calls(piles: DataFrame, ref: DataFrame, threshold: int = 4, name: str = "contig") -> DataFrame:
     """chrom, pos (from 1), ref, alt, rc, ac, ref_reads, alt_reads for alternate bases of more than ``threshold`` reads.
 
@@ -152,8 +184,8 @@ def _with_reference(piles: DataFrame, ref: DataFrame, name: str) -> DataFrame:
     return piles.join(truth, [name, "pos"])
 
 
-#: Positions to a block of sites.
-BLOCK = 256
+#: Positions to a block of sites, sites that are sent to every worker (more are met by a join), and counters that a small batch may have.
+BLOCK, MOST_SITES, PILE = 256, 1 << 18, 1 << 16
 
 
 def sites(reads: DataFrame, ref: DataFrame, threshold: int = 4, name: str = "contig") -> DataFrame:
@@ -162,7 +194,7 @@ def sites(reads: DataFrame, ref: DataFrame, threshold: int = 4, name: str = "con
     Lists of all reads at all positions are never made: ``touches``,
     ``shared`` and ``named_touches`` look at the reads again for these sites only.
     """
-    met = _with_reference(staged(pileup(reads, name).drop("reads"), "piles"), ref, name)
+    met = _with_reference(staged(pile_counts(reads, name), "piles"), ref, name)
     own = met.filter(F.col("base") == F.col("ref")).select(name, "pos", F.col("n").alias("rc"))
     calls = met.filter((F.col("base") != F.col("ref")) & (F.col("n") > threshold)).join(own, [name, "pos"], "left")
     calls = calls.select(F.col(name).cast("string").alias("chrom"), (F.col("pos") + 1).alias("pos"), "ref", F.col("base").alias("alt"), F.coalesce("rc", F.lit(0)).alias("rc"), F.col("n").alias("ac"))
@@ -204,23 +236,94 @@ def by_id(reads: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Reads whose id no other row has, and the rest; by hashes, so some single ones may be with the rest."""
     h = F.xxhash64(key)
     often = staged(reads.select(h.alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated-ids")
+    if often.isEmpty():  # the branch of the rest then leaves the plan
+        return reads, reads.filter(F.lit(False))
     return tuple(reads.withColumn("h", h).join(often, "h", how).drop("h") for how in ("left_anti", "left_semi"))
 
 
+def _letters(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of a string column as numbers, and n+1 offsets into them; bytes, unless there are others than ASCII."""
+    raw, off = packed.buffers(seqs)
+    if not len(off) or not (raw[off[0] : off[-1]] > 127).any():
+        return raw, off
+    texts = seqs.fill_null("").to_pylist()
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+
+
+def _site_table(places: DataFrame):
+    """Sites of one letter for another, in order, as a broadcast of names, places, letters, nth and vid; nothing if there are too many or others."""
+    fits = F.coalesce((F.length("ref") == 1) & (F.length("alt") == 1) & F.col("chrom").isNotNull() & F.col("vid").isNotNull(), F.lit(False))
+    n, plain = places.limit(MOST_SITES + 1).agg(F.count("*"), F.count_if(fits)).first()
+    if n > MOST_SITES or plain < n:
+        return None
+    t = places.select("chrom", "nth", F.col("pos").cast("long").alias("pos"), F.ascii("ref").alias("ref"), F.ascii("alt").alias("alt"), "vid").toArrow().combine_chunks()
+    names = sorted(set(t["chrom"].to_pylist()))
+    index = {x: j for j, x in enumerate(names)}
+    code = np.array([index[x] for x in t["chrom"].to_pylist()], np.int64)
+    nth, pos, ref, alt, vid = (t[c].to_numpy() for c in ("nth", "pos", "ref", "alt", "vid"))
+    order = np.lexsort((nth, code))
+    return places.sparkSession.sparkContext.broadcast((index, code[order] << 40 | (pos[order].astype(np.int64) + _SHIFT), ref[order], alt[order], nth[order], vid[order]))
+
+
+def _shared_alone(reads: DataFrame, places: DataFrame, sent, name: str) -> DataFrame:
+    """chrom, nth, v1, s1, v2, s2, n over reads whose id no other row has, counted in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, place, ref, alt, nth, vid = sent.value
+        total = np.zeros(4 * len(place), np.int64)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                site, row, side = _sides(whole.slice(k, 2000), index, place, ref, alt)
+                both = np.flatnonzero((row[1:] == row[:-1]) & (side[1:] >= 0) & (side[:-1] >= 0))
+                total += np.bincount(site[both] * 4 + side[both] * 2 + side[both + 1], minlength=len(total))
+        key = np.flatnonzero(total)
+        at, names = key >> 2, list(index)
+        chrom = pa.array(names, pa.string()).take(pa.array(place[at] >> 40))
+        numbers = [nth[at], vid[at], key >> 1 & 1, vid[np.minimum(at + 1, len(vid) - 1)], key & 1, total[key]]
+        yield pa.RecordBatch.from_arrays([chrom, *(pa.array(x.astype(np.int64)) for x in numbers)], ["chrom", "nth", "v1", "s1", "v2", "s2", "n"])
+
+    own = reads.select(F.col(name).cast("string").alias("name"), F.col("pos0").cast("long").alias("pos0"), "seq")
+    kinds = {c: places.schema[c].dataType.simpleString() for c in ("nth", "vid")}
+    found = own.mapInArrow(run, "chrom string, nth long, v1 long, s1 long, v2 long, s2 long, n long")
+    return found.select("chrom", F.col("nth").cast(kinds["nth"]).alias("nth"), F.col("v1").cast(kinds["vid"]).alias("v1"), F.col("s1").cast("int").alias("s1"), F.col("v2").cast(kinds["vid"]).alias("v2"), F.col("s2").cast("int").alias("s2"), "n")
+
+
+def _sides(batch: pa.RecordBatch, index: dict, place: np.ndarray, ref: np.ndarray, alt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """site, row, side of every site that lies in a read (name, pos0, seq), in order; side is -1 for neither allele."""
+    raw, off = _letters(batch.column(2))
+    code = batch.column(0).dictionary_encode()
+    known = np.array([index.get(x, -1) for x in code.dictionary.to_pylist()] or [-1], np.int64)[np.asarray(code.indices.fill_null(0)).astype(np.int64)]
+    there = np.asarray(code.is_valid()) & np.asarray(batch.column(1).is_valid()) & (known >= 0)
+    pos0 = np.asarray(batch.column(1).fill_null(0))
+    start = np.where(there, known, 0) << 40 | (pos0 + 1 + _SHIFT)
+    size = np.diff(off)
+    low, high = np.searchsorted(place, start), np.searchsorted(place, start + size)
+    n = np.where(there, high - low, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    site = low[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    base = raw[off[row] + place[site] - start[row]]
+    return site, row, np.where(base == ref[site], 0, np.where(base == alt[site], 1, -1))
+
+
 def shared(reads: DataFrame, places: DataFrame, name: str = "contig") -> DataFrame:
     """chrom, nth, v1, s1, v2, s2, n: ids of reads that an allele of a site and one of the next site share, each id once; no row where there are none.
 
     A read sees both sites by itself, so only counts are shuffled; rows that
-    share an id are brought together first.
+    share an id are brought together first. Sites are sent to every worker, or
+    met by a join where they are too many.
     """
     once, more = by_id(reads.select("id", name, "pos0", "seq"))
-    both = F.transform("sites", lambda x: F.struct(x.nth.alias("nth"), x.vid.alias("v1"), _side(x.pos, x.ref, x.alt).alias("s1"), x.v2.alias("v2"), _side(x.pos2, x.ref2, x.alt2).alias("s2")))
-    seen = _met(once, places, name).select("chrom", F.inline(F.filter(both, lambda x: x.s1.isNotNull() & x.s2.isNotNull())))
+    if (sent := _site_table(places)) is not None:
+        seen = _shared_alone(once, places, sent, name)
+    else:
+        both = F.transform("sites", lambda x: F.struct(x.nth.alias("nth"), x.vid.alias("v1"), _side(x.pos, x.ref, x.alt).alias("s1"), x.v2.alias("v2"), _side(x.pos2, x.ref2, x.alt2).alias("s2")))
+        seen = _met(once, places, name).select("chrom", F.inline(F.filter(both, lambda x: x.s1.isNotNull() & x.s2.isNotNull()))).withColumn("n", F.lit(1).cast("long"))
     t = touches(more, places, name).distinct()
     after = t.select("read", "chrom", (F.col("nth") - 1).alias("nth"), F.col("side").alias("s2"))
     again = t.withColumnsRenamed({"vid": "v1", "side": "s1"}).join(after, ["read", "chrom", "nth"])
     names = ["chrom", "nth", "v1", "s1", "v2", "s2"]
-    return seen.select(names).unionByName(again.select(names)).groupBy(names).agg(F.count("*").cast("int").alias("n"))
+    each = seen.select(*names, "n").unionByName(again.select(*names, F.lit(1).cast("long").alias("n")))
+    return each.groupBy(names).agg(F.sum("n").cast("int").alias("n"))
 
 
 def named_touches(reads: DataFrame, places: DataFrame, name: str = "contig") -> DataFrame:

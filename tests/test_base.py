@@ -463,6 +463,33 @@ def test_shared_reads_of_sites_equal_those_of_lists(spark, odd_sites):
     assert rows_of(H.site_edges(V.shared(own, places), 0), *cols) == rows_of(H.adjacent_edges(lists, 0), *cols)
 
 
+def test_shared_reads_by_numbers_equal_those_by_joins(spark, odd_sites, monkeypatch):
+    own, places, _ = odd_sites
+    cols = ["chrom", "nth", "v1", "s1", "v2", "s2", "n"]
+    own = own.unionByName(spark.createDataFrame([("0é", "q1", 0, 249, "éG" * 8), ("0back", "q1", 0, -3, "ACGTACGT"), ("none", "q1", None, 250, "GA"), ("far", "q1", 7, 250, "GA")], own.schema))
+    numbers = V.shared(own, places)
+    monkeypatch.setattr(V, "MOST_SITES", 0)
+    assert numbers.schema == V.shared(own, places).schema
+    assert rows_of(numbers, *cols) == rows_of(V.shared(own, places), *cols) != []
+    assert V.shared(own, places.limit(0)).count() == 0
+    monkeypatch.undo()
+    assert V.shared(own, places.limit(0)).count() == 0
+
+
+def test_pile_counts_equal_the_pileup(spark, odd_sites, monkeypatch):
+    own = odd_sites[0].unionByName(spark.createDataFrame([("0é", "q1", 0, 249, "éNn-"), ("0back", "q1", 0, -3, "ACGT"), ("far", "q1", 1, 1 << 33, "ACGT")], odd_sites[0].schema))
+    cols = ["contig", "pos", "base", "n"]
+    want = rows_of(V.pileup(own.filter("pos0 is not null")), *cols)
+    assert rows_of(V.pile_counts(own), *cols) == want
+    monkeypatch.setattr(V, "PILE", -(1 << 40))
+    assert rows_of(V.pile_counts(own), *cols) == want
+
+
+def test_adjacent_edges_look_at_each_read_once(spark):
+    plan = QUERIES["H1_adjacent_edges"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan.split("MapInArrow")[0]
+
+
 def test_read_edges_of_sites_equal_those_of_lists(spark, odd_sites):
     own, places, lists = odd_sites
     cols = ["chrom", "pos", "alt", "pos2", "alt2", "rr", "ra", "ar", "aa"]
