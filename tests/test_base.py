@@ -476,12 +476,23 @@ def test_shared_reads_by_numbers_equal_those_by_joins(spark, odd_sites, monkeypa
     assert V.shared(own, places.limit(0)).count() == 0
 
 
+def test_touches_by_numbers_equal_those_by_joins(spark, odd_sites, monkeypatch):
+    own, places, _ = odd_sites
+    cols = ["read", "qname", "chrom", "nth", "vid", "v2", "side"]
+    numbers = V.touches(own, places, keep=("qname",))
+    monkeypatch.setattr(V, "MOST_SITES", 0)
+    joined = V.touches(own, places, keep=("qname",))
+    assert numbers.select(cols).dtypes == joined.select(cols).dtypes and "MapInArrow" not in joined._jdf.queryExecution().toString()
+    assert rows_of(numbers, *cols) == rows_of(joined, *cols) != []
+
+
 def test_pile_counts_equal_the_pileup(spark, odd_sites, monkeypatch):
     own = odd_sites[0].unionByName(spark.createDataFrame([("0é", "q1", 0, 249, "éNn-"), ("0back", "q1", 0, -3, "ACGT"), ("far", "q1", 1, 1 << 33, "ACGT")], odd_sites[0].schema))
     cols = ["contig", "pos", "base", "n"]
     want = rows_of(V.pileup(own.filter("pos0 is not null")), *cols)
     assert rows_of(V.pile_counts(own), *cols) == want
     monkeypatch.setattr(V, "PILE", -(1 << 40))
+    monkeypatch.setattr(V, "PENDING", 3)
     assert rows_of(V.pile_counts(own), *cols) == want
 
 
