@@ -3,14 +3,18 @@
 Native: DataFrame functions only. Every turn becomes one segment of its
 conversation's text; every assistant turn becomes an example of its own, whose
 context is all of that text before it and whose trainable span is its reply.
-Contexts overlap, so writing each example out would square the size of a long
-conversation. The output is therefore each conversation's text, once
-(``written``), and examples that point into it (``examples``): how much of it
-is context, the turn that follows, and the span under the loss mask.
-``rendered`` writes chosen examples out. ``read_back`` reads turns from the
-text alone, and losses through the examples: an example counts only if its
-context ends where a turn begins and that turn is its own, and the mask is cut
-at the offset that the example states.
+The output (``output``) writes every example out, with its whole context, and
+in a row of its own the turns of a conversation after its last example.
+``read_examples`` reads everything back from these texts: an example counts
+only if its context is the text of the example before it and its last turn is
+the assistant's; its loss is cut at the mask that it states. Contexts overlap,
+so the output grows with the square of a conversation's turns; texts are made
+row by row from the conversation's, and what is read back from each is no more
+than its own turns and digests of its context and text.
+
+``written``, ``examples`` and ``read_back`` are a shorter form of the same
+output, each conversation's text once and examples that point into it; the
+query doesn't use it. ``rendered`` writes chosen examples of it out.
 
 Template, for each turn: ``### ROLE: TEXT</turn>`` and a line feed. In texts
 and roles these strings are replaced, so no text can forge a mark, and put
@@ -109,6 +113,51 @@ def rendered(segs: DataFrame, chosen: DataFrame) -> DataFrame:
     return chosen.join(whole, same).select(chosen.conv_id, "example", text.alias("text"), "loss_from", "loss_chars")
 
 
+def output(segs: DataFrame) -> DataFrame:
+    """conv_id, example, text, loss_from, loss_chars: every example with its context, and with a null example the turns after a conversation's last one.
+
+    A row holds one example, made from the conversation's text as rows are read.
+    """
+    one = F.struct("turn", "role", "text", "segment", "example", "context_chars", "loss_from", "loss_chars")
+    by = expanded(segs).groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("ts"))
+    upto = lambda t: t.context_chars + F.length(t.segment)
+    shown = F.transform(F.filter("ts", lambda t: t.example.isNotNull()), lambda t: F.struct(t.example.alias("example"), F.lit(0).cast("long").alias("at"), upto(t).alias("upto"), t.loss_from.alias("loss_from"), t.loss_chars.alias("loss_chars")))
+    by = by.select("conv_id", F.array_join(F.transform("ts", lambda t: t.segment), "").alias("whole"), shown.alias("shown"), upto(F.element_at("ts", -1)).alias("size"))
+    last = F.coalesce(F.get(F.col("shown.upto"), F.size("shown") - 1), F.lit(0).cast("long"))
+    rest = F.struct(F.lit(None).cast("long").alias("example"), last.alias("at"), F.col("size").alias("upto"), F.lit(None).cast("long").alias("loss_from"), F.lit(None).cast("long").alias("loss_chars"))
+    rows = by.select("conv_id", "whole", F.inline(F.concat("shown", F.when(F.col("size") > last, F.array(rest)).otherwise(F.slice(F.array(rest), 1, 0)))))
+    return rows.select("conv_id", "example", F.substr("whole", (F.col("at") + 1).cast("int"), (F.col("upto") - F.col("at")).cast("int")).alias("text"), "loss_from", "loss_chars")
+
+
+def read_examples(rows: DataFrame) -> DataFrame:
+    """What rows of ``output`` say, by conversation, with the columns of ``read_back``.
+
+    Every turn is taken from the example that it is new in: those after the
+    last trained turn of its context. The digest of a context must be that of
+    the text of the example before.
+    """
+    segs = F.transform(F.filter(F.split("text", TAIL), lambda b: b != ""), lambda b: F.concat(b, F.lit(TAIL)))
+    each = rows.withColumn("segs", segs)
+    before = F.transform(F.slice("segs", 1, F.greatest(F.size("segs") - 1, F.lit(0))), lambda s: s.startswith(f"{HEAD}{TRAINED}{COLON}"))
+    back = F.array_position(F.reverse(before), True).cast("int")  # trained turns of the context, from its end
+    each = each.withColumn("own", F.when(F.col("example").isNull() | (back == 0), F.col("segs")).otherwise(F.slice("segs", F.size("segs") - back + 1, back)))
+    each = each.withColumn("context", F.expr("left(text, length(text) - length(array_join(own, '')))"))
+    said = F.array_join(F.transform("own", lambda s: F.concat(role_of(s), F.lit("\n"), text_of(s), F.lit("\n"))), "")
+    loss = unescaped(F.substr("text", (F.col("loss_from") + 1).cast("int"), F.col("loss_chars").cast("int")))
+    ends = F.element_at("segs", -1).startswith(f"{HEAD}{TRAINED}{COLON}")
+    facts = F.struct(
+        F.col("example").isNull().alias("rest"), "example", F.size("own").cast("long").alias("turns"), said.alias("said"), loss.alias("loss"), ends.alias("trained"),
+        F.length("text").cast("long").alias("chars"), F.sha2("context", 256).alias("context"), F.sha2("text", 256).alias("all"),
+    )
+    by = each.select("conv_id", facts.alias("e")).groupBy("conv_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    follows = lambda e, i: (e.example == i) & e.trained & (e.context == F.when(i == 0, F.sha2(F.lit(""), 256)).otherwise(F.get("es", i - 1)["all"]))
+    right = F.filter("es", lambda e, i: F.coalesce(follows(e, i), F.lit(False)))
+    total = lambda c: F.aggregate("es", F.lit(0).cast("long"), lambda a, e: a + e[c])
+    by = by.select("conv_id", total("turns").alias("n_turns"), F.array_join(F.transform("es", lambda e: e.said), "").alias("said"), right.alias("right"), total("chars").alias("formatted_chars"))
+    by = by.withColumns({"loss": F.array_join(F.transform("right", lambda e: e.loss), ""), "n_examples": F.size("right").cast("long")})
+    return by.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples")
+
+
 def written(segs: DataFrame) -> DataFrame:
     """conv_id, text: every conversation's segments in order."""
     each = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "segment")))

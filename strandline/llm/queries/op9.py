@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from strandline.llm.chat import examples, read_back, segments, written
+from strandline.llm.chat import output, read_examples, segments
 from strandline.llm.registry import register
 from strandline.session import table
 
@@ -29,5 +29,4 @@ from placed group by conv_id"""
 def op9(spark, sf_dir):
     forged = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(FORGED).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(forged)
-    segs = segments(turns)
-    return read_back(written(segs), examples(segs))
+    return read_examples(output(segments(turns)))
