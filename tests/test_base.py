@@ -1,6 +1,7 @@
 """Base operators: registered queries against their SQL, and worked examples."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -60,6 +61,47 @@ def test_clip_by_cigar(spark):
     assert [r.seq for r in R.without_clips(df).collect()] == ["ACGTACGTAC", "GTA", "ACGTACGTAC", "ACGTACGTAC", "AC", "GTACGT"]
 
 
+def test_quality_cap_equals_value_by_value(spark):
+    marks = "".join(map(chr, range(33, 128)))
+    rows = [(q, m) for q in (marks, "I", "#5I~I#", "é!I", "Iñ5") for m in (None, 0, 10, 60, 93, 94, 200, -1)] + [(None, 5), ("", 5)]
+    df = R.capped_quality(spark.createDataFrame(rows, "qual string, mapq int"))
+    want = [q and "".join(c if m is None else chr(min(ord(c), m + 33)) for c in q) for q, m in rows]
+    assert [r.qual for r in df.collect()] == want
+    many = spark.range(20000).select(F.repeat(F.lit("I5#"), 400).alias("qual"), (F.col("id") % 5 + 30).cast("int").alias("mapq"))
+    assert R.capped_quality(many).groupBy("qual").count().count() == 5
+
+
+def odd_window():
+    """A reference with a repeat, and reads of two haplotypes over it, many alike, with bad bases and an id of two rows."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("ACGT") for _ in range(300))
+    ref = base[:200] + base[60:110] + base[200:]
+    snp = ref[:140] + "ACGT"[("ACGT".index(ref[140]) + 1) % 4] + ref[141:]
+    more = snp[:290] + "GATTA" + snp[290:]
+    rows = []
+    for n in range(900):
+        hap, at = (ref, snp, more)[n % 3], rng.randrange(0, 270)
+        qual = [40] * 60 if n % 7 else [40] * 30 + [5] + [40] * 29
+        rows.append((at, f"r{n if n % 50 else 0}", hap[at : at + 60], qual if n % 5 else [rng.choice([2, 30]) for _ in range(60)], 0))
+    return ref, sorted(rows, key=lambda r: r[:2])
+
+
+@pytest.mark.parametrize("repeat, twice", [(True, True), (True, False), (False, True), (False, False)])
+def test_alike_reads_as_one_give_the_variants_of_all(repeat, twice):
+    ref, rows = odd_window()
+    if not repeat:
+        ref, rows = ref[:200], [r for r in rows if r[0] < 140]
+    if not twice:
+        rows = [r for r in rows if r[1] != "r0"]
+    each = [A.Read(i, s, q, o) for _, i, s, q, o in rows]
+    groups = {}
+    for at, i, s, q, o in rows:
+        groups.setdefault((s, o, tuple(x >= A.GOOD for x in q)), A.Alike(s, q, o, [])).reads.append((at, i))
+    options = A.Options(k=15)
+    want = A.window_variants(ref, 7, "c", each, options)
+    assert want and len(groups) < len(each) and A.window_variants(ref, 7, "c", list(groups.values())[::-1], options) == want
+
+
 def test_window_starts(spark):
     rows = spark.createDataFrame([(2000,), (2001,), (5000,), (1999,)], "n bigint").select(W.window_starts(F.col("n"), 2000, 1500).alias("w")).collect()
     assert [r.w for r in rows] == [[0], [0, 1], [0, 1500, 3000], []]
