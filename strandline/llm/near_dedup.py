@@ -50,6 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.lean import lean
 from strandline.llm.picking import marked, marks, without
 from strandline.llm.words import _mixed, buffers, distinct_in_text, shingle_hashes, slices, word_hashes
 from strandline.operators.components import components
@@ -358,7 +359,7 @@ def _met(pairs: DataFrame, own: DataFrame, label: str) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough; own: node, text of all that are in pairs."""
     a, b = (own.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
     met = a.join(pairs.hint("shuffle_hash"), "a").join(b.hint("merge"), "b")
-    return staged(met.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, _PAIR), f"{label}-links")
+    return staged(met.select("a", "b", "text_a", "text_b").mapInArrow(lean(_confirmed), _PAIR), f"{label}-links")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -391,7 +392,7 @@ def links(docs: DataFrame, nodes: DataFrame, region: int = REGION, offers: int =
 
     heavy = _overfull(_records(nodes), region)
     crowded = None if heavy.isEmpty() else staged(_records(nodes).join(heavy, "key", "left_semi").select("node").distinct(), "forest-crowded")
-    offered = sorted_(_regions(nodes, heavy, region)).mapInArrow(_by_region(_offers(offers), long2("a", "b"), region, ("n", "node")), _PAIR)
+    offered = sorted_(_regions(nodes, heavy, region)).mapInArrow(lean(_by_region(_offers(offers), long2("a", "b"), region, ("n", "node"))), _PAIR)
     offered = staged(offered.distinct(), "forest-offers")
     pairs = offered.filter("a <> b")
     members = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -420,10 +421,10 @@ def links(docs: DataFrame, nodes: DataFrame, region: int = REGION, offers: int =
         return labels
     members = open_.select("node").distinct()
     # Whoever had more is in a pair, so its text is among those already picked out, as are those of overfull regions.
-    sets = own.join(members.hint("shuffle_hash"), "node", "left_semi").mapInArrow(_hashes, "node long, hashes binary")
+    sets = own.join(members.hint("shuffle_hash"), "node", "left_semi").mapInArrow(lean(_hashes), "node long, hashes binary")
     sets = staged(sets.join(asked.select("node", "comp").hint("shuffle_hash"), "node"), "forest-sets")
     rows = sets.join(open_.hint("shuffle_hash"), "node").select("key", "node", "comp", "hashes").repartition("key").sortWithinPartitions("key")
-    late = staged(rows.mapInArrow(_joined, _PAIR).distinct(), "forest-late")
+    late = staged(rows.mapInArrow(lean(_joined), _PAIR).distinct(), "forest-late")
     if late.isEmpty():
         return labels
     return components(found.unionByName(_met(late, own, "forest-late")))
@@ -436,7 +437,7 @@ def _th(text) -> Column:
 def _grouped(docs: DataFrame, region: int, offers: int) -> DataFrame:
     """doc_id, th, n_shingles, component_id, kept for each row of doc_id and text; th is a hash of the text."""
     docs = docs.select("doc_id", _th(F.col("text")).alias("th"), "text")
-    sets = staged(docs.mapInArrow(_sets, _SET), "near-sets")
+    sets = staged(docs.mapInArrow(lean(_sets), _SET), "near-sets")
     # A set is one node, whichever documents have it; one of them, with one of its texts, stands for all.
     same = sets.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("s1", "s2", "n_shingles")
     same = same.agg(F.min(F.struct("doc_id", "th")).alias("least"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))

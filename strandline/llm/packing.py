@@ -34,11 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.llm.lean import give_back, lean
 from strandline.session import staged
 
 LENGTH, END_ID = 2048, 0
 #: Words whose ids a task remembers; more are tokenised again when they come back.
 REMEMBERED = 600_000
+#: Bytes of text tokenised at a time; a longer text is so by itself. Its words are a list meanwhile, ten times as large.
+TEXT_BYTES = 1 << 20
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 
 
@@ -172,7 +175,7 @@ def _pieces(path: str, length: int, end_id: int, with_ids: bool):
             at, n = 0, len(doc_ids)
             while at < n:
                 texts, size, first = [], 0, at
-                while at < n and size < 4 << 20:
+                while at < n and size < TEXT_BYTES:
                     texts.append((batch.column(1)[at].as_py() or "").encode("utf-8"))
                     size += len(texts[-1])
                     at += 1
@@ -189,8 +192,9 @@ def _pieces(path: str, length: int, end_id: int, with_ids: bool):
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"]
                 w = 8 if with_ids else 7
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols[:w], types)], names[:w])
+            give_back()
 
-    return run
+    return lean(run)
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

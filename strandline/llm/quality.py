@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.lean import lean
 from strandline.llm.words import SLICE_BYTES, buffers, distinct_in_text, shingle_hashes, slices, words_of
 
 SAMPLE, TREES, DEPTH, BINS, RATE, L2, LEAST = 12_000, 120, 4, 64, 0.1, 1.0, 5.0
@@ -211,4 +212,4 @@ def _accepted(model: Trees, text_at: int):
 
 def accepted(docs: DataFrame, model: Trees) -> DataFrame:
     """The documents, with all their columns, that are predicted to be good. Nothing is shuffled."""
-    return docs.mapInArrow(_accepted(model, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(lean(_accepted(model, docs.columns.index("text"))), docs.schema)

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,6 +414,34 @@ def test_other_tokenizers_get_whole_texts(tmp_path):
         assert list(ids.of([t.encode() for t in texts])) == [np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_packing_gives_memory_back(monkeypatch):
+    """A worker tokenises about a megabyte at a time, and returns unused memory before a task, after each batch and after the task."""
+    from types import SimpleNamespace
+
+    from strandline.llm import lean
+
+    given, groups = [], []
+    monkeypatch.setattr(lean, "give_back", lambda: given.append("task"))
+    monkeypatch.setattr(packing, "give_back", lambda: given.append("batch"))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing, "ids_of", lambda path: SimpleNamespace(of=lambda texts: (groups.append(sum(map(len, texts))), iter([b""] * len(texts)))[1]))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(50), pa.int64()), "text": ["x" * 100_000] * 50})
+    rows = list(packing._pieces("", 64, 0, False)(iter([batch, batch])))
+    assert sum(r.num_rows for r in rows) == 100 and sum(groups) == 10_000_000
+    assert max(groups) < (1 << 20) + 100_000
+    assert given == ["task", "batch", "batch", "task"]
+
+
+def test_unused_memory_is_returned():
+    from strandline.llm.lean import lean
+
+    pool = pa.default_memory_pool()
+    run = lean(lambda batches: batches)
+    batch = pa.RecordBatch.from_pydict({"x": pa.array(range(1000), pa.int64())})
+    assert [b.num_rows for b in run(iter([batch, batch]))] == [1000, 1000]
+    assert list(run(iter([]))) == [] and pool.bytes_allocated() >= batch.nbytes
+
+
 def test_trees_against_plain_traversal():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 7))
