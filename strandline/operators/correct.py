@@ -172,7 +172,7 @@ def trimmed(rows: DataFrame, k: int = 33, least: int = 2, share: float = 0.8) ->
 def _streaks(rows: DataFrame, k: int, least: int) -> DataFrame:
     """Corrected rows with start and streak of the longest run of k-mers that corrected reads have ``least`` times."""
     upper = rows.withColumn("upper", F.upper("fixed"))
-    counts = K.count_canonical(upper.select(F.col("upper").alias("seq"), "qual"), k)
+    counts = K.count_known(upper.select(F.col("upper").alias("seq")), k)
     return K.with_streaks(upper, counts, k, least, seq="upper").drop("upper")
 
 

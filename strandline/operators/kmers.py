@@ -79,6 +79,13 @@ def count_canonical(reads: DataFrame, k: int, min_quality: int = 20, most: int =
     return each.groupBy(canonical(F.col("kmer")).alias("kmer")).agg(F.least(F.count("*"), F.lit(most)).alias("occ"), F.least(F.count_if(high), F.lit(most_high)).alias("occ_hi"))
 
 
+def count_known(reads: DataFrame, k: int, most: int = 255) -> DataFrame:
+    """kmer, occ of ``count_canonical``, for those who don't ask for qualities; so only ``seq`` is read and sent to Python."""
+    if k <= packed.MOST_K:
+        return packed.canonical_numbers(reads, k).select(packed.text(F.col("number"), k).alias("kmer"), F.least("n", F.lit(most)).alias("occ"))
+    return count_canonical(reads.select("seq", F.col("seq").alias("qual")), k, most=most).select("kmer", "occ")
+
+
 def mode_of(hist: DataFrame, least: int = 3) -> DataFrame:
     """One row: the frequency from ``least`` on that most k-mers have, the smaller of equals."""
     return hist.filter(F.col("freq") >= least).agg(F.max(F.struct("kmers", -F.col("freq"))).alias("m")).select((-F.col("m.col2")).alias("mode"))

@@ -54,19 +54,29 @@ def _within(flags: np.ndarray, k: int) -> np.ndarray:
     return total[k:] - total[:-k]
 
 
+def _joined(codes: np.ndarray, k: int, left: bool) -> np.ndarray:
+    """Numbers of all windows of k codes, from those of 1, 2, 4 and so on of them; ``left``: the first code is the most significant, else the last."""
+    n = len(codes) - k + 1
+    out, done, power, size = np.zeros(n, np.int64), 0, codes, 1
+    while True:
+        if k & size:
+            part = power[done : done + n]
+            out = (out << 2 * size) | part if left else out | (part << 2 * done)
+            done += size
+        if 2 * size > k:
+            return out
+        one, other = power[:-size], power[size:]
+        power = (one << 2 * size) | other if left else one | (other << 2 * size)
+        size *= 2
+
+
 def forward(codes: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros(len(codes) - k + 1, np.int64)
-    for j in range(k):
-        out = (out << 2) | codes[j : j + len(out)]
-    return out
+    return _joined(codes, k, True)
 
 
 def backward(codes: np.ndarray, k: int) -> np.ndarray:
     """Numbers of the reverse complements."""
-    out = np.zeros(len(codes) - k + 1, np.int64)
-    for j in range(k):
-        out |= (3 - codes[j : j + len(out)]) << (2 * j)
-    return out
+    return _joined(3 - codes, k, False)
 
 
 def _numbered(raw: np.ndarray, off: np.ndarray, k: int, both: bool):
@@ -129,6 +139,18 @@ def canonical_counts(reads: DataFrame, k: int, min_quality: int) -> DataFrame:
     return reads.select("seq", "qual").mapInArrow(run, "number long, n long, high long").groupBy("number").agg(F.sum("n").alias("n"), F.sum("high").alias("high"))
 
 
+def canonical_numbers(reads: DataFrame, k: int) -> DataFrame:
+    """number, n: ``canonical_counts`` of reads of seq alone, without looking at qualities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, value, plain, _ in _numbered(*buffers(batch.column(0)), k, True):
+                key, n = np.unique(value[plain], return_counts=True)
+                yield _table([("number", pa.int64(), key), ("n", pa.int64(), n)])
+
+    return reads.select("seq").mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+
+
 def canonical_windows(reads: DataFrame, k: int, key: str) -> DataFrame:
     """key, i, number (null for windows with other letters) of every k-mer of each read, strand-neutral."""
 
@@ -193,12 +215,12 @@ def with_streaks(reads: DataFrame, known: np.ndarray, k: int, seq: str = "seq")
 
 
 def coverage(reads: DataFrame, known: np.ndarray, k: int, key: str) -> DataFrame:
-    """key, pos, cover: how many known k-mers cover each base of each read (key, seq) of k bases or more. Nothing is shuffled."""
+    """key, pos, cover: how many known k-mers cover each base of each read (key, seq) of k bases or more. Nothing is shuffled; Python returns one row for each read."""
     sent = reads.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):  # each base makes a row
+            for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 flags, first = _flags(*buffers(batch.column(1)), k, sent.value)
                 n = np.diff(first)
@@ -207,12 +229,15 @@ def coverage(reads: DataFrame, known: np.ndarray, k: int, key: str) -> DataFrame
                 row = np.repeat(np.arange(len(n)), n)
                 begin = base[row] + np.arange(len(flags)) - first[row]
                 steps = np.bincount(begin[flags], minlength=base[-1] + 1) - np.bincount(begin[flags] + k, minlength=base[-1] + 1)
+                upto = np.concatenate([[0], np.cumsum(bases)])
                 of = np.repeat(np.arange(len(n)), bases)
-                pos = np.arange(len(of)) - (np.cumsum(bases) - bases)[of]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(pos, pa.int32()), pa.array(np.cumsum(steps)[base[of] + pos], pa.int32())], [key, "pos", "cover"])
+                cover = np.cumsum(steps)[base[of] + np.arange(len(of)) - upto[of]]
+                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(cover, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "covers"])
 
     kind = reads.schema[key].dataType.simpleString()
-    return reads.select(key, "seq").mapInArrow(run, f"{key} {kind}, pos int, cover int")
+    rows = reads.select(key, "seq").mapInArrow(run, f"{key} {kind}, covers array<int>")
+    return rows.select(key, F.posexplode("covers").alias("pos", "cover"))
 
 
 def met_once(reads: DataFrame, k: int) -> DataFrame:

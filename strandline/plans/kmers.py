@@ -34,6 +34,10 @@ def counts(spark, sf):
     return kmers.count_canonical(reads(spark, sf), QK)
 
 
+def known(spark, sf):
+    return kmers.count_known(reads(spark, sf), QK)
+
+
 @register("A2_kmer_canonical", f"with {READS_SQL}, {COUNTS_SQL} select * from counts")
 def a2(spark, sf):
     return counts(spark, sf)
@@ -118,12 +122,12 @@ best as (select id, start, streak from sized qualify row_number() over (partitio
 @register("W4_W5_longest_streak", f"with {READS_SQL}, {COUNTS_SQL}, {SOLID_SQL} select f.id, start, coalesce(streak, 0) as streak from (select distinct id from flags) f left join best using (id)")
 def w45(spark, sf):
     own = ided(reads(spark, sf)).select("id", "seq")
-    return kmers.with_streaks(own, counts(spark, sf), QK, 4).filter("streak is not null").drop("seq")
+    return kmers.with_streaks(own, known(spark, sf), QK, 4).filter("streak is not null").drop("seq")
 
 
 @register("W6_base_coverage", f"with {READS_SQL}, {COUNTS_SQL}, {SOLID_SQL} select id, p::int as pos, coalesce(sum(solid), 0)::int as cover from (select id, unnest(range(0, 60)) as p from (select distinct id from flags)) join flags using (id) where i <= p and i > p - {QK} group by 1, 2")
 def w6(spark, sf):
-    return kmers.solid_coverage(ided(reads(spark, sf)).select("id", "seq"), counts(spark, sf), QK, 4)
+    return kmers.solid_coverage(ided(reads(spark, sf)).select("id", "seq"), known(spark, sf), QK, 4)
 
 
 @register(
@@ -132,7 +136,7 @@ def w6(spark, sf):
 )
 def c5(spark, sf):
     own = ided(reads(spark, sf)).select("id", "seq", "qual")
-    return kmers.cut_to_streak(kmers.with_streaks(own, counts(spark, sf), QK, 4), QK)
+    return kmers.cut_to_streak(kmers.with_streaks(own, known(spark, sf), QK, 4), QK)
 
 
 @register("C2_first_plain_kmer", f"with {READS_SQL} select {ID_SQL} as id, case when l_partkey % 3 = 0 then 8 + l_linenumber else 0 end::int as at from reads")

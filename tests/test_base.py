@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import duckdb
 import pytest
@@ -591,6 +592,48 @@ def test_streaks_and_cover_by_either_way(spark, monkeypatch, most):
     assert rows_of(K.cut_to_streak(got, 7, 0.5), "id", "seq", "qual") == rows_of(K.trimmed_by_streak(own, K.longest_run(flags), 7, 0.5), "id", "seq", "qual")
 
 
+def test_numbers_of_windows():
+    """Numbers made by doubling are those made base by base, for every k."""
+    import numpy as np
+    from strandline.operators import packed
+
+    codes = np.random.default_rng(4).integers(0, 4, 40).astype(np.int64)
+    for k in range(1, packed.MOST_K + 1):
+        windows = [codes[i : i + k].tolist() for i in range(len(codes) - k + 1)]
+        assert packed.forward(codes, k).tolist() == [sum(c << 2 * (k - 1 - j) for j, c in enumerate(w)) for w in windows]
+        assert packed.backward(codes, k).tolist() == [sum((3 - c) << 2 * j for j, c in enumerate(w)) for w in windows]
+
+
+@pytest.mark.parametrize("k", [7, 33])
+def test_known_kmers_without_qualities(spark, k):
+    """Counts for those who ask for no quality are the same, and take nothing but the sequence along."""
+    own = streak_reads(spark).union(spark.createDataFrame([("long", "ACGTTGCAAGCTAGCTTACGACGTTGCAAGCTAGCTTACG", "I" * 40)] * 2, "id string, seq string, qual string"))
+    assert rows_of(K.count_known(own.drop("qual"), k), "kmer", "occ") == rows_of(K.count_canonical(own, k), "kmer", "occ") != []
+
+
+@pytest.mark.parametrize("name", ["A18_removed_shortened", "C5_C6_trimmed_after", "C5_streak_trim", "W6_base_coverage"])
+def test_known_kmers_take_no_qualities(spark, monkeypatch, name):
+    def refuse(*_, **__):
+        raise AssertionError("qualities")
+
+    monkeypatch.setattr(K, "count_canonical", refuse)
+    assert not QUERIES[name](spark, SF).isEmpty()
+
+
+def test_right_reads_are_not_taken_apart(spark):
+    """Only a read that differs from its truth is marked letter by letter."""
+    from strandline.plans import correct
+
+    plan = correct.planted(spark, SF).select("fixed")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"CASE WHEN \(seq#\d+ = truth#\d+\) THEN truth|if \(\(seq#\d+ = truth#\d+\)\) truth", plan)
+
+
+def test_cover_leaves_python_as_a_row_for_each_read(spark):
+    own = streak_reads(spark)
+    plan = K.solid_coverage(own, K.count_known(own, 7), 7, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("MapInArrow")
+
+
 @pytest.mark.parametrize("most", [1 << 21, 2])
 def test_majority_by_either_way(spark, monkeypatch, most):
     """Low bases, ties, unknown letters, null and short qualities, reads without place or name, alike ids."""
