@@ -13,6 +13,7 @@ from strandline.operators import compare as C
 from strandline.operators import graph as G
 from strandline.operators import kmers as K
 from strandline.operators import phase as H
+from strandline.operators import pipelines as P
 from strandline.operators import reads as R
 from strandline.operators import variants as V
 from strandline.operators import windows as W
@@ -679,3 +680,45 @@ def test_successive_supports_of_odd_reads(spark, monkeypatch, most):
     for got, want in [(new.intersection(), G.support_intersection(a, b, 1, pair)), (new.difference(), G.support_difference(b, a, 1, pair)), (new.union(), G.support_union(a, b)), (new.merge(), G.support_merge(a, b, pair))]:
         assert rows_of(got, *cols) == rows_of(want, *cols) and want.count()
     assert rows_of(G.read_weights(reads, k, keys), "contig", "src", "dst", "weight") == rows_of(G.edge_weights(G.read_edges(reads, k, keys), keys), "contig", "src", "dst", "weight")
+
+
+def shuffles(df):
+    """Of a plan that hasn't run."""
+    return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_reads_are_shuffled_once_to_meet_their_mates(spark):
+    rnd = random.Random(3)
+    rows = []
+    for n in range(400):
+        at, size = rnd.randrange(30), rnd.choice([0, 1, 12, 20, 25])
+        seq = "".join("ACGT"[(at + i) % 4 if rnd.random() < 0.99 else rnd.randrange(4)] for i in range(size))
+        rows.append((rnd.choice([f"i{n}", f"i{n}", f"again{n % 90}", None]), rnd.choice([None, *[f"q{rnd.randrange(90)}"] * 9]), rnd.choice([None, *[at] * 9]), rnd.choice([None, *[seq] * 20]), "I" * size, 0, 60, "*"))
+    kinds = "id string, qname string, pos0 bigint, seq string, qual string, flag int, mapq int, cigar string"
+    for some in (rows, [r for r in rows if r[0] and r[0][0] == "i"]):
+        df = spark.createDataFrame(some, kinds)
+        good = [r for r in some if r[2] is not None]
+        sure = {
+            a[0] for a in good for b in good
+            if a[0] and b[0] and a[0] != b[0] and a[1] and a[1] == b[1] and a[3] is not None and b[3] is not None
+            and a[2] <= b[2] < a[2] + len(a[3]) <= b[2] + len(b[3]) and b[3].startswith(a[3][b[2] - a[2] :])
+        }
+        assert len(sure) > 5
+        want = [(r[0], r[3] if r[3] is None or len(r[3]) <= 10 or r[0] in sure else r[3][:-5]) for r in good]
+        found = P.prepared(df)
+        assert sorted(map(str, want)) == sorted(str((r.id, r.seq)) for r in found.collect())
+    assert shuffles(found) == 1  # four of whole reads before, where no id is repeated
+
+
+def test_touches_are_shuffled_once_to_be_paired(spark):
+    rnd = random.Random(4)
+    rows = [(f"r{rnd.randrange(60)}", rnd.choice([None, *[f"q{rnd.randrange(12)}"] * 9]), rnd.randrange(9), rnd.randrange(2)) for _ in range(300)]
+    want = {}
+    for r1, q1, v1, s1 in rows:
+        for r2, q2, v2, s2 in rows:
+            if q1 and q1 == q2 and r1 < r2 and v1 != v2:
+                key = (*min((v1, s1), (v2, s2)), *max((v1, s1), (v2, s2)))
+                want[key] = want.get(key, 0) + 1
+    found = H.paired_touches(spark.createDataFrame(rows, "read string, qname string, vid bigint, side int"), 1)
+    assert {tuple(r[:4]): r.n for r in found.collect()} == {k: n for k, n in want.items() if n > 1}
+    assert shuffles(found) == 2  # with the counts'; three before
