@@ -722,3 +722,43 @@ def test_touches_are_shuffled_once_to_be_paired(spark):
     found = H.paired_touches(spark.createDataFrame(rows, "read string, qname string, vid bigint, side int"), 1)
     assert {tuple(r[:4]): r.n for r in found.collect()} == {k: n for k, n in want.items() if n > 1}
     assert shuffles(found) == 2  # with the counts'; three before
+
+
+@pytest.fixture(scope="module")
+def wrong_often(tmp_path_factory):
+    """The tables with every read of a wrong base six times, under six names: so often that the wrong bases are calls."""
+    at = tmp_path_factory.mktemp("wrong")
+    c = duckdb.connect()
+    again = 53 * 240 * 1809  # leaves contig, position, haplotype and wrong base as they are
+    c.sql(f"create table orders as select * from '{SF}/orders.parquet' union all select * exclude (i) replace (o_orderkey + i * {again} as o_orderkey) from '{SF}/orders.parquet', range(1, 6) t(i) where o_orderkey % 53 = 3")
+    c.sql(f"create table region as select * from '{SF}/region.parquet'")
+    for t in ("orders", "region"):
+        c.sql(f"copy {t} to '{at}/{t}.parquet'")
+    return str(at), c
+
+
+@pytest.mark.parametrize("name", ["H5_H7_phased", "P1_phased_vcf", "H6_paired_conflicts", "G18_spelled_haplotypes", "K1_vcf_header", "K5_variant_dot"])
+def test_wrong_bases_read_often_change_no_phase(spark, wrong_often, name):
+    at, c = wrong_often
+    rel = c.execute(ORACLES[name])
+    cols = [d[0] for d in rel.description]
+    want = sorted(map(str, rel.fetchall()))
+    assert sorted(str(tuple(r)) for r in QUERIES[name](spark, at).select(*cols).collect()) == want
+    assert name != "H5_H7_phased" or len(want) > 90
+
+
+def test_piles_count_good_bases(spark):
+    rows = [(0, 5, "ACG", "I5#"), (0, 5, "ACG", "#6I"), (0, 6, "CG", "I"), (0, 6, "CT", None)]
+    got = V.pile_counts(spark.createDataFrame(rows, "contig int, pos0 long, seq string, qual string"), good=21).collect()
+    want = {(5, "A", 2, 1), (6, "C", 4, 2), (7, "G", 3, 1), (7, "T", 1, 0)}
+    assert {(r.pos, r.base, r.n, r.n_good) for r in got} == want
+
+
+def test_bases_of_low_quality_make_no_variant():
+    rng = random.Random(11)
+    ref = "".join(rng.choice("ACGT") for _ in range(300))
+    hap = ref[:150] + {"A": "C", "C": "G", "G": "T", "T": "A"}[ref[150]] + ref[151:]
+    for q, n in ((2, 0), (20, 0), (21, 1)):
+        reads = [A.Read(f"r{i}", ref[i : i + 80], [40] * 80) for i in range(0, 221, 2)]
+        reads += [A.Read(f"w{i}", hap[i : i + 80], [q if i + j == 150 else 40 for j in range(80)]) for i in range(72, 150)]
+        assert len(A.window_variants(ref, 0, "c", reads)) == n
