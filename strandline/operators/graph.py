@@ -207,15 +207,34 @@ def plain_steps(plain: DataFrame, k: int, keys: list[str]) -> DataFrame:
     return each.select(*keys, F.when(i > 0, at(0)).alias("before"), at(1).alias("src"), at(2).alias("dst"), F.when(i + k + 2 <= F.length("seq"), at(3)).alias("next"), "read", (i + k).alias("pos"), (F.ascii(F.substr("qual", i + k + 1, F.lit(1))) - 33).alias("q"))
 
 
+#: Steps of different sequences that are sent to every executor, with what each of them supports.
+MOST_STEPS = 1 << 20
+
+
+def kinds_of(reads: DataFrame, k: int, keys: list[str]) -> DataFrame | None:
+    """keys, seq, read (a number): the different sequences of more than k letters, or nothing if they have more than ``MOST_STEPS`` steps."""
+    found = staged(reads.filter(F.length("seq") > k).select(*keys, "seq").distinct().withColumn("read", F.monotonically_increasing_id()), "kinds")
+    return found if (found.agg(F.sum(F.length("seq") - k)).first()[0] or 0) <= MOST_STEPS else None
+
+
 class Successive:
     """Supports of every two edges that follow each other (src to dst to next), and what is said of them, for reads (keys, read, seq, qual).
 
     Plain reads answer in their own rows, given the edges around their steps;
-    the rest goes through ``successive``. No id is in both parts.
+    the rest goes through ``successive``. No id is in both parts. Where few
+    sequences differ, what each of them supports is worked out
+    by ``successive``, and reads of one row look that up by their sequence.
     """
 
     def __init__(self, reads: DataFrame, k: int, keys: list[str]) -> None:
         self.keys, self.names = keys, [*keys, "src", "dst", "next", "read", "pos", "q"]
+        self.kinds = kinds_of(reads, k, keys)
+        if self.kinds is not None:
+            steps = read_edges(self.kinds.withColumn("qual", F.col("seq")), k, keys)
+            edges = staged(steps.select(*keys, "src", "dst").distinct(), "edges")
+            self.once, more = by_id(reads.select(*keys, "read", "seq", "qual").filter(F.length("seq") > k), "read")
+            self.of_kinds, self.of_more = successive(steps, keys, edges), successive(read_edges(more, k, keys), keys, edges)
+            return
         edges = staged(support_of_reads(reads, k, keys).select(*keys, "src", "dst"), "edges")
         plain, more = plain_reads(reads.select(*keys, "read", "seq", "qual"), k)
         self.steps = plain_steps(plain, k, keys)
@@ -237,17 +256,35 @@ class Successive:
     def pair(self) -> tuple[str, ...]:
         return (*self.keys, "src", "dst", "next")
 
+    def looked_up(self, entries: DataFrame) -> DataFrame:
+        """The entries of all kinds, as entries of each read of one row that has the kind's sequence."""
+        told = entries.groupBy("read").agg(F.collect_list(F.struct("src", "dst", "next", "pos")).alias("told"))
+        table = staged(self.kinds.join(told, "read").drop("read"), "told")
+        met = self.once.join(F.broadcast(table), [*self.keys, "seq"]).select(*self.keys, "read", "qual", F.inline("told"))
+        return met.withColumn("q", F.ascii(F.substr("qual", F.col("pos") + 1, F.lit(1))) - 33).select(self.names)
+
     def intersection(self) -> DataFrame:
+        if self.kinds is not None:
+            own, more = (support_intersection(a, b, 1, self.pair()) for a, b in (self.of_kinds, self.of_more))
+            return self.looked_up(own).unionByName(more.select(self.names))
         own = self.steps.filter("next is not null").select(self.names)
         return own.unionByName(support_intersection(self.a, self.b, 1, self.pair()).select(self.names))
 
     def difference(self) -> DataFrame:
+        if self.kinds is not None:
+            own, more = (support_difference(b, a, 1, self.pair()) for a, b in (self.of_kinds, self.of_more))
+            return self.looked_up(own).unionByName(more.select(self.names))
         return self.second(True).unionByName(support_difference(self.b, self.a, 1, self.pair()).select(self.names))
 
     def union(self) -> DataFrame:
+        if self.kinds is not None:
+            return self.looked_up(support_union(*self.of_kinds)).unionByName(support_union(*self.of_more).select(self.names))
         return self.first().unionByName(self.second(False)).unionByName(support_union(self.a, self.b))
 
     def merge(self) -> DataFrame:
+        if self.kinds is not None:
+            own, more = (support_merge(a, b, self.pair()) for a, b in (self.of_kinds, self.of_more))
+            return self.looked_up(own).unionByName(more.select(self.names))
         return self.first().unionByName(self.second(True)).unionByName(support_merge(self.a, self.b, self.pair()).select(self.names))
 
 

@@ -762,3 +762,20 @@ def test_bases_of_low_quality_make_no_variant():
         reads = [A.Read(f"r{i}", ref[i : i + 80], [40] * 80) for i in range(0, 221, 2)]
         reads += [A.Read(f"w{i}", hap[i : i + 80], [q if i + j == 150 else 40 for j in range(80)]) for i in range(72, 150)]
         assert len(A.window_variants(ref, 0, "c", reads)) == n
+
+
+@pytest.mark.parametrize("what", ["intersection", "difference", "union", "merge"])
+def test_supports_looked_up_equal_those_worked_out(spark, monkeypatch, what):
+    """Reads alike, an id of two rows, a read that meets k-mers twice, short and missing qualities."""
+    rng = random.Random(6)
+    ref = "".join(rng.choice("ACGT") for _ in range(60))
+    rows = [(0, f"r{i}", ref[i % 30 : i % 30 + 20], "I" * (20 - i % 3)) for i in range(60)]
+    rows += [(0, "r4", ref[7:30], "#" * 23), (0, "twice", "ACACACACACGT", "IIIIII#IIIII"), (1, "n", "ACGTNACGTTAC", "I" * 12), (1, "short", "ACGT", "IIII"), (1, "none", "ACGTTACGTACG", None), (None, "x", ref[:20], "I" * 20)]
+    own = spark.createDataFrame(rows, "contig int, read string, seq string, qual string")
+    cols = ["contig", "src", "dst", "next", "read", "pos", "q"]
+    found = getattr(G.Successive(own, 5, ["contig"]), what)()
+    assert G.Successive(own, 5, ["contig"]).kinds is not None and "told" in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(G, "MOST_STEPS", 3)
+    worked = getattr(G.Successive(own, 5, ["contig"]), what)()
+    assert "told" not in worked._jdf.queryExecution().optimizedPlan().toString()
+    assert rows_of(found, *cols) == rows_of(worked.filter("contig is not null"), *cols) != []  # no name meets no edge
