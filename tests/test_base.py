@@ -779,3 +779,20 @@ def test_supports_looked_up_equal_those_worked_out(spark, monkeypatch, what):
     worked = getattr(G.Successive(own, 5, ["contig"]), what)()
     assert "told" not in worked._jdf.queryExecution().optimizedPlan().toString()
     assert rows_of(found, *cols) == rows_of(worked.filter("contig is not null"), *cols) != []  # no name meets no edge
+
+
+def test_reads_are_gathered_by_sequence_for_their_pairs(spark):
+    """An id of two rows counts once, and neighbouring pairs lie together."""
+    rng = random.Random(8)
+    ref = "".join(rng.choice("ACGT") for _ in range(120))
+    rows = [(0, f"r{i % 190}", ref[i % 95 : i % 95 + 25], "I" * 25) for i in range(200)]
+    own = spark.createDataFrame(rows, "contig int, read string, seq string, qual string")
+    want = {}
+    for r in G.Successive(own, 5, ["contig"]).merge().collect():
+        want.setdefault(tuple(r[:4]), set()).add(r.read)
+    found = G.reads_of_pairs(own, 5, ["contig"])
+    assert {tuple(r[:4]): r.reads for r in found.collect()} == {x: sorted(y) for x, y in want.items()}
+    assert shuffles(found) == 2  # by sequence and by block, not once for each pair
+    import numpy as np
+    place = G.neighbours_first([np.arange(i, i + 4) for i in (0, 6, 2, 4)])
+    assert place.tolist() in ([0, 3, 1, 2], [3, 0, 2, 1])
